@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder; unlike a checkpoint, readers fetch only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Keep a small result for several readers; lost blocks are computed again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
