@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import cutting, leaks, survivors
+from codesift.llm import cutting, leaks, neardup, survivors
 from codesift.sources.tables import table
 
 
@@ -27,6 +27,18 @@ def p4_issues(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.one_per_issue(table(spark, folder, "findings"), table(spark, folder, "reviews"))
 
 
+def _near(spark: SparkSession, folder: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(table(spark, folder, "chunks"), neardup.Join(words=3, least_words=30, numerator=7, denominator=10))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _near(spark, folder).row_pairs()
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return _near(spark, folder).groups()
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -35,7 +47,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_issues": p4_issues, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_issues": p4_issues, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_clean": p9_clean}
 
 _quoted = lambda values: ", ".join("'" + v + "'" for v in values)
 
