@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import cutting, leaks, neardup, survivors
+from codesift.llm import cutting, leaks, neardup, survivors, syntax
 from codesift.sources.tables import table
 
 
@@ -18,6 +18,14 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return cutting.split_oversized(table(spark, folder, "chunks"), table(spark, folder, "size_limits"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.malformed_files(table(spark, folder, "chunks")).select("repo_name", "file_path")
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.malformed_rates(table(spark, folder, "chunks"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     best = survivors.best_of_duplicates(table(spark, folder, "findings"), table(spark, folder, "reviews"))
     return best.select("group_id", "survivor_id")
@@ -47,7 +55,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_issues": p4_issues, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_issues": p4_issues, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_clean": p9_clean}
 
 _quoted = lambda values: ", ".join("'" + v + "'" for v in values)
 
