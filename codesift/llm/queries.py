@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import cutting, leaks, neardup, survivors, syntax
+from codesift.llm import cutting, leaks, neardup, secrets, survivors, syntax
 from codesift.sources.tables import table
 
 
@@ -47,6 +47,20 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _near(spark, folder).groups()
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = secrets.credentials(table(spark, folder, "chunks"), "chunk_id", "content", F.col("file_path"))
+    static = secrets.credentials(table(spark, folder, "static_findings"), "static_id", "matched_code", F.col("file"))
+    both = chunks.withColumn("tbl", F.lit("chunks")).unionByName(static.withColumn("tbl", F.lit("static_findings")))
+    return both.select("tbl", "row_id", "line_no")
+
+
+def p6_masked(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = secrets.without_credentials(table(spark, folder, "chunks"), "chunk_id", "content", F.col("file_path"))
+    static = secrets.without_credentials(table(spark, folder, "static_findings"), "static_id", "matched_code", F.col("file"))
+    both = chunks.withColumn("tbl", F.lit("chunks")).unionByName(static.withColumn("tbl", F.lit("static_findings")))
+    return both.select("tbl", "row_id", "text", "masked")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -55,7 +69,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_issues": p4_issues, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_issues": p4_issues, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_masked": p6_masked, "p9_found": p9_found, "p9_clean": p9_clean}
 
 _quoted = lambda values: ", ".join("'" + v + "'" for v in values)
 
