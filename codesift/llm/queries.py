@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import cutting, leaks, neardup, secrets, survivors, syntax
+from codesift.llm import cutting, leaks, neardup, packing, reading, secrets, survivors, syntax
 from codesift.sources.tables import table
 
 
@@ -61,6 +61,14 @@ def p6_masked(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("tbl", "row_id", "text", "masked")
 
 
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "packing_specs"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_rates(p8_packed(spark, folder), table(spark, folder, "packing_specs"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -69,7 +77,15 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_issues": p4_issues, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_masked": p6_masked, "p9_found": p9_found, "p9_clean": p9_clean}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels")).select("doc_id", "level")
+
+
+def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_profile(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_issues": p4_issues, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_masked": p6_masked, "p9_found": p9_found, "p9_clean": p9_clean, "p8_packed": p8_packed, "p8_fill": p8_fill, "p10_found": p10_found, "p10_profile": p10_profile}
 
 _quoted = lambda values: ", ".join("'" + v + "'" for v in values)
 
