@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import cutting, leaks, neardup, packing, reading, secrets, survivors, syntax
+from codesift.llm import cutting, leaks, neardup, origins, packing, reading, secrets, survivors, syntax
 from codesift.sources.tables import table
 
 
@@ -26,6 +26,14 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.malformed_rates(table(spark, folder, "chunks"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return origins.not_handwritten(table(spark, folder, "chunks"), table(spark, folder, "index_stats")).select("repo_name", "file_path")
+
+
+def p3_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return origins.file_origins(table(spark, folder, "chunks"), table(spark, folder, "index_stats"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     best = survivors.best_of_duplicates(table(spark, folder, "findings"), table(spark, folder, "reviews"))
     return best.select("group_id", "survivor_id")
@@ -85,7 +93,7 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_profile(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_issues": p4_issues, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_masked": p6_masked, "p9_found": p9_found, "p9_clean": p9_clean, "p8_packed": p8_packed, "p8_fill": p8_fill, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_issues": p4_issues, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_masked": p6_masked, "p9_found": p9_found, "p9_clean": p9_clean, "p8_packed": p8_packed, "p8_fill": p8_fill, "p10_found": p10_found, "p10_profile": p10_profile}
 
 _quoted = lambda values: ", ".join("'" + v + "'" for v in values)
 
