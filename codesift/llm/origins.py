@@ -25,9 +25,11 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from codesift.runtime import write_table
 
@@ -137,27 +139,28 @@ def evidence(files: DataFrame) -> DataFrame:
     return files.select("repo_name", "file_path", "digest", plain.alias("e0"), made.alias("e1"), small.alias("e2"), (taken + looks).alias("e3"), data.alias("e4"))
 
 
-def _vector(names: list[Column]) -> list[Column]:
-    """Log weights less their greatest, so that exponentials stay in range."""
-    top = F.greatest(*names)
-    return [n - top for n in names]
+def _matrix(directory: bool) -> np.ndarray:
+    table = np.array(PASSES_ON)
+    if directory:
+        table[[p for p in range(5) if LABELS[p] != "vendored"], LABELS.index("vendored")] = TURNS
+    return table
 
 
-def _passes_on(parent: int, child: int, directory: bool) -> float:
-    return TURNS if directory and LABELS[child] == "vendored" and LABELS[parent] != "vendored" else PASSES_ON[parent][child]
+def _message(directory: bool, upwards: bool):
+    """A column function: log weights of a node to the message to its parent, or from it to a child."""
+    table = _matrix(directory)
+    table = table.T if upwards else table
 
+    def send(*weights: pd.Series) -> pd.DataFrame:
+        logs = np.column_stack(weights)
+        logs -= logs.max(axis=1, keepdims=True)
+        return pd.DataFrame(np.log(np.exp(logs) @ table), columns=M)
 
-def _to_parent(weights: list[Column], directory: bool) -> list[Column]:
-    """The message of a node with ``weights`` to its parent, in logs."""
-    w = _vector(weights)
-    return [F.log(sum((F.exp(w[c]) * _passes_on(p, c, directory) for c in range(5)), F.lit(0.0))) for p in range(5)]
-
-
-def _to_child(weights: list[Column], directory: bool) -> list[Column]:
-    w = _vector(weights)
-    return [F.log(sum((F.exp(w[p]) * _passes_on(p, c, directory) for p in range(5)), F.lit(0.0))) for c in range(5)]
+    # the annotations of a variable number of columns tell Spark nothing, so the kind is named
+    return F.pandas_udf(send, ", ".join(f"{m} DOUBLE" for m in M), PandasUDFType.SCALAR)
 
 
+M = [f"m{i}" for i in range(5)]
 E = [f"e{i}" for i in range(5)]
 UP = [f"u{i}" for i in range(5)]
 IN = [f"i{i}" for i in range(5)]
@@ -171,11 +174,17 @@ def directory_weights() -> list[Column]:
 
 
 def propagate(files: DataFrame) -> DataFrame:
-    """(repo_name, file_path, digest, label, belief) from ``evidence``."""
+    """(repo_name, file_path, digest, label, belief) from ``evidence``.
+
+    The levels of the tree are written one by one, so the plan of a level does
+    not hold those of the levels before; there are as many as the deepest path
+    has directories.
+    """
     parent = lambda path: F.regexp_replace(path, r"/?[^/]*$", "")
-    leaves = write_table(files.withColumn("dir", parent(F.col("file_path"))), "leaves")
+    leaves = files.withColumn("dir", parent(F.col("file_path"))).withColumn("m", _message(False, True)(*E))
+    leaves = write_table(leaves.select("repo_name", "file_path", "digest", "dir", *E, "m.*"), "leaves")
     # all directories above the files, and what each hears from its own files
-    heard = leaves.select("repo_name", "dir", *[m.alias(u) for m, u in zip(_to_parent([F.col(e) for e in E], False), UP, strict=True)]).groupBy("repo_name", "dir").agg(*[F.sum(u).alias(u) for u in UP])
+    heard = leaves.groupBy("repo_name", "dir").agg(*[F.sum(m).alias(u) for m, u in zip(M, UP, strict=True)])
     depth = lambda d: F.when(d == "", F.lit(0)).otherwise(F.size(F.split(d, "/")))
     parts = F.split("dir", "/")
     above = heard.select("repo_name", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(depth(F.col("dir")) - 1, F.lit(0))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir"))
@@ -187,38 +196,34 @@ def propagate(files: DataFrame) -> DataFrame:
     dirs = write_table(dirs, "dirs")
     deepest = dirs.agg(F.max("depth")).first()[0] or 0
     # up: from the deepest level, each directory adds its message to its parent
-    levels = {d: dirs.where(F.col("depth") == d).drop("depth") for d in range(deepest + 1)}
     sent: dict[int, DataFrame] = {}
-    for d in range(deepest, 0, -1):
-        own = levels[d]
-        sent[d] = write_table(own.withColumn("parent", parent(F.col("dir"))).select("repo_name", "dir", "parent", "named", *UP, *[F.when(F.col("named"), 0.0).otherwise(m).alias(f"m{i}") for i, m in enumerate(_to_parent([F.col(u) for u in UP], True))]), "up")
-        sums = sent[d].groupBy("repo_name", F.col("parent").alias("dir")).agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(5)])
-        levels[d - 1] = levels[d - 1].join(sums, ["repo_name", "dir"], "left").select("repo_name", "dir", "named", *[(F.col(u) + F.coalesce(f"m{i}", F.lit(0.0))).alias(u) for i, u in enumerate(UP)])
+    for d in range(deepest, -1, -1):
+        own = dirs.where(F.col("depth") == d)
+        if d < deepest:
+            sums = sent[d + 1].groupBy("repo_name", F.col("parent").alias("dir")).agg(*[F.sum(m).alias(m) for m in M])
+            own = own.join(sums, ["repo_name", "dir"], "left").select("repo_name", "dir", "named", *[(F.col(u) + F.coalesce(m, F.lit(0.0))).alias(u) for u, m in zip(UP, M, strict=True)])
+        own = own.withColumn("parent", parent(F.col("dir"))).withColumn("m", _message(True, True)(*UP))
+        sent[d] = write_table(own.select("repo_name", "dir", "parent", "named", *UP, *[F.when(F.col("named"), 0.0).otherwise(F.col(f"m.{m}")).alias(m) for m in M]), "up")
     # down: what the rest of the tree says about each directory
-    beliefs = levels[0].select("repo_name", "dir", *[(F.col(u) + F.lit(math.log(r))).alias(b) for u, r, b in zip(UP, ROOT, IN, strict=True)])
-    every = [beliefs]
+    beliefs = write_table(sent[0].select("repo_name", "dir", *[(F.col(u) + F.lit(math.log(r))).alias(b) for u, r, b in zip(UP, ROOT, IN, strict=True)]), "down")
+    known = beliefs
     for d in range(1, deepest + 1):
-        above = beliefs.select("repo_name", F.col("dir").alias("parent"), *IN)
-        joined = sent[d].join(above, ["repo_name", "parent"])
-        rest = [F.col(i) - F.col(f"m{k}") for k, i in enumerate(IN)]
-        beliefs = joined.select("repo_name", "dir", *[(F.col(u) + F.when(F.col("named"), 0.0).otherwise(m)).alias(i) for u, m, i in zip(UP, _to_child(rest, True), IN, strict=True)])
-        every.append(beliefs)
-    known = every[0]
-    for more in every[1:]:
-        known = known.unionByName(more)
-    own = [m.alias(f"m{k}") for k, m in enumerate(_to_parent([F.col(e) for e in E], False))]
-    joined = leaves.select("*", *own).join(known, ["repo_name", "dir"])
-    rest = [F.col(i) - F.col(f"m{k}") for k, i in enumerate(IN)]
-    final = _vector([F.col(e) + m for e, m in zip(E, _to_child(rest, False), strict=True)])
-    weighed = joined.select("repo_name", "file_path", "digest", *[f.alias(f"f{k}") for k, f in enumerate(final)])
-    total = sum((F.exp(f"f{k}") for k in range(5)), F.lit(0.0))
-    best = F.greatest(*[F.struct(F.col(f"f{k}").alias("w"), F.lit(name).alias("label")) for k, name in enumerate(LABELS)])
-    return weighed.select("repo_name", "file_path", "digest", best["label"].alias("label"), F.round(F.exp(best["w"]) / total, 4).alias("belief"))
+        joined = sent[d].join(beliefs.select("repo_name", F.col("dir").alias("parent"), *IN), ["repo_name", "parent"])
+        joined = joined.withColumn("r", _message(True, False)(*[F.col(i) - F.col(m) for i, m in zip(IN, M, strict=True)]))
+        beliefs = write_table(joined.select("repo_name", "dir", *[(F.col(u) + F.when(F.col("named"), 0.0).otherwise(F.col(f"r.{m}"))).alias(i) for u, m, i in zip(UP, M, IN, strict=True)]), "down")
+        known = known.unionByName(beliefs)
+    joined = leaves.join(known, ["repo_name", "dir"])
+    joined = joined.withColumn("r", _message(False, False)(*[F.col(i) - F.col(m) for i, m in zip(IN, M, strict=True)]))
+    weighed = joined.select("repo_name", "file_path", "digest", *[(F.col(e) + F.col(f"r.{m}")).alias(e) for e, m in zip(E, M, strict=True)])
+    best = F.greatest(*[F.struct(F.col(e).alias("w"), F.lit(name).alias("label")) for e, name in zip(E, LABELS, strict=True)])
+    total = sum((F.exp(F.col(e) - F.col("best.w")) for e in E), F.lit(0.0))
+    weighed = weighed.withColumn("best", best)
+    return weighed.select("repo_name", "file_path", "digest", F.col("best.label").alias("label"), F.round(1 / total, 4).alias("belief"))
 
 
 def file_origins(chunks: DataFrame, runs: DataFrame) -> DataFrame:
     """(repo_name, file_path, label, belief, copied) of every file; ``runs`` names the repositories' sources."""
-    found = propagate(evidence(file_counts(chunks)))
+    found = write_table(propagate(evidence(file_counts(chunks))), "origins")
     sources = runs.where("simhash_source IS NOT NULL AND repo_name IS NOT NULL AND simhash_source <> repo_name").select("repo_name", F.col("simhash_source").alias("source")).distinct()
     originals = found.select(F.col("repo_name").alias("source"), "file_path", "digest", F.col("label").alias("original"), F.col("belief").alias("sure"))
     copied = found.select("repo_name", "file_path", "digest").join(sources, "repo_name").join(originals, ["source", "file_path", "digest"])
