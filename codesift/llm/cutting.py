@@ -7,7 +7,8 @@ lines costs O(n log n) once and O(1) per piece.  After a cut the next piece
 steps back by the stated number of lines.
 
 Defined results: a null or empty text, an unknown type and a text within the
-limit give no pieces; a limit below one gives none either.  A line longer than
+limit give no pieces; a limit below one gives none either; of several limits
+of a type the smallest holds.  A line longer than
 the limit is cut after blanks or punctuation, or else hard at the limit.  A
 piece repeats fewer lines than stated only where the repeated lines and the
 next part would not fit within the limit; a cut inside a line repeats nothing.
@@ -139,7 +140,8 @@ def cut_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     row per type; it is joined by the planner, which broadcasts it when small.
     """
     kind = F.lower(F.trim(F.regexp_replace("chunk_type", r"\s+", " ")))
-    sizes = limits.select(F.lower(F.trim("chunk_type")).alias("kind"), "max_chars", F.coalesce("overlap_lines", F.lit(0)).alias("overlap_lines")).where("max_chars > 0").dropDuplicates(["kind"])
+    sizes = limits.select(F.lower(F.trim("chunk_type")).alias("kind"), "max_chars", F.coalesce("overlap_lines", F.lit(0)).alias("overlap_lines")).where("max_chars > 0 AND kind IS NOT NULL")
+    sizes = sizes.groupBy("kind").agg(F.min("max_chars").alias("max_chars"), F.min_by("overlap_lines", "max_chars").alias("overlap_lines"))
     large = chunks.select("chunk_id", "content", kind.alias("kind")).join(sizes, "kind").where(F.length("content") > F.col("max_chars"))
     return large.select("chunk_id", "content", "max_chars", "overlap_lines").mapInPandas(_cut_batches, PIECES)
 

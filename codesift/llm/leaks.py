@@ -116,7 +116,9 @@ def _windows(key: str, n: int):
             for own_key, text, own in zip(batch[key], texts, hashes, strict=True):
                 grams = window_hashes(own, n)
                 words = words_of(text)
-                yield pd.DataFrame({key: own_key, "gram": grams.view(np.int64), "words": [" ".join(words[i : i + n]) for i in range(len(grams))], "at": np.arange(len(grams), dtype=np.int32)})
+                if len(grams):
+                    joined = pd.Series([" ".join(words[i : i + n]) for i in range(len(grams))], dtype=object)
+                    yield pd.DataFrame({key: np.full(len(grams), own_key), "gram": grams.view(np.int64), "words": joined, "at": np.arange(len(grams), dtype=np.int32)})
 
     return run
 

@@ -133,7 +133,8 @@ def evidence(files: DataFrame) -> DataFrame:
     small = weigh((dense, STRONG + 4), (name.rlike(_SMALL_NAME), NAMED))
     taken = weigh((F.col("taken") == 1, STRONG))
     data = weigh((blob, STRONG))
-    plain = F.when(~dense & ~blob & ~accessors, F.lit(PLAIN)).otherwise(0.0)
+    # what looks written by hand counts only where no tool claims it
+    plain = F.when(~dense & ~blob & ~accessors & (F.col("made") == 0), F.lit(PLAIN)).otherwise(0.0)
     # third-party source looks like the repository's own; only marks and places tell
     looks = F.when(F.col("taken") == 1, plain).otherwise(F.greatest(plain - UNMARKED, F.lit(0.0)))
     return files.select("repo_name", "file_path", "digest", plain.alias("e0"), made.alias("e1"), small.alias("e2"), (taken + looks).alias("e3"), data.alias("e4"))

@@ -152,7 +152,8 @@ def pack_documents(documents: DataFrame, specs: DataFrame, path: str = TOKENIZER
     sizes = [(r["spec_id"], r["capacity_tokens"]) for r in specs.where("capacity_tokens > 0").select("spec_id", "capacity_tokens").orderBy("spec_id").limit(1000).collect()]
     measured = token_sizes(documents, path)
     parts = blocks_for(documents.count(), block)
-    spread = measured.repartition(parts, F.xxhash64("doc_id", F.lit(3)))
+    # an id that comes again and again is spread like any other
+    spread = measured.withColumn("place", F.monotonically_increasing_id()).repartition(parts, F.xxhash64("doc_id", "place")).drop("place")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

@@ -84,8 +84,8 @@ def _english(text: str) -> float:
 
 _VOWELS = re.compile(r"[aeiouy]+")
 # Endings and joints at which hyphenation splits otherwise than the vowel groups say.
-_LESS = re.compile(r"(?:[^laeiouy]|[aeiou]l)e$|[^td]ed$|[^sxzhgc]es$|e(?:ly|ment|less|ful|ness)(?:s|ly)?$|[tsc]i(?:on|al|ous|ent|an)|g(?:eous|ious)|que$|gue$")
-_MORE = re.compile(r"i(?:a(?!l$|n$)|um|us(?!$)|o(?!n|us))|eo(?!us)|[aeiou]ing|[^aeiou]le[sd]?$|u(?:al|ou)|ii|[aeiouym]bl$|ism$|^(?:re|pre|co|bi|tri)[aeiou]|[^gq]ua[^r]|dnt$|ying$")
+_LESS = re.compile(r"(?:[^laeiouy]|[aeiou]l|[aeiouy][rnstvcgmpkdbz])e$|[^tdaeiouy]ed$|[^sxzhgcaeiouy]es$|[^aeiouyl]e(?=(?:ly|ment|less|ful|ness)(?:s|ly)?$)|[qg]ue$")
+_MORE = re.compile(r"i(?:a(?=[bcgrt])|um|us(?!$)|o(?=[drt])|e(?=nc|nt|ty))|eo(?=[gl])|[aeou]ing$|u(?:al|ou(?=s))|[aeiouym]bl$|ism$|^(?:bi|tri)[aeou]|^re(?=[ei]|act|ass|al)|creat|[^gq]ua(?=[lt])|ying$|[^tscgx]iou")
 
 
 def syllables(word: str) -> int:
