@@ -104,7 +104,7 @@ def bit_is_set(positions: Column, bits: Column, at: Column) -> Column:
     """Whether a container, sparse or dense, holds position ``at``."""
     byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     dense = F.getbit(byte.cast("bigint"), F.pmod(at, F.lit(8)).cast("int")).cast("int")
-    return F.coalesce(F.array_contains(positions, at), dense == 1, F.lit(False))
+    return F.coalesce(F.array_contains(positions, at), F.lit(False)) | F.coalesce(dense == 1, F.lit(False))
 
 
 def containers_of(encoded: DataFrame) -> DataFrame:

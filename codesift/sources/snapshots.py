@@ -16,9 +16,18 @@ def read_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIX
     """(file_path, hash, text) of the source files below ``root``; hidden and skipped directories are left out.
 
     Bytes that are no UTF-8 are replaced in the text, never in the hash.
+    Spark's listing leaves out names that begin with a dot or an underscore
+    (``__init__.py``); those files are listed here and read by their paths.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    system = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    listing, named = system.listFiles(spark._jvm.org.apache.hadoop.fs.Path(root), True), []
+    while listing.hasNext():
+        file = listing.next().getPath()
+        inner = file.toUri().getPath()[len(base) + 1 :]
+        if inner.endswith(suffixes) and any(part[0] in "._" for part in inner.split("/")):
+            named.append(file.toString())
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([root, *named])
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*/", "/"), "^" + base.replace(".", "\\.") + "/", "")
     names = F.split("file_path", "/")
     hidden = F.exists(names, lambda n: n.startswith(".") & (n != ".github"))
