@@ -224,12 +224,10 @@ class NearDuplicates:
         return self.records.select("class", "chunk_id")
 
     def candidates(self) -> DataFrame:
-        """(class_a, class_b): the pairs that share a segment and pass the size test."""
-        keyed = self.records.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "class", "size").repartition("key").distinct()
+        """(class_a, class_b): the pairs that share a segment."""
+        keyed = self.records.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "class").repartition("key").distinct()
         met = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-        pairs = pairs_within(met, "key", "class")
-        fits = self.rule.num * F.greatest("size_a", "size_b") <= self.rule.den * F.least("size_a", "size_b")
-        return pairs.where(fits).select("class_a", "class_b").distinct()
+        return pairs_within(met, "key", "class").select("class_a", "class_b").distinct()
 
     def links(self) -> DataFrame:
         """(class_a, class_b): the pairs of classes whose sets are similar, verified."""
@@ -238,7 +236,8 @@ class NearDuplicates:
         near = self.candidates().join(side("a"), "class_a").join(side("b"), "class_b")
         hamming = sum(F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH_WORDS))
         bound = F.floor((self.rule.den - self.rule.num) * (F.col("size_a") + F.col("size_b")) / (self.rule.den + self.rule.num) + 1e-9)
-        near = cut_lineage(near.where(hamming <= bound).select("class_a", "class_b", "rep_a", "rep_b"))
+        fits = self.rule.num * F.greatest("size_a", "size_b") <= self.rule.den * F.least("size_a", "size_b")
+        near = cut_lineage(near.where(fits & (hamming <= bound)).select("class_a", "class_b", "rep_a", "rep_b"))
         reps = near.select(F.col("class_a").alias("class"), F.col("rep_a").alias("chunk_id")).union(near.select("class_b", "rep_b")).distinct()
         sets = self._sets(self.texts.join(reps, "chunk_id"))
         side = lambda z: sets.select(F.col("class").alias(f"class_{z}"), F.col("tokens").alias(f"tokens_{z}"))
