@@ -6,32 +6,34 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATEST = "key STRING, value STRING, writes BIGINT"
+KEPT = "value STRING, writes BIGINT"
 
 
-class Latest(StatefulProcessor):
-    """The value last written under each key, and how often it was written while it lived."""
-
-    def __init__(self, ttl_seconds: int):
-        self.ttl = ttl_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", "value STRING, writes BIGINT", self.ttl * 1000)
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        value, writes = self.state.get() if self.state.exists() else (None, 0)
-        for part in rows:
+def remembered(stream: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
+    """(key, value, writes): the value last written under each key and how often, while it lives.
+
+    ``stream`` has key, value and ts.  A key not written for ``ttl_seconds``
+    is forgotten; written again, it starts anew.  Of one key only the latest
+    value and the count are held.
+    """
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        value, writes = state.get if state.exists else (None, 0)
+        latest = None
+        for part in parts:
             if len(part):
-                value, writes = part.sort_values("ts")["value"].iloc[-1], writes + len(part)
-        self.state.update((value, writes))
+                row = part.sort_values("ts").iloc[-1]
+                if latest is None or row["ts"] >= latest:
+                    latest, value = row["ts"], row["value"]
+                writes += len(part)
+        state.update((value, writes))
+        state.setTimeoutDuration(ttl_seconds * 1000)
         yield pd.DataFrame({"key": [key[0]], "value": [value], "writes": [writes]})
 
-    def close(self) -> None:
-        pass
-
-
-def remembered(stream: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
-    """(key, value, writes) after each batch, for a stream of (key, value, ts); needs the RocksDB state store."""
-    return stream.groupBy("key").transformWithStateInPandas(Latest(ttl_seconds), LATEST, "Update", "ProcessingTime")
+    return stream.groupBy("key").applyInPandasWithState(update, LATEST, KEPT, "update", GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,12 +1,10 @@
-import os
-import subprocess
-import sys
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from codesift.operators import events
 from codesift.streaming import events as streams
+from codesift.streaming.memory import remembered
 
 T = datetime(2025, 1, 1)
 
@@ -52,26 +50,9 @@ def test_stream_equals_batch(spark, tmp_path, rows):
     assert rows(live) == rows(batch)
 
 
-REMEMBER = """
-import sys
-from datetime import datetime, timedelta
-from codesift.runtime import local_session
-from codesift.streaming import events as streams
-from codesift.streaming.memory import remembered
-spark = local_session(2, partitions=2, memory="2g", **{"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
-T = datetime(2025, 1, 1)
-df = spark.createDataFrame([("a", "1", T), ("a", "2", T + timedelta(seconds=1)), ("b", "3", T)], "key STRING, value STRING, ts TIMESTAMP")
-df.coalesce(1).write.parquet(sys.argv[1])
-stream = remembered(spark.readStream.schema(df.schema).parquet(sys.argv[1]))
-got = {r["key"]: (r["value"], r["writes"]) for r in streams.run_to_end(stream, "kv", "update").collect()}
-print("GOT", got == {"a": ("2", 2), "b": ("3", 1)}, flush=True)
-import os
-os._exit(0)
-"""
-
-
-def test_remembered_state(tmp_path):
-    """In a process of its own: stateful Python workers outlive their query and would hold the session's cores."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    run = subprocess.run([sys.executable, "-c", REMEMBER, str(tmp_path / "kv")], cwd=root, env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, timeout=150)
-    assert "GOT True" in run.stdout, run.stderr[-1500:]
+def test_remembered_state(spark, tmp_path):
+    df = spark.createDataFrame([("a", "1", T), ("a", "2", T + timedelta(seconds=1)), ("b", "3", T)], "key STRING, value STRING, ts TIMESTAMP")
+    df.coalesce(1).write.parquet(str(tmp_path / "kv"))
+    stream = remembered(spark.readStream.schema(df.schema).parquet(str(tmp_path / "kv")))
+    got = {r["key"]: (r["value"], r["writes"]) for r in streams.run_to_end(stream, "kv", "update", timers=True).collect()}
+    assert got == {"a": ("2", 2), "b": ("3", 1)}
