@@ -68,6 +68,7 @@ _REMARK = re.compile(r"[ \t]*\*/[ \t]*" + _QUOTED + r"[ \t]*,[ \t]*(?=[\"'`])")
 _FALLBACK = re.compile(r"(?:\b(?:getenv|get|env_?or|getenvordefault|getordefault|get_or|lookup|getproperty|env|fetch)\s*\(\s*" + _QUOTED.replace("(", "(?:").replace("(?:?:", "(?:") + r"\s*,\s*|(?:\|\||\?\?|\bor\b|\?:)\s*|\bunwrap_or(?:_else)?\s*\(\s*(?:\|\|\s*)?)(?=[\"'`])", re.I)
 _WRAPPED = re.compile(r"(?:String::from|new String|String|str|Some|bytes|Secret|SecretString::new|\[\]byte)\(\s*(?=[\"'`])|&(?=[\"'`])|\(\s*(?=[\"'`])|b(?=[\"'])")
 _BARE = re.compile(r"[^\s\"'`]+")
+_EXPRESSION = re.compile(r"[A-Za-z_][\w.:]*[\[({]|process\.env\b|[a-z]\w*(?:\.[a-z]\w*)+$")
 _COMMENT = re.compile(r"\s*(?:#|//|\*|--|/\*|;)")
 _ENV = re.compile(r"[ \t]*(?:-[ \t]+)?(?:export[ \t]+|set[ \t]+|ENV[ \t]+|ARG[ \t]+)?[\"']?$")
 _REST = re.compile(r"\s(?:#|//)\s")
@@ -171,7 +172,8 @@ def _value_at(text: str, at: int, line_end: int, code: bool, bare_allowed: bool)
             return spans if usable(value) or _known(value) else None
     if bare_allowed:
         m = _BARE.match(text, at, line_end)
-        if m is not None and usable(m.group()):
+        # a call, an index or a member is an expression, whatever the file's name says
+        if m is not None and usable(m.group()) and not _EXPRESSION.match(m.group()):
             return [m.span()]
     return None
 
