@@ -18,6 +18,7 @@ fewer than 40 words of prose get no level.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,9 @@ _HTML = re.compile(r"<(?:!--.*?--|/?[A-Za-z][^<>\n]{0,300})>|&[a-z]+;|&#\d+;", r
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
 _URL = re.compile(r"(?:https?|ftp|mailto)://?\S+|\bwww\.\S+|\S+@\S+\.\w+")
 _CODE_LINE = re.compile(r"^(?: {4,}|\t)|[{};]\s*$|^\s*(?:def|class|func|fn|import|from|const|let|var|return|package|use|pub|if|for|while|switch|case|export|#!|@\w|\$ |>>> )\b.*[=(){}:;]|^\s*[\w.]+\(.*\)\s*$|[\w\])]\s*(?::=|\+=|==|=>|->|=)\s*[\w\"'({\[]|^\s*(?://|#!|/\*|\*/|--\s*\w+$)")
+# a line of code has one of these
+_CODEY = re.compile(r"[={}();:]|^(?: {4,}|\t)|^\s*(?://|#!|/\*|\*/|--)|[-=]>")
+_MARKS = re.compile("\\*\\*|~~|[\u200b-\u200f\u2060\u00ad\ufeff]")
 _TABLE = re.compile(r"^\s*\|.*\|?\s*$|^\s*[-|:+\s=]{4,}$")
 _LIST = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+(.*)$")
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|={3,}|-{3,}|\*{3,}|Subject:|From:|To:|Date:|Re:|Cc:)", re.I)
@@ -49,31 +53,35 @@ _END = re.compile(r"[.!?…]+(?=[\s\"')\]]|$)")
 def prose_of(text: str) -> tuple[str, int]:
     """(the running prose, one sentence end per line where marks are lost; words of the rest)."""
     text = text.replace("\r\n", "\n")
-    body = _FENCE.sub("\n\n", text)
-    rest = len(_WORD.findall(text)) - len(_WORD.findall(body))
-    body = _LINK.sub(r"\1", body)
-    body = _HTML.sub(" ", body)
-    body = re.sub("\\*\\*|~~|[\u200b-\u200f\u2060\u00ad\ufeff]", "", body)
+    body, rest = text, 0
+    if "```" in text or "~~~" in text:
+        body = _FENCE.sub("\n\n", text)
+        rest = len(_WORD.findall(text)) - len(_WORD.findall(body))
+    if "](" in body:
+        body = _LINK.sub(r"\1", body)
+    if "<" in body or "&" in body:
+        body = _HTML.sub(" ", body)
+    body = _MARKS.sub("", body)
     kept: list[str] = []
     for line in body.split("\n"):
         line = line.rstrip("\r")
         if not line.strip():
             kept.append("")
             continue
-        count = len(_WORD.findall(line))
         listed = _LIST.match(line)
         if _TABLE.match(line) or _HEADING.match(line) or _SIGNATURE.match(line):
-            rest += count
+            rest += len(_WORD.findall(line))
         elif line.lstrip().startswith(">"):
             continue  # somebody else's text
-        elif listed and count < 8:
-            rest += count
-        elif _CODE_LINE.search(line) and not (count >= 8 and _END.search(line) and _english(line) > 0.25):
-            rest += count
-        elif count < 5 and not _END.search(line):
-            rest += count
+        elif listed and len(_WORD.findall(line)) < 8:
+            rest += len(_WORD.findall(line))
+        elif _CODEY.search(line) and _CODE_LINE.search(line) and not (len(_WORD.findall(line)) >= 8 and _END.search(line) and _english(line) > 0.25):
+            rest += len(_WORD.findall(line))
+        elif len(line) < 60 and len(_WORD.findall(line)) < 5 and not _END.search(line):
+            rest += len(_WORD.findall(line))
         else:
-            kept.append(_URL.sub(" ", listed.group(1) if listed else line))
+            line = listed.group(1) if listed else line
+            kept.append(_URL.sub(" ", line) if "/" in line or "@" in line or "www." in line or "mailto" in line else line)
     return "\n".join(kept), rest
 
 
@@ -100,6 +108,14 @@ def syllables(word: str) -> int:
 _NAMES = re.compile(r"`[^`]+`|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z]+[A-Z]\w*|\b\w+_\w+|\b\w+\(\)")
 
 
+_INNER = re.compile(r"[a-z][A-Z]")
+
+
+def _on_code(sentence: str) -> bool:
+    """Whether a sentence names parts of code; the pattern runs only where it can match."""
+    return ("_" in sentence or "`" in sentence or "()" in sentence or _INNER.search(sentence) is not None) and _NAMES.search(sentence) is not None
+
+
 def _sentences(block: str) -> list[str]:
     """The sentences of a paragraph; where marks are lost, its lines."""
     lines = [x for x in block.split("\n") if x.strip()]
@@ -111,41 +127,51 @@ def _sentences(block: str) -> list[str]:
     return [x for x in _END.split(" ".join(lines)) if x.strip()]
 
 
-_known: dict[str, int] = {}
+_known: dict[str, tuple[int, int, int, int]] = {}
 
 
-def _count(word: str) -> int:
-    n = _known.get(word)
-    if n is None:
+def _measures(word: str) -> tuple[int, int, int, int]:
+    """(syllables, letters, whether a function word of English, of another language) of a lower-case word."""
+    found = _known.get(word)
+    if found is None:
         if len(_known) > 200_000:
             _known.clear()
-        n = _known[word] = syllables(word)
-    return n
+        found = _known[word] = (syllables(word), len(word), word in ENGLISH, word in OTHERS)
+    return found
 
 
 def grades(text: str) -> tuple[int, tuple[float, ...]] | None:
     """(words, grade by each formula), or None if the text is not mainly English prose of enough words."""
     prose, rest = prose_of(text)
-    found = [(bool(_NAMES.search(part)), own) for block in re.split(r"\n\s*\n", prose) for part in _sentences(block) if (own := _WORD.findall(part))]
+    found = [(_on_code(part), own) for block in re.split(r"\n\s*\n", prose) for part in _sentences(block) if (own := _WORD.findall(part))]
     # sentences on names of code do not measure the prose around them, unless there is hardly any other
     clean = [own for named, own in found if not named]
     if sum(map(len, clean)) < LEAST_WORDS:
         clean = [own for _, own in found]
     sentences, words = len(clean), [w for own in clean for w in own]
-    letters = [w.lower() for w in words if not w[0].isdigit()]
-    if len(words) < LEAST_WORDS or len(letters) < 0.5 * len(words) or rest > 1.5 * sum(len(own) for _, own in found):
+    n, letters = len(words), 0
+    total = hard = chars = long = single = known = foreign = 0
+    for word, times in Counter(map(str.lower, words)).items():
+        if word[0].isdigit():
+            continue
+        count, size, here, there = _measures(word)
+        letters += times
+        total += times * count
+        chars += times * size
+        if count >= 3:
+            hard += times
+        elif count == 1:
+            single += times
+        if size > 6:
+            long += times
+        known += times * here
+        foreign += times * there
+    if n < LEAST_WORDS or letters < 0.5 * n or rest > 1.5 * sum(len(own) for _, own in found):
         return None
-    known = sum(w in ENGLISH for w in letters)
-    foreign = sum(w in OTHERS for w in letters)
-    if known < 0.12 * len(letters) or foreign > known or foreign > 0.12 * len(letters):
+    if known < 0.12 * letters or foreign > known or foreign > 0.12 * letters:
         return None
-    n = len(words)
-    counts = [_count(w) for w in letters]
-    total = sum(counts) + (n - len(letters))
-    hard = sum(c >= 3 for c in counts)
-    chars = sum(map(len, letters)) + (n - len(letters))
-    long = sum(len(w) > 6 for w in letters)
-    single = sum(c == 1 for c in counts)
+    total += n - letters
+    chars += n - letters
     length = n / max(1, sentences)
     if length > 45:
         # marks are lost: the length is that of sentences with words as long as these
