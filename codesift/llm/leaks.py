@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codesift.llm.hashing import word_hashes, window_hashes
 
@@ -128,8 +129,6 @@ def _joined_passages(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
     left = texts.mapInPandas(_windows("doc_id", n), "doc_id BIGINT, gram BIGINT, words STRING, at INT")
     right = items.select("item_id", "text").where("text IS NOT NULL").mapInPandas(_windows("item_id", n), "item_id BIGINT, gram BIGINT, words STRING, at INT").select("item_id", "gram", "words").distinct()
     hits = left.join(right, ["gram", "words"]).select("doc_id", "item_id", "at").distinct()
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("doc_id", "item_id").orderBy("at")
     runs = hits.withColumn("run", F.sum(F.when(F.col("at") - F.lag("at").over(order) <= n, 0).otherwise(1)).over(order))
     return runs.groupBy("doc_id", "item_id", "run").agg(F.min("at").alias("first_word"), (F.max("at") + n - 1).cast("int").alias("last_word")).drop("run")
@@ -140,6 +139,23 @@ def leaked_items(documents: DataFrame, items: DataFrame, n: int = 12) -> DataFra
     return leaked_passages(documents, items, n).select("doc_id", "item_id").distinct()
 
 
+def _without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """(text less the words of the spans, number of joined spans, characters removed)."""
+    text, merged = normal(text), []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    marks = [m.span() for m in WORD.finditer(text)]
+    left, at = [], 0
+    for a, b in merged:
+        left.append(text[at : marks[a][0]])
+        at = marks[b][1]
+    clean = "".join([*left, text[at:]])
+    return clean, len(merged), len(text) - len(clean)
+
+
 def _remove(index, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = index.value
@@ -148,37 +164,34 @@ def _remove(index, n: int):
             texts = [normal(t) for t in batch["text"]]
             hashes, _ = word_hashes(texts, keep="alnum", fold=True)
             for doc, raw, text, own in zip(batch["doc_id"], batch["text"], texts, hashes, strict=True):
-                spans = sorted((a, b) for _, a, b in items.spans(text, window_hashes(own, n)))
-                if not spans:
-                    out.append((doc, raw, 0, 0))
-                    continue
-                merged = [list(spans[0])]
-                for a, b in spans[1:]:
-                    if a <= merged[-1][1] + 1:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                marks = [m.span() for m in WORD.finditer(text)]
-                left, at = [], 0
-                for a, b in merged:
-                    left.append(text[at : marks[a][0]])
-                    at = marks[b][1]
-                clean = "".join([*left, text[at:]])
-                out.append((doc, clean, len(merged), len(text) - len(clean)))
+                spans = [(a, b) for _, a, b in items.spans(text, window_hashes(own, n))]
+                out.append((doc, *_without(raw, spans)) if spans else (doc, raw, 0, 0))
             yield pd.DataFrame(out, columns=["doc_id", "text", "removed_spans", "removed_chars"])
 
     return run
 
 
-def without_leaks(documents: DataFrame, items: DataFrame, n: int = 12, drop_documents: bool = False) -> DataFrame:
+def _remove_listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = [(doc, *_without(text, [(s["first_word"], s["last_word"]) for s in spans])) if spans is not None and len(spans) else (doc, text, 0, 0) for doc, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True)]
+        yield pd.DataFrame(out, columns=["doc_id", "text", "removed_spans", "removed_chars"])
+
+
+def without_leaks(documents: DataFrame, items: DataFrame, n: int = 12, drop_documents: bool = False, max_broadcast: int = 5_000_000) -> DataFrame:
     """The corpus with leaked spans cut out, or, with ``drop_documents``, without the documents that hold one.
 
-    Documents with null text come out unchanged.  The items must be few enough
-    to broadcast; ``leaked_passages`` has no such bound.
+    Documents with null text come out unchanged.  Items too large to broadcast
+    are joined; then the spans found are joined to the documents by ``doc_id``,
+    which must be unique in that case.
     """
     if drop_documents:
-        return documents.join(leaked_passages(documents, items, n).select("doc_id").distinct(), "doc_id", "left_anti")
-    index = documents.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in items.select("item_id", "text").where("text IS NOT NULL").collect()], n))
-    cleaned = documents.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(_remove(index, n), CLEANED)
+        return documents.join(leaked_passages(documents, items, n, max_broadcast).select("doc_id").distinct(), "doc_id", "left_anti")
+    texts = documents.select("doc_id", "text").where("text IS NOT NULL")
+    if (items.select(F.sum(F.length("text"))).first()[0] or 0) > 6 * max_broadcast:
+        spans = leaked_passages(documents, items, n, max_broadcast).groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
+        cleaned = texts.join(spans, "doc_id", "left").mapInPandas(_remove_listed, CLEANED)
+    else:
+        index = documents.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in items.select("item_id", "text").where("text IS NOT NULL").collect()], n))
+        cleaned = texts.mapInPandas(_remove(index, n), CLEANED)
     empty = documents.where("text IS NULL").select("doc_id", "text", F.lit(0).alias("removed_spans"), F.lit(0).alias("removed_chars"))
     return cleaned.unionByName(empty)

@@ -194,6 +194,9 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(tuple(r) for r in joined.collect()) == want
     clean = leaks.without_leaks(documents, table)
     assert clean.count() == len(docs) and leaks.leaked_items(clean, table).count() == 0
+    once = documents.dropDuplicates(["doc_id"])
+    small, large = (sorted(tuple(r) for r in leaks.without_leaks(once.where("text IS NOT NULL"), table, max_broadcast=m).collect()) for m in (10**6, 1))
+    assert small == large
     assert leaks.without_leaks(documents, table, drop_documents=True).count() == len(docs) - sum(1 for d, _, _ in docs if d in {x for x, _ in want})
     assert leaks.leaked_items(documents.limit(0), table).count() == 0 and leaks.leaked_items(documents, table.limit(0)).count() == 0
 
