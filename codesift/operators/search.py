@@ -45,7 +45,7 @@ def _scores(queries, ids: np.ndarray, k: int, block: int):
     return run
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 50_000, block: int = 256) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000, block: int = 256) -> DataFrame:
     """(query_id, vec_id, score, place): the ``k`` vectors of the highest cosine for each query, itself left out.
 
     Exact.  Queries are sent to the vectors in groups of at most

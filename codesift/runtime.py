@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
@@ -60,8 +59,3 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep a small result for several readers; lost blocks are computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
