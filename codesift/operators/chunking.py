@@ -1,7 +1,8 @@
 """Splitting source files by structure, and measures of functions.
 
 Python files are read by the interpreter's parser; in other languages top-level
-definitions are found by their heads and the balance of brackets.  A file is
+definitions are found by their heads and the balance of brackets, and functions
+are measured from tokens (``braces``).  A file is
 one row, so files are spread over tasks and no group is collected.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import re
+import textwrap
 import warnings
 from collections.abc import Iterator
 
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codesift.operators import braces
+
 LARGE, APART, RUN, GAP = 50, 10, 30, 2
 SPANS = "repo_name STRING, file_path STRING, chunk_index INT, chunk_type STRING, start_line INT, end_line INT, symbol STRING, content STRING"
 METRICS = "repo_name STRING, file_path STRING, name STRING, line INT, end_line INT, params INT, complexity INT, nesting INT, calls ARRAY<STRING>"
@@ -160,14 +164,55 @@ def chunk_files(files: DataFrame) -> DataFrame:
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.comprehension, ast.IfExp, ast.match_case)
 
 
-def function_metrics(text: str) -> list[tuple[str, int, int, int, int, int, list[str]]]:
-    """(name, line, end, parameters, complexity, nesting, calls) of each function of a Python file."""
+_DEF = re.compile(r"([ \t]*)(?:async[ \t]+)?def[ \t]+\w+")
+_TRIPLE = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''")
+_REPAIRS = 8
+
+
+def function_metrics(text: str, extension: str = "py") -> list[tuple[str, int, int, int, int, int, list[str]]]:
+    """(name, line, end, parameters, complexity, nesting, calls) of each function of a file."""
+    if extension != "py":
+        return braces.function_metrics(text, extension)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            tree = ast.parse(text)
+            return _tree_metrics(ast.parse(text), 0)
         except (SyntaxError, ValueError, RecursionError):
-            return []
+            return _metrics_of_parts(text)
+
+
+def _metrics_of_parts(text: str) -> list[tuple[str, int, int, int, int, int, list[str]]]:
+    """The functions of a Python file that does not parse: each outermost one by itself, lines in error passed over."""
+    lines = text.replace("\0", " ").split("\n")
+    heads = _TRIPLE.sub(lambda m: re.sub(r"[^\n]", "#", m.group()), "\n".join(lines)).split("\n")
+    out, i = [], 0
+    while i < len(lines):
+        m = _DEF.match(heads[i])
+        if m is None:
+            i += 1
+            continue
+        indent, end = len(m.group(1).expandtabs()), i + 1
+        while end < len(lines) and (not heads[end].strip() or heads[end].lstrip()[0] in "#)" or len(heads[end].expandtabs()) - len(heads[end].expandtabs().lstrip()) > indent):
+            end += 1
+        part = textwrap.dedent("\n".join(line.expandtabs() for line in lines[i:end])).split("\n")
+        for _ in range(_REPAIRS):
+            try:
+                out += _tree_metrics(ast.parse("\n".join(part)), i)
+                break
+            except SyntaxError as error:
+                at = min(max((error.lineno or 1) - 1, 0), len(part) - 1)
+                if not at or part[at].strip() == "pass":
+                    at = next((k for k in range(len(part) - 1, 0, -1) if part[k].strip() not in ("", "pass")), 0)
+                if not at:
+                    break
+                part[at] = " " * (len(part[at]) - len(part[at].lstrip())) + "pass"
+            except (ValueError, RecursionError):
+                break
+        i = end
+    return out
+
+
+def _tree_metrics(tree: ast.AST, above: int) -> list[tuple[str, int, int, int, int, int, list[str]]]:
     out = []
     for node in ast.walk(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
@@ -176,7 +221,7 @@ def function_metrics(text: str) -> list[tuple[str, int, int, int, int, int, list
             names = [n.func.id if isinstance(n.func, ast.Name) else n.func.attr for n in inside if isinstance(n, ast.Call) and isinstance(n.func, ast.Name | ast.Attribute)]
             args = node.args
             params = len(args.posonlyargs) + len(args.args) + len(args.kwonlyargs) + bool(args.vararg) + bool(args.kwarg)
-            out.append((node.name, node.lineno, node.end_lineno, params, 1 + branches, _nesting(node), list(dict.fromkeys(names))))
+            out.append((node.name, above + node.lineno, above + node.end_lineno, params, 1 + branches, _nesting(node), list(dict.fromkeys(names))))
     return out
 
 
@@ -189,9 +234,11 @@ def _nesting(node, depth: int = 0) -> int:
 
 def _metric_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(repo, path, *m) for repo, path, text in zip(batch["repo_name"], batch["file_path"], batch["text"], strict=True) for m in function_metrics(text)]
+        rows = [(repo, path, *m) for repo, path, text in zip(batch["repo_name"], batch["file_path"], batch["text"], strict=True) for m in function_metrics(text, path.rsplit(".", 1)[-1].lower())]
         yield pd.DataFrame(rows, columns=["repo_name", "file_path", "name", "line", "end_line", "params", "complexity", "nesting", "calls"])
 
 
 def measure_functions(files: DataFrame) -> DataFrame:
-    return files.where(F.col("text").isNotNull() & F.col("file_path").endswith(".py")).select("repo_name", "file_path", "text").mapInPandas(_metric_batches, METRICS)
+    """Measures of the functions of all seven extensions."""
+    extension = F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1))
+    return files.where(F.col("text").isNotNull() & extension.isin("py", *braces.FAMILIES)).select("repo_name", "file_path", "text").mapInPandas(_metric_batches, METRICS)

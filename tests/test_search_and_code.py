@@ -144,3 +144,27 @@ def test_index_tables(spark, tmp_path, rows):
     assert rows(snapshots.without_keys(df, spark.createDataFrame([("r",)], "repo_name STRING")), "id") == [(2,)]
     paths = spark.createDataFrame([("x/src/a.py",), ("b.py",), ("ya.py",)], "file_path STRING")
     assert rows(snapshots.by_suffix(paths, spark.createDataFrame([("src/a.py",), ("deep/b.py",), ("a.py",)], "file_path STRING"))) == [("b.py",), ("x/src/a.py",)]
+
+
+@pytest.mark.parametrize(
+    ("extension", "text", "wanted"),
+    [
+        ("js", "async function f(a, {b, c}) {\n  if (a && b) { for (const x of c) { try { x.run(`} ${g(x)}`) } catch (e) { } } }\n}\nclass A {\n  get(k) { return k ? /[{(]/.test(k) : new B(k) }\n}", {"f": (1, 3, 2, 5, 3, ["run", "g"]), "get": (5, 5, 1, 2, 0, ["test"])}),
+        ("jsx", "const App = ({ items }) => <p onClick={() => go(1)}>don't {items.map((i) => i.ok && show(i))} it's</p>;\nfunction last() { return 1 }", {"App": (1, 1, 1, 2, 0, ["go", "map", "show"]), "last": (2, 2, 0, 1, 0, [])}),
+        ("ts", "interface I { m(a: T): void }\nclass S {\n  abstract s(a: T): void\n  async bar<K>(k: Map<K, T>, f?: (a: K) => void): Promise<Map<K, T>> { while (k) { f<K>(k) } }\n}", {"bar": (4, 4, 2, 2, 1, ["f"])}),
+        ("tsx", "export const f = <T,>(a: T): { x: number } => {\n  return <B c={<d>{h(a)}</d>} />;\n}", {"f": (1, 3, 1, 1, 0, ["h"])}),
+        ("go", "package a\nfunc (s *T) Do(a, b int) (interface{}, error) {\n\tswitch a {\n\tcase 1:\n\t\tif a > 0 || b > 0 {\n\t\t\tg(`{`)\n\t\t}\n\tdefault:\n\t}\n\treturn nil, nil\n}\nfunc Map[T any](x []T) map[string]int { return nil }", {"Do": (2, 11, 2, 4, 2, ["g"]), "Map": (12, 12, 1, 1, 0, [])}),
+        ("rs", "impl<'a> S<'a> {\n    fn f<T: Fn(u8) -> u8>(&mut self, x: Map<A, B>) -> u8 {\n        for i in 0..n { if let Some(y) = a::g(i) { w!('{', h(y)) } }\n        match x { Some(v) if ok(v) => 1, _ => 2 }\n    }\n}\ntrait T { fn sig(&self); }", {"f": (2, 5, 2, 6, 2, ["g", "h", "ok"])}),
+        ("go", "package a\nfunc a() { f(] }\nfunc b(x int) { g() }", {"a": (2, 2, 0, 1, 0, ["f"]), "b": (3, 3, 1, 1, 0, ["g"])}),
+        ("py", "def a(x):\n    return g(x)\n\ndef b(:\n    pass\n\nclass K:\n    def m(self, y):\n        z = = 1\n        if y:\n            return h(y)\n", {"a": (1, 2, 1, 1, 0, ["g"]), "m": (8, 11, 2, 2, 1, ["h"])}),
+    ],
+)
+def test_metrics_of_each_language(extension, text, wanted):
+    got = chunking.function_metrics(text, extension)
+    assert {m[0]: m[1:] for m in got} == wanted and len(got) == len(wanted)
+
+
+def test_measured_files(spark, rows):
+    texts = {"py": "def f(): pass", "js": "function f() {}", "jsx": "function f() {}", "ts": "function f() {}", "tsx": "function f() {}", "go": "package a\nfunc f() {}", "rs": "fn f() {}", "md": "function f() {}"}
+    df = spark.createDataFrame([("r", f"a.{e}", t) for e, t in texts.items()] + [("r", "b.GO", None)], "repo_name STRING, file_path STRING, text STRING")
+    assert rows(chunking.measure_functions(df), "file_path", "name") == sorted((f"a.{e}", "f") for e in texts if e != "md")
