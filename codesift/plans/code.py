@@ -44,6 +44,33 @@ def definitions(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("repo_name", "language", name.alias("name")).where("name <> ''").groupBy("repo_name", "language").agg(F.count(F.lit(1)).alias("heads"), F.countDistinct("name").alias("names"))
 
 
+# Heads of lines by language and kind; patterns stay within what RE2 also reads.
+HEADS = (
+    ("python", "function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)"),
+    ("python", "type", r"^\s*class\s+([A-Za-z_]\w*)"),
+    ("javascript", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function(?:\s+|\s*\*\s*)([A-Za-z_$][\w$]*)"),
+    ("javascript", "arrow", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::.*[^=!<>])?=\s*(?:async\b\s*)?(?:<[^()]*>\s*)?(?:\([^)]*\)\s*(?::[^=]+)?|[A-Za-z_$][\w$]*\s*)=>"),
+    ("javascript", "type", r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:const\s+enum|class|interface|type|enum)\s+([A-Za-z_$][\w$]*)"),
+    ("go", "function", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*[\[(]"),
+    ("go", "type", r"^\s*type\s+([A-Za-z_]\w*)(?:\[[^\]]*\])?\s+(?:struct|interface)\b"),
+    ("rust", "function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+([A-Za-z_]\w*)"),
+    ("rust", "type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(?:struct|enum|trait|union)\s+([A-Za-z_]\w*)"),
+    ("rust", "impl", r"^\s*(?:unsafe\s+)?impl(?:\s*<.*?>)?\s+!?(?:\w+::)*([A-Za-z_]\w*)"),
+)
+
+
+def count_heads(lines: DataFrame) -> DataFrame:
+    """Definitions by the heads of (repo_name, language, line), per repository, language and kind."""
+    heads = F.array(*[F.when((F.col("language") == language) & F.col("line").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line", pattern, 1).alias("name"))) for language, kind, pattern in HEADS])
+    found = lines.select("repo_name", "language", F.explode(F.filter(heads, lambda h: h.isNotNull())).alias("head"))
+    return found.groupBy("repo_name", "language", F.col("head.kind").alias("kind")).agg(F.count(F.lit(1)).alias("heads"), F.countDistinct("head.name").alias("names"))
+
+
+def definitions_by_kind(spark: SparkSession, folder: str) -> DataFrame:
+    """Every kind of definition that the languages have; ``definitions`` keeps to the short list of its SQL twin."""
+    return count_heads(rules.code_lines(table(spark, folder, "chunks")))
+
+
 def structural_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_files(trees.file_texts(table(spark, folder, "chunks")))
 
@@ -157,6 +184,10 @@ def _sql_rules() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _sql_heads() -> str:
+    return " UNION ALL ".join(f"SELECT repo_name, language, '{kind}' AS kind, regexp_extract(line, '{pattern}', 1) AS name FROM lines WHERE language = '{language}' AND regexp_matches(line, '{pattern}')" for language, kind, pattern in HEADS)
+
+
 _CODE = """WITH l AS (SELECT chunk_id, repo_name, CASE lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'javascript' WHEN 'tsx' THEN 'javascript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' END AS language,
   unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM chunks WHERE content IS NOT NULL),
 lines AS (SELECT * FROM l WHERE language IS NOT NULL AND NOT regexp_matches(line, '^\\s*(?:#|//|\\*|/\\*)'))"""
@@ -164,7 +195,7 @@ _VALUES = "WITH tasks(id, role, status) AS (VALUES " + ", ".join(str(t) for t in
 
 QUERIES = {
     q.__name__: q
-    for q in (rule_scan, rule_counts, static_findings_distinct, static_severity, definitions, structural_chunks, function_metrics, complexity_summary, dag_ready, dag_levels, dag_skipped, dag_progress, answers_parsed, prompts_rendered, reasoning_chain, signatures_verified, point_ids, stream_deduplicated, stream_windows, p7_stream)
+    for q in (rule_scan, rule_counts, static_findings_distinct, static_severity, definitions, definitions_by_kind, structural_chunks, function_metrics, complexity_summary, dag_ready, dag_levels, dag_skipped, dag_progress, answers_parsed, prompts_rendered, reasoning_chain, signatures_verified, point_ids, stream_deduplicated, stream_windows, p7_stream)
 }
 SQL = {
     "rule_scan": f"{_CODE} {_sql_rules()}",
@@ -172,6 +203,7 @@ SQL = {
     "static_findings_distinct": "SELECT min(static_id) AS static_id FROM static_findings GROUP BY rule_id, repo_name, file, line, message, matched_code",
     "static_severity": "SELECT rule_id, upper(trim(severity)) AS severity, count(*) AS findings FROM static_findings GROUP BY ALL",
     "definitions": _CODE + ", n AS (SELECT repo_name, language, CASE language WHEN 'python' THEN regexp_extract(line, '^\\s*(?:async )?(?:def|class) ([A-Za-z_]\\w*)', 1) WHEN 'javascript' THEN regexp_extract(line, '^\\s*(?:export )?(?:async )?(?:function|class) ([A-Za-z_]\\w*)', 1) WHEN 'go' THEN regexp_extract(line, '^func (?:\\([^)]*\\) )?([A-Za-z_]\\w*)', 1) WHEN 'rust' THEN regexp_extract(line, '^\\s*(?:pub )?(?:fn|struct|enum|trait) ([A-Za-z_]\\w*)', 1) END AS name FROM lines) SELECT repo_name, language, count(*) AS heads, count(DISTINCT name) AS names FROM n WHERE name <> '' GROUP BY ALL",
+    "definitions_by_kind": f"{_CODE}, found AS ({_sql_heads()}) SELECT repo_name, language, kind, count(*) AS heads, count(DISTINCT name) AS names FROM found GROUP BY ALL",
     "dag_ready": _VALUES + " SELECT id FROM tasks t WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM edges e JOIN tasks d ON d.id = e.src WHERE e.dst = t.id AND d.status NOT IN ('completed', 'failed', 'skipped'))",
     "dag_levels": _VALUES.replace("WITH tasks", "WITH RECURSIVE tasks") + ", w AS (SELECT id, 0 AS level FROM tasks WHERE id NOT IN (SELECT dst FROM edges) UNION SELECT dst, level + 1 FROM w JOIN edges ON src = id) SELECT id, max(level) AS level FROM w GROUP BY 1",
     "dag_skipped": _VALUES.replace("WITH tasks", "WITH RECURSIVE tasks") + ", w AS (SELECT id FROM tasks WHERE status IN ('failed', 'skipped') UNION SELECT t.id FROM w JOIN edges ON src = w.id JOIN tasks t ON t.id = dst WHERE t.status = 'pending' AND t.role <> 'aggregator') SELECT id FROM w JOIN tasks USING (id) WHERE status = 'pending'",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codesift.operators import chain, chunking, dag, rules, search
+from codesift.plans import code
 from codesift.sources import snapshots
 
 
@@ -168,3 +169,16 @@ def test_measured_files(spark, rows):
     texts = {"py": "def f(): pass", "js": "function f() {}", "jsx": "function f() {}", "ts": "function f() {}", "tsx": "function f() {}", "go": "package a\nfunc f() {}", "rs": "fn f() {}", "md": "function f() {}"}
     df = spark.createDataFrame([("r", f"a.{e}", t) for e, t in texts.items()] + [("r", "b.GO", None)], "repo_name STRING, file_path STRING, text STRING")
     assert rows(chunking.measure_functions(df), "file_path", "name") == sorted((f"a.{e}", "f") for e in texts if e != "md")
+
+
+def test_heads_of_every_kind(spark):
+    heads = {
+        "python": {"function": ["def f(x):", "    async def g("], "type": ["class K:", "class L(K):"]},
+        "javascript": {"function": ["export async function f(a) {", "export default function g() {", "function* h() {"], "arrow": ["const f = (a) => a", "export const g = async (a: T): Promise<U> => {", "  const h = x => x", "const i: F = <T>(a) => a"], "type": ["export interface I {", "type T = A | B", "class K {", "export abstract class L {", "enum E {"]},
+        "go": {"function": ["func F(a int) {", "func (s *T) G() {", "func Map[T any](x []T) {"], "type": ["type T struct {", "type I interface{ F() }", "type L[T any] struct {"]},
+        "rust": {"function": ["pub async fn f() {", "    pub(crate) unsafe fn g() {"], "type": ["pub struct S;", "enum E {", "pub(crate) trait T {"], "impl": ["impl S {", "impl<'a, T: Into<U>> fmt::Display for S<T> {"]},
+    }
+    none = [("javascript", "functional(x)"), ("javascript", "const x = (a)"), ("javascript", "const ok = a >= (b)"), ("go", "type ID int"), ("rust", "let x = implement(1);")]
+    df = spark.createDataFrame([("r", language, line) for language, kinds in heads.items() for lines in kinds.values() for line in lines] + [("r", *n) for n in none], "repo_name STRING, language STRING, line STRING")
+    got = {(r.language, r.kind): r.heads for r in code.count_heads(df).collect()}
+    assert got == {(language, kind): len(lines) for language, kinds in heads.items() for kind, lines in kinds.items()}
