@@ -40,11 +40,11 @@ MODIFIERS = frozenset("static abstract public private protected readonly overrid
 
 
 class Script(Grammar):
-    """JavaScript, and with ``typed`` TypeScript."""
+    """JavaScript, and with ``typed`` TypeScript; with ``jsx`` a value in angle brackets is an element, no type assertion."""
 
-    def __init__(self, tokens: Tokens, typed: bool):
+    def __init__(self, tokens: Tokens, typed: bool, jsx: bool):
         super().__init__(tokens)
-        self.typed = typed
+        self.typed, self.jsx, self.inner = typed, jsx, tokens.embedded
 
     def name(self) -> bool:
         k = self.k[self.i]
@@ -68,6 +68,23 @@ class Script(Grammar):
     def program(self) -> None:
         while self.k[self.i] != END:
             self.statement()
+        self.containers()
+
+    def containers(self) -> None:
+        for tokens, role in self.inner:
+            Script(tokens, self.typed, self.jsx).embedded(role)
+
+    def embedded(self, role: str) -> None:
+        """The whole of a container: a value, a ``spread`` of attributes, or a ``child`` of an element, which may be empty."""
+        if role != "child" or self.k[self.i] != END:
+            if role == "spread":
+                self.eat("...")
+            elif role == "child":
+                self.take("...")
+            self.expression()
+            if self.k[self.i] != END:
+                self.fail("in an embedded expression")
+        self.containers()
 
     def block(self) -> None:
         self.eat("{")
@@ -621,7 +638,7 @@ class Script(Grammar):
                 self.arguments()
         elif k == "import" and self.k[self.i + 1] in ("(", "."):
             self.i += 1
-        elif k == "<" and self.typed:
+        elif k == "<" and self.typed and not self.jsx:
             self.type_arguments()
             self.postfix(self.primary)
         elif k == "#":
@@ -1946,4 +1963,4 @@ def check(tokens: Tokens, lang: str, whole: bool) -> None:
     elif lang == "rs":
         Rust(tokens).program()
     else:
-        Script(tokens, lang in ("ts", "tsx")).program()
+        Script(tokens, lang in ("ts", "tsx"), lang == "tsx").program()

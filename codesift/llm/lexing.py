@@ -3,6 +3,9 @@
 A token is its kind: the text of a keyword or mark, or one of ``id num str
 tpl re life``.  A lexer state names what is still open at the end of a text:
 ``code``, a block comment, a template or a raw or multi-line string.
+
+A template or a JSX element is one operand; the tokens of its containers, ``${}``
+and ``{}``, are kept beside it, with balanced brackets, for the grammar.
 """
 
 from __future__ import annotations
@@ -62,15 +65,17 @@ CLOSE = {v: k for k, v in OPEN.items()}
 
 
 class Tokens:
-    """Kinds, whether a line ends before each, and the state at the end of the text."""
+    """Kinds, whether a line ends before each, the state at the end of the text, and (tokens, role) of each container within."""
 
-    __slots__ = ("kinds", "breaks", "state", "match")
+    __slots__ = ("kinds", "breaks", "state", "match", "embedded", "failed")
 
     def __init__(self):
         self.kinds: list[str] = []
         self.breaks: list[bool] = []
         self.state = CODE
         self.match: dict[int, int] = {}
+        self.embedded: list[tuple[Tokens, str]] = []
+        self.failed: set[int] = set()  # where no element begins, so that nested ones are tried once
 
 
 def lex(text: str, lang: str, state: str = CODE) -> Tokens:
@@ -197,9 +202,16 @@ def _lex_js(text: str, at: int, size: int, out: Tokens, jsx: bool, until: str |
                 breaks.append(fresh)
                 fresh = False
                 continue
-            if jsx and mark == "<" and not (kinds and kinds[-1] in _ENDS_OPERAND) and re.compile(r"<(?:>|[A-Za-z][\w.:-]*[\s/>])").match(text, m.start(7)) and until != "type":
-                end = _jsx_element(text, m.start(7), size)
-                if end > 0:
+            if jsx and mark == "<" and not (kinds and kinds[-1] in _ENDS_OPERAND) and m.start(7) not in out.failed and _ELEMENT.match(text, m.start(7)):
+                kept = len(out.embedded)
+                try:
+                    end = _jsx_element(text, m.start(7), size, out)
+                except Malformed:
+                    end = -1
+                if end < 0:  # type parameters, or an element that no grammar accepts as operators
+                    del out.embedded[kept:]
+                    out.failed.add(m.start(7))
+                else:
                     at = end
                     kinds.append("str")
                     breaks.append(fresh)
@@ -231,7 +243,7 @@ def _lex_js(text: str, at: int, size: int, out: Tokens, jsx: bool, until: str |
             at = m.end()
             continue
         else:
-            at = _template(text, m.end(), size)
+            at = _template(text, m.end(), size, out, jsx)
             if at < 0:
                 out.state = "template"
                 return size
@@ -247,7 +259,20 @@ def _lex_js(text: str, at: int, size: int, out: Tokens, jsx: bool, until: str |
     return at
 
 
-def _template(text: str, at: int, size: int) -> int:
+def _container(text: str, at: int, size: int, out: Tokens, jsx: bool, role: str) -> int:
+    """The end of the container whose opening brace ends at ``at``; -1 if a comment or template in it stays open."""
+    inner = Tokens()
+    inner.failed = out.failed
+    at = _lex_js(text, at, size, inner, jsx, "}")
+    if inner.state != CODE:
+        return -1
+    if bracket_summary(inner.kinds, inner.match) != ("", ""):
+        raise Malformed("brackets in an embedded expression")
+    out.embedded.append((inner, role))
+    return at
+
+
+def _template(text: str, at: int, size: int, out: Tokens, jsx: bool) -> int:
     """The end of a template whose opening mark ends at ``at``; -1 if it stays open."""
     while True:
         at = _TEMPLATE.match(text, at).end()
@@ -255,47 +280,56 @@ def _template(text: str, at: int, size: int) -> int:
             return -1
         if text[at] == "`":
             return at + 1
-        inner = Tokens()
-        at = _lex_js(text, at + 2, size, inner, False, "}")
-        if inner.state != CODE:
+        at = _container(text, at + 2, size, out, jsx, "value")
+        if at < 0:
             return -1
 
 
-_TAG = re.compile(r"<([A-Za-z][\w.:-]*)?\s*")
-_ATTRIBUTE = re.compile(r"\s*[A-Za-z_][\w:.-]*\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|(\{))|(?=[\s/>A-Za-z_{]))")
+_ELEMENT = re.compile(r"<(?:>|[A-Za-z_$][\w.:$-]*[\s/><])")
+_TAG = re.compile(r"<\s*(?:([A-Za-z_$][\w.:$-]*)(?:<[^<>(){}]*(?:<[^<>(){}]*>[^<>(){}]*)*>)?)?\s*")
+_ATTRIBUTE = re.compile(r"[A-Za-z_$][\w:.$-]*\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|(\{)|(?=<))|(?=[\s/>A-Za-z_${]))")
+_TEXT = re.compile(r"[^{}<>]*")
+_CLOSING = re.compile(r"<\s*/\s*([\w.:$-]*)\s*>")
+_BLANK = re.compile(r"(?:\s|/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*)*")
 
 
-def _jsx_element(text: str, at: int, size: int) -> int:
+def _jsx_element(text: str, at: int, size: int, out: Tokens) -> int:
     """The end of the element that begins at ``at``, or -1 if it is none."""
     m = _TAG.match(text, at)
-    name, at = m.group(1), m.end()
+    name, at = m.group(1) or "", _BLANK.match(text, m.end()).end()
     while at < size and text[at] not in "/>":
+        if not name:
+            return -1
         if text[at] == "{":
-            at = _lex_js(text, at + 1, size, Tokens(), True, "}")
-        elif text[at].isspace():
-            at += 1
+            at = _container(text, at + 1, size, out, True, "spread")
         else:
             a = _ATTRIBUTE.match(text, at)
             if a is None:
                 return -1
-            at = _lex_js(text, a.end(), size, Tokens(), True, "}") if a.group(1) else a.end()
-    if text.startswith("/>", at):
-        return at + 2
-    at += 1
-    while at < size:
-        mark = re.compile(r"[{<]").search(text, at)
-        if mark is None:
+            at = a.end()
+            if a.group(1):
+                at = _container(text, at, size, out, True, "value")
+            elif at < size and text[at] == "<":
+                at = _jsx_element(text, at, size, out)
+        if at < 0:
             return -1
-        at = mark.start()
+        at = _BLANK.match(text, at).end()
+    if text.startswith("/", at):
+        end = re.compile(r"/\s*>").match(text, at)
+        return end.end() if end and name else -1
+    at += 1
+    while (at := _TEXT.match(text, at).end()) < size:
+        end = _CLOSING.match(text, at)
+        if end:
+            return end.end() if end.group(1) == name else -1
         if text[at] == "{":
-            at = _lex_js(text, at + 1, size, Tokens(), True, "}")
-        elif text.startswith("</", at):
-            end = re.compile(r"</\s*([\w.:-]*)\s*>").match(text, at)
-            return end.end() if end and end.group(1) == (name or "") else -1
+            at = _container(text, at + 1, size, out, True, "child")
+        elif text[at] == "<":
+            at = _jsx_element(text, at, size, out)
         else:
-            at = _jsx_element(text, at, size)
-            if at < 0:
-                return -1
+            return -1
+        if at < 0:
+            return -1
     return -1
 
 

@@ -5,7 +5,8 @@ the state in which it ends and a bracket summary (closers that were opened
 before, openers left open).  Maps of neighbours compose, and composition is
 associative, so a file is reduced block by block without moving its text.  A
 file whose map from ``code`` does not end in ``code`` with nothing open, or
-runs into something no lexer accepts, is malformed.  Balanced files are parsed
+runs into something no lexer accepts, is malformed; in JavaScript and TypeScript,
+where a cut may lie within a template or an element, the whole file tells.  Balanced files are parsed
 by local grammars: a chunk that is a run of top-level statements by itself is
 accepted in place; only files with chunks that are not (methods cut off their
 class, literals cut in the middle) are put together and parsed as a whole.
@@ -34,6 +35,8 @@ from codesift.llm import grammars
 from codesift.llm.lexing import CODE, Malformed, bracket_summary, join_brackets, leave, lex
 from codesift.runtime import cut_lineage
 
+#: Their maps have no states within ``${}`` and JSX: a map that fails may be due to a cut there.
+CUT_ANYWHERE = ("js", "jsx", "ts", "tsx")
 LANGUAGES = ("py", "js", "jsx", "ts", "tsx", "go", "rs")
 BLOCK = 256
 DEAD = "dead"
@@ -204,8 +207,9 @@ def file_verdicts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, malformed): every file of the languages, and the malformed ones; both (repo_name, file_path, lang)."""
     rows = with_language(chunks)
     files = cut_lineage(reduce_maps(rows.mapInPandas(_map_chunks, CHUNK)))
-    broken = files.where(~F.col("balanced")).select("repo_name", "file_path", "lang")
-    unsettled = files.where("balanced AND NOT whole").select("repo_name", "file_path")
+    told = F.col("balanced") | F.col("lang").isin(*CUT_ANYWHERE)
+    broken = files.where(~told).select("repo_name", "file_path", "lang")
+    unsettled = files.where(told & ~F.col("whole")).select("repo_name", "file_path")
     texts = rows.join(unsettled, ["repo_name", "file_path"], "left_semi").select("repo_name", "file_path", "lang", "chunk_index", "content")
     ordered = texts.repartition("repo_name", "file_path").sortWithinPartitions("repo_name", "file_path", "chunk_index")
     parsed = ordered.mapInPandas(_parse_files, "repo_name STRING, file_path STRING, lang STRING")

@@ -74,3 +74,37 @@ def test_a_file_of_more_chunks_than_a_block(spark):
     data = [("r", "x.js", i, "f({" if i == 0 else "})" if i == n - 1 else f"a{i}: 1,") for i in range(n)] + [("r", "y.js", i, "f({" if i == 0 else "a: 1,") for i in range(n)]
     df = spark.createDataFrame(data, "repo_name STRING, file_path STRING, chunk_index INT, content STRING").repartition(5)
     assert [r.file_path for r in syntax.malformed_files(df).collect()] == ["y.js"]
+
+
+EMBEDDED_GOOD = {
+    "js": ["a = `${f(a)} ${ {b: [1]}.b } ${`in ${x}`}`;", "const el = <ul {...p} a={f(x)} b='it' c=<i/>>don't {items.map((x) => <li key={x.id}>{x.name}</li>)} {/* note */} {...more}<></></ul>;", "const f = () => (\n  <a.B c-d={`x ${y}`} /* e */ f>\n    {ok && <b>{x ? <i/> : null}</b>}\n  </a.B>\n);"],
+    "tsx": ["const f = <T extends A>(a: T) => <p>{a as B}</p>;", "type F = <T>(x: { a: T }) => void;\nconst x = <Foo<string> a={(b: C) => b!} />;", "const g = <T,>(a: Array<T>): void => { h<T>(a) };"],
+    "ts": ["const x = <Foo>y;", "const s = `${a as B} ${c!}`;"],
+}
+EMBEDDED_BAD = {
+    "js": ["a = `${f(a}`;", "a = `${f[a)}`;", "a = `${}`;", "a = `${a b}`;", "a = `${`${}`}`;", "a = `${a;}`;", "x = <p>{items.map(x => )}</p>;", "x = <p>{x}}</p>;", "x = <p>a > b</p>;", "x = <p>{f(x}</p>;", "x = <p a={}>y</p>;", "x = <p {a}>y</p>;", "x = <p>{<b>{`${}`}</b>}</p>;", "x = <p>y</q>;", "x = <p>y", "const x = <p>{a as B}</p>;"],
+    "tsx": ["x = <p>{items.map(x => )}</p>;", "x = <p>{x}}</p>;", "x = <p>{x};", "const x = <Foo>y;"],
+    "ts": ["const s = `${a as}`;", "const s = `${f(a}`;"],
+}
+
+
+@pytest.mark.parametrize("lang", list(EMBEDDED_GOOD))
+def test_embedded_expressions(lang):
+    for text in EMBEDDED_GOOD[lang]:
+        assert syntax.well_formed(text, lang), text
+    for text in EMBEDDED_BAD[lang]:
+        assert not syntax.well_formed(text, lang), text
+
+
+def test_deeply_nested_elements_are_tried_once():
+    assert not syntax.well_formed("x = " + "<p>{f(" * 40, "js")
+    assert syntax.well_formed("x = " + "<p>{f(" * 40 + "1" + ")}</p>" * 40, "js")
+
+
+def test_embedded_expressions_over_chunks(spark, rows):
+    data = [
+        ("a.js", 0, "const a = () => <p>"), ("a.js", 1, "don't {x.map((y) => <b>{y}</b>)}"), ("a.js", 2, "</p>;"), ("b.js", 0, "const a = () => <p>"), ("b.js", 1, "{x.map(y => )}"), ("b.js", 2, "</p>;"),
+        ("c.ts", 0, "const a = `x ${f("), ("c.ts", 1, "b)} y`;"), ("d.ts", 0, "const a = `x ${f("), ("d.ts", 1, "b} y`;"), ("e.jsx", 0, "const a = <p>{`${f(a}`}</p>;"), ("f.tsx", 0, "const a = `x"), ("f.tsx", 1, "${b} y`;"),
+    ]
+    df = spark.createDataFrame([("r", *d) for d in data], "repo_name STRING, file_path STRING, chunk_index INT, content STRING")
+    assert rows(syntax.malformed_files(df), "file_path") == [("b.js",), ("d.ts",), ("e.jsx",)]
