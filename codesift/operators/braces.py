@@ -380,12 +380,51 @@ class Source:
                 if (member or opened and (word not in _WORDS["js"] or t[k] == ",")) and (body := self._body(self.over(params))) >= 0:
                     yield i, name, k + 1, params, self.over(body) - 1
 
+    def calls(self, found: list[tuple[int, str, int, int, int]]) -> dict[int, str]:
+        """The names that are called, by their token; ``found`` are the functions."""
+        t, family, words, out = self.t, self.family, _WORDS[self.family], {}
+        named, patterns = {f[0] for f in found}, self._patterns() if family == "rs" else set()
+        for i, x in enumerate(t[:-3]):
+            before = t[i - 1] if i else ""
+            if _is_word(x) and i not in named and i not in patterns and (x not in words or before in (".", "?.")) and before not in ("new", "fn", "function", "func"):
+                j = i + 1
+                if family == "rs" and t[j] == "::" and t[j + 1] == "<":
+                    j = self.angle(j + 1)
+                elif family == "js" and t[j] == "<" and self.angle(j) > j:
+                    j = self.angle(j)
+                elif t[j] == "?." and t[j + 1] == "(":
+                    j += 1
+                lead = x == "async" and family == "js" and t[j] == "(" and t[self.over(j)] in ("=>", ":") or family == "rs" and x in ("Fn", "FnMut", "FnOnce")
+                if (t[j] == "(" or t[j] == "``") and not lead:
+                    out[i] = x.removeprefix("r#").removeprefix("#")
+        return out
+
+    def imports(self) -> list[tuple[int, str]]:
+        """(line, module) of each import."""
+        t, out = self.t, []
+        for i, x in enumerate(t[:-3]):
+            before, j = t[i - 1] if i else "", i + 1
+            if self.family == "rs" and (x == "use" or x == "crate" and before == "extern"):
+                while t[j] and t[j] != ";":
+                    j += 1
+                if t[j]:
+                    out.append((self.line[i], " ".join(self.text[self.at[i + 1] : self.at[j]].split())))
+            elif self.family == "go" and x == "import":
+                end = self.over(j) if t[j] == "(" else j + 1 + (t[j][:1] not in ('"', "`"))
+                out += [(self.line[k], t[k][1:-1]) for k in range(j, end) if t[k][:1] in ('"', "`") and t[k]]
+            elif self.family == "js" and before not in (".", "?.") and (x == "import" and t[j] not in ("(", ".") or x == "require" and t[j] == "("):
+                while t[j] and t[j] not in (";", "=", ")") and t[j][0] not in "\"'":
+                    j += 1
+                if t[j][:1] in ('"', "'") and len(t[j]) > 2:
+                    out.append((self.line[i], t[j][1:-1]))
+        return out
+
     def metrics(self) -> list[Metric]:
         t, family = self.t, self.family
         found = self.functions()
-        named, patterns = {f[0] for f in found}, self._patterns() if family == "rs" else set()
+        named, calls = {f[0] for f in found}, self.calls(found)
         words, blocks, branches = _WORDS[family], _BLOCKS[family], _BRANCHES[family]
-        branch, calls, ends = [0] * len(t), {}, {}
+        branch, ends = [0] * len(t), {}
         for i, x in enumerate(t[:-3]):
             before, after = t[i - 1] if i else "", t[i + 1]
             key = before in (".", "?.") or family == "js" and after == ":" or i in named
@@ -400,17 +439,6 @@ class Source:
                 if x == "while" and family == "js" and self._closes_do(i):
                     branch[i] = 1
                     ends.pop(i, None)
-            if _is_word(x) and i not in named and i not in patterns and (x not in words or before in (".", "?.")) and before not in ("new", "fn", "function", "func"):
-                j = i + 1
-                if family == "rs" and t[j] == "::" and t[j + 1] == "<":
-                    j = self.angle(j + 1)
-                elif family == "js" and t[j] == "<" and self.angle(j) > j:
-                    j = self.angle(j)
-                elif t[j] == "?." and t[j + 1] == "(":
-                    j += 1
-                lead = x == "async" and family == "js" and t[j] == "(" and t[self.over(j)] in ("=>", ":") or family == "rs" and x in ("Fn", "FnMut", "FnOnce")
-                if (t[j] == "(" or t[j] == "``") and not lead:
-                    calls[i] = x.removeprefix("r#").removeprefix("#")
         out = []
         for _, name, first, params, last in found:
             open_, deepest = [], 0
@@ -473,3 +501,9 @@ def function_metrics(text: str, extension: str) -> list[Metric]:
     loops, switches and tries, and an ``else if`` lies within its ``if``.
     """
     return Source(text, extension).metrics()
+
+
+def symbols(text: str, extension: str) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+    """(line, name) of each call, and (line, module) of each import."""
+    source = Source(text, extension)
+    return [(source.line[i], name) for i, name in source.calls(source.functions()).items()], source.imports()

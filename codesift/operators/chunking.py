@@ -9,6 +9,8 @@ one row, so files are spread over tasks and no group is collected.
 from __future__ import annotations
 
 import ast
+import bisect
+import keyword
 import re
 import textwrap
 import warnings
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from codesift.operators import braces
 
 LARGE, APART, RUN, GAP = 50, 10, 30, 2
-SPANS = "repo_name STRING, file_path STRING, chunk_index INT, chunk_type STRING, start_line INT, end_line INT, symbol STRING, content STRING"
+SPANS = "repo_name STRING, file_path STRING, chunk_index INT, chunk_type STRING, start_line INT, end_line INT, symbol STRING, content STRING, symbols_defined ARRAY<STRING>, symbols_called ARRAY<STRING>, imports ARRAY<STRING>"
 METRICS = "repo_name STRING, file_path STRING, name STRING, line INT, end_line INT, params INT, complexity INT, nesting INT, calls ARRAY<STRING>"
 _BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.Match)
 _HEADS = {
@@ -146,18 +148,62 @@ def file_spans(text: str, extension: str) -> list[Span]:
     return sorted(spans)
 
 
+_CALL = re.compile(r"(?<!\bdef )(?<!\bclass )\b([A-Za-z_]\w*)\(")
+_IMPORT = re.compile(r"\s*(?:from\s+(\.*[\w.]*)\s+import\b|import\s+([\w.]+))")
+_PART = re.compile(r"_part(\d+)$")
+
+
+def file_symbols(text: str, extension: str) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+    """(line, name) of each call and (line, module) of each import of a file; of a Python file that does not parse, by the look of its lines."""
+    if extension in braces.FAMILIES:
+        return braces.symbols(text, extension)
+    if extension != "py":
+        return [], []
+    calls: list[tuple[int, str]] = []
+    imports: list[tuple[int, str]] = []
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError):
+            for i, line in enumerate(text.split("\n"), 1):
+                if not line.lstrip().startswith("#"):
+                    calls += [(i, name) for name in _CALL.findall(line) if not keyword.iskeyword(name)]
+                    imports += [(i, m.group(1) or m.group(2)) for m in [_IMPORT.match(line)] if m]
+            return calls, imports
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name | ast.Attribute):
+            calls.append((node.func.end_lineno, node.func.id if isinstance(node.func, ast.Name) else node.func.attr))
+        elif isinstance(node, ast.Import):
+            imports += [(node.lineno, name.name) for name in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            imports.append((node.lineno, "." * node.level + (node.module or "")))
+    return sorted(calls, key=lambda c: c[0]), sorted(imports, key=lambda c: c[0])
+
+
+def _within(found: list[tuple[int, str]], first: int, last: int) -> list[str]:
+    a, b = bisect.bisect_left(found, first, key=lambda c: c[0]), bisect.bisect_right(found, last, key=lambda c: c[0])
+    return list(dict.fromkeys(name for _, name in found[a:b]))
+
+
 def _chunk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for repo, path, text in zip(batch["repo_name"], batch["file_path"], batch["text"], strict=True):
-            lines = text.split("\n")
-            for n, (a, b, kind, name) in enumerate(file_spans(text, path.rsplit(".", 1)[-1].lower())):
-                rows.append((repo, path, n, kind, a, b, name, "\n".join(lines[a - 1 : b])))
-        yield pd.DataFrame(rows, columns=["repo_name", "file_path", "chunk_index", "chunk_type", "start_line", "end_line", "symbol", "content"])
+            lines, extension = text.split("\n"), path.rsplit(".", 1)[-1].lower()
+            calls, imports = file_symbols(text, extension)
+            spans = file_spans(text, extension)
+            names = {span[3] for span in spans}
+            for n, (a, b, kind, name) in enumerate(spans):
+                part = _PART.search(name)
+                part = part if part and f"{name[: part.start()]}_part1" in names else None
+                defined = [] if not name or part and part.group(1) != "1" else [name[: part.start()] if part else name]
+                rows.append((repo, path, n, kind, a, b, name, "\n".join(lines[a - 1 : b]), defined, _within(calls, a, b), _within(imports, a, b)))
+        yield pd.DataFrame(rows, columns=["repo_name", "file_path", "chunk_index", "chunk_type", "start_line", "end_line", "symbol", "content", "symbols_defined", "symbols_called", "imports"])
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """Chunks of (repo_name, file_path, text) with their lines and SHA-256."""
+    """Chunks of (repo_name, file_path, text) with their lines, symbols and SHA-256; calls and imports are those of the chunk's lines."""
     return files.where("text IS NOT NULL").select("repo_name", "file_path", "text").mapInPandas(_chunk_batches, SPANS).withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
 
 

@@ -182,3 +182,23 @@ def test_heads_of_every_kind(spark):
     df = spark.createDataFrame([("r", language, line) for language, kinds in heads.items() for lines in kinds.values() for line in lines] + [("r", *n) for n in none], "repo_name STRING, language STRING, line STRING")
     got = {(r.language, r.kind): r.heads for r in code.count_heads(df).collect()}
     assert got == {(language, kind): len(lines) for language, kinds in heads.items() for kind, lines in kinds.items()}
+
+
+def test_symbols_of_chunks(spark):
+    texts = {
+        "py": "import os, sys\nfrom .x import y\n\ndef f(a):\n    return os.path.join(g(a))\n",
+        "js": "import a, { b } from 'x';\nimport 'z';\nconst q = require(\"r\");\n\nfunction f(p) {\n  return p.g(`${h(p)}`);\n}\n",
+        "go": "package a\n\nimport (\n\tf \"fmt\"\n\t\"os\"\n)\n\nfunc F(a int) {\n\tg(a)\n}\n",
+        "rs": "use a::{b, c};\n\nfn f() {\n    a::g(1);\n}\n",
+        "md": "f(x)\n",
+    }
+    df = spark.createDataFrame([("r", f"a.{e}", t) for e, t in texts.items()], "repo_name STRING, file_path STRING, text STRING")
+    got = chunking.chunk_files(df).collect()
+    assert {r.file_path[2:]: (r.symbols_defined, r.symbols_called) for r in got if r.chunk_type == "function"} == {"py": (["f"], ["join", "g"]), "js": (["f"], ["g", "h"]), "go": (["F"], ["g"]), "rs": (["f"], ["g"])}
+    imports = {}
+    for r in sorted(got, key=lambda r: r.chunk_index):
+        imports.setdefault(r.file_path[2:], []).extend(r.imports)
+    assert imports == {"py": ["os", "sys", ".x"], "js": ["x", "z", "r"], "go": ["fmt", "os"], "rs": ["a::{b, c}"], "md": []}
+    large = "def f():\n" + "".join(f"    if a{i}:\n" + "        b()\n" * 14 for i in range(5))
+    parts = chunking.chunk_files(spark.createDataFrame([("r", "l.py", large)], "repo_name STRING, file_path STRING, text STRING")).where("chunk_type = 'function'").orderBy("chunk_index").collect()
+    assert parts[0].symbols_defined == ["f"] and not any(r.symbols_defined for r in parts[1:]) and all(r.symbols_called == ["b"] for r in parts)
