@@ -2,36 +2,35 @@
 
 Each chunk becomes a lexer-state map: for every state in which it may begin,
 the state in which it ends and a bracket summary (closers that were opened
-before, openers left open).  Maps of neighbours compose, and composition is
-associative, so a file is reduced block by block without moving its text.  A
-file whose map from ``code`` does not end in ``code`` with nothing open, or
-runs into something no lexer accepts, is malformed; in JavaScript and TypeScript,
-where a cut may lie within a template or an element, the whole file tells.  Balanced files are parsed
-by local grammars: a chunk that is a run of top-level statements by itself is
-accepted in place; only files with chunks that are not (methods cut off their
-class, literals cut in the middle) are put together and parsed as a whole.
-
-Python has the parser of this interpreter as its grammar (Python 3); its maps
-carry no brackets, since only the parser can tell its nested strings.
+before, openers left open); a chunk of Python also gets an indentation
+summary.  Maps of neighbours compose, and composition is associative, so a
+file is reduced block by block without moving its text.  A file whose map from
+``code`` does not end in ``code`` with nothing open, or runs into something no
+lexer accepts, is malformed; in JavaScript and TypeScript, where a cut may lie
+within a template or an element, the whole file tells.  Balanced files are
+parsed by local grammars (Python's is the parser of this interpreter): a chunk
+that is a run of statements by itself is accepted in place, in Python at the
+column where its first statement stands; only files with chunks that are not
+(methods cut off a class in braces, literals cut in the middle) are put
+together, by a grouping that the plan itself demands, and parsed as a whole.
 
 Defined results: null content counts as empty; rows of one file with equal
 ``chunk_index`` are one chunk; an empty file is well-formed, but in Go, where
-the package clause is required; files of other extensions and rows without a
-path take no part.
+the package clause is required; rows of a null repository are files of one
+unnamed repository; files of other extensions and rows without a path take no
+part.  The text of one file, where it has to be parsed as a whole, is one row.
 """
 
 from __future__ import annotations
 
-import ast
 import sys
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm import grammars
+from codesift.llm import grammars, indents
 from codesift.llm.lexing import CODE, Malformed, bracket_summary, join_brackets, leave, lex
 from codesift.runtime import cut_lineage
 
@@ -42,12 +41,15 @@ BLOCK = 256
 DEAD = "dead"
 
 _STEP = "STRUCT<entry: STRING, exit: STRING, closers: STRING, openers: STRING>"
-CHUNK = f"repo_name STRING, file_path STRING, lang STRING, chunk_index INT, whole BOOLEAN, steps ARRAY<{_STEP}>"
-PART = f"repo_name STRING, file_path STRING, lang STRING, block INT, whole BOOLEAN, steps ARRAY<{_STEP}>"
+_REST = f"whole BOOLEAN, asks ARRAY<INT>, levels ARRAY<INT>, steps ARRAY<{_STEP}>"
+CHUNK = f"repo_name STRING, file_path STRING, lang STRING, chunk_index INT, {_REST}"
+PART = f"repo_name STRING, file_path STRING, lang STRING, block INT, {_REST}"
 
 
 def states_of(lang: str, text: str) -> list[str]:
     """The states other than ``code`` in which a chunk of the language may begin."""
+    if lang == "py":
+        return list(indents.STATES)
     if lang == "go":
         return ["comment", "goraw"]
     if lang == "rs":
@@ -58,36 +60,48 @@ def states_of(lang: str, text: str) -> list[str]:
 def well_formed(text: str, lang: str) -> bool:
     """Whether a whole file parses."""
     if lang == "py":
-        return _python(text)
+        return indents.parses(text)
     try:
         tokens = lex(text, lang)
         if tokens.state != CODE or bracket_summary(tokens.kinds, tokens.match) != ("", ""):
             return False
+        _room(len(tokens.kinds))
         grammars.check(tokens, lang, True)
     except Malformed:
         return False
-    except RecursionError:
-        return True  # balanced, and nested deeper than any statement that can be told wrong
     return True
 
 
-def _python(text: str) -> bool:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
+def _room(tokens: int) -> None:
+    """Python calls take no stack of the machine, so the grammar may go as deep as the text has tokens."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2000 + 40 * tokens))
+
+
+def _python_map(text: str) -> tuple[bool, list[tuple[str, str, str, str]], tuple[list[int], list[int]]]:
+    summary = indents.statements(text)
+    steps = []
+    for state in (CODE, *indents.STATES):
+        if summary is not None:
+            # statements; within a string that was opened before, the whole file tells
+            exit_ = CODE if state == CODE else indents.UNSURE if state[-3:] in text else state
+            steps.append((state, exit_, "", ""))
+            continue
         try:
-            ast.parse(text)
-        except (SyntaxError, ValueError):
-            return False
-        except (RecursionError, MemoryError):
-            return True
-    return True
+            if text.endswith("\\"):
+                raise indents.Lost
+            end, brackets = indents.scan(text, state)
+            steps.append((state, end, *bracket_summary(brackets)))
+        except indents.Lost:
+            steps.append((state, indents.UNSURE, "", ""))
+        except Malformed:
+            steps.append((state, DEAD, "", ""))
+    return summary is not None, steps, summary or ([], [])
 
 
-def chunk_map(text: str, lang: str, first: bool) -> tuple[bool, list[tuple[str, str, str, str]]]:
-    """(whether the chunk stands by itself, its map)."""
+def chunk_map(text: str, lang: str, first: bool) -> tuple[bool, list[tuple[str, str, str, str]], tuple[list[int], list[int]]]:
+    """(whether the chunk stands by itself, its map, its indentation summary)."""
     if lang == "py":
-        stands = not text[:1].isspace() and _python(text)
-        return stands, [(CODE, CODE, "", "")]
+        return _python_map(text)
     steps, stands = [], False
     try:
         tokens = lex(text, lang)
@@ -95,9 +109,10 @@ def chunk_map(text: str, lang: str, first: bool) -> tuple[bool, list[tuple[str,
         steps.append((CODE, tokens.state, closers, openers))
         if tokens.state == CODE and not closers and not openers:
             try:
+                _room(len(tokens.kinds))
                 grammars.check(tokens, lang, first)
                 stands = True
-            except (Malformed, RecursionError):
+            except Malformed:
                 pass
     except Malformed:
         steps.append((CODE, DEAD, "", ""))
@@ -110,22 +125,22 @@ def chunk_map(text: str, lang: str, first: bool) -> tuple[bool, list[tuple[str,
             steps.append((state, tokens.state, *bracket_summary(tokens.kinds)))
         except Malformed:
             steps.append((state, DEAD, "", ""))
-    return stands, steps
+    return stands, steps, ([], [])
 
 
 def compose(one: dict, other: dict) -> dict:
     """The map of two texts in a row: entry -> (exit, closers, openers)."""
     out = {}
     for entry, (middle, closers, openers) in one.items():
-        if middle == DEAD:
-            out[entry] = (DEAD, "", "")
+        if middle in (DEAD, indents.UNSURE):
+            out[entry] = (middle, "", "")
             continue
         after = other.get(middle)
         if after is None:
             # a raw string with more marks than the map lists: it holds on
             after = (middle, "", "")
-        if after[0] == DEAD:
-            out[entry] = (DEAD, "", "")
+        if after[0] in (DEAD, indents.UNSURE):
+            out[entry] = (after[0], "", "")
             continue
         try:
             out[entry] = (after[0], *join_brackets((closers, openers), after[1:]))
@@ -135,27 +150,26 @@ def compose(one: dict, other: dict) -> dict:
 
 
 def _map_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
     for batch in batches:
         rows = []
         for repo, path, lang, index, text in zip(batch["repo_name"], batch["file_path"], batch["lang"], batch["chunk_index"], batch["content"], strict=True):
-            stands, steps = chunk_map(text, lang, index == 0)
-            rows.append((repo, path, lang, index, stands, [dict(zip(("entry", "exit", "closers", "openers"), s, strict=True)) for s in steps]))
-        yield pd.DataFrame(rows, columns=["repo_name", "file_path", "lang", "chunk_index", "whole", "steps"])
+            stands, steps, (asks, levels) = chunk_map(text, lang, index == 0)
+            rows.append((repo, path, lang, index, stands, asks, levels, [dict(zip(("entry", "exit", "closers", "openers"), s, strict=True)) for s in steps]))
+        yield pd.DataFrame(rows, columns=["repo_name", "file_path", "lang", "chunk_index", "whole", "asks", "levels", "steps"])
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for repo, path, lang, block, parts in zip(batch["repo_name"], batch["file_path"], batch["lang"], batch["block"], batch["parts"], strict=True):
-            total, whole = None, True
+            total, summary = None, ([], [])
             for part in sorted(parts, key=lambda p: p["at"]):
-                whole = whole and bool(part["whole"])
+                summary = indents.join_indents(summary, (list(part["asks"]), list(part["levels"])) if part["whole"] else None)
                 step = {s["entry"]: (s["exit"], s["closers"], s["openers"]) for s in part["steps"]}
                 total = step if total is None else compose(total, step)
             steps = [{"entry": e, "exit": x, "closers": c, "openers": o} for e, (x, c, o) in total.items()]
-            rows.append((repo, path, lang, block, whole, steps))
-        yield pd.DataFrame(rows, columns=["repo_name", "file_path", "lang", "block", "whole", "steps"])
+            rows.append((repo, path, lang, block, summary is not None, *(summary or ([], [])), steps))
+        yield pd.DataFrame(rows, columns=["repo_name", "file_path", "lang", "block", "whole", "asks", "levels", "steps"])
 
 
 def with_language(chunks: DataFrame) -> DataFrame:
@@ -168,51 +182,43 @@ def with_language(chunks: DataFrame) -> DataFrame:
 def reduce_maps(mapped: DataFrame) -> DataFrame:
     """One row per file: ``whole`` (each chunk stands by itself) and the map from ``code``."""
     places = mapped.dropDuplicates(["repo_name", "file_path", "chunk_index"])
-    part = F.struct(F.col("chunk_index").alias("at"), "whole", "steps")
+    part = F.struct(F.col("chunk_index").alias("at"), "whole", "asks", "levels", "steps")
     blocks = places.groupBy("repo_name", "file_path", "lang", F.floor(F.col("chunk_index") / BLOCK).cast("int").alias("block")).agg(F.collect_list(part).alias("parts"))
     folded = blocks.mapInPandas(_fold, PART)
-    part = F.struct(F.col("block").alias("at"), "whole", "steps")
+    part = F.struct(F.col("block").alias("at"), "whole", "asks", "levels", "steps")
     files = folded.groupBy("repo_name", "file_path", "lang").agg(F.collect_list(part).alias("parts")).withColumn("block", F.lit(0))
     files = files.mapInPandas(_fold, PART)
     start = F.filter("steps", lambda s: s["entry"] == CODE)[0]
     balanced = (start["exit"] == CODE) & (start["closers"] == "") & (start["openers"] == "")
-    return files.select("repo_name", "file_path", "lang", "whole", balanced.alias("balanced"))
+    unsure = start["exit"] == indents.UNSURE
+    fits = F.col("whole") & ((F.size("asks") == 0) | ((F.size("asks") == 1) & (F.element_at("asks", 1) == 0)))
+    return files.select("repo_name", "file_path", "lang", fits.alias("whole"), balanced.alias("balanced"), unsure.alias("unsure"))
 
 
 def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by file and chunk; one file's text is held at a time."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
-    names, parts, last = None, [], None
-    out: list[tuple] = []
-
-    def close() -> None:
-        if names is not None and not well_formed("\n\n".join(parts), names[2]):
-            out.append(names)
-
+    """One row is one file: its chunks, in any order."""
     for batch in batches:
-        for repo, path, lang, index, text in zip(batch["repo_name"], batch["file_path"], batch["lang"], batch["chunk_index"], batch["content"], strict=True):
-            if (repo, path, lang) != names:
-                close()
-                names, parts, last = (repo, path, lang), [], None
-            if index != last:
-                parts.append(text)
-                last = index
-        yield pd.DataFrame(out, columns=["repo_name", "file_path", "lang"])
-        out.clear()
-    close()
-    yield pd.DataFrame(out, columns=["repo_name", "file_path", "lang"])
+        bad = []
+        for parts, lang in zip(batch["parts"], batch["lang"], strict=True):
+            texts = {p["chunk_index"]: p["content"] for p in parts}
+            bad.append(not well_formed("\n\n".join(texts[i] for i in sorted(texts)), lang))
+        yield batch.loc[bad, ["repo_name", "file_path", "lang"]]
 
 
 def file_verdicts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, malformed): every file of the languages, and the malformed ones; both (repo_name, file_path, lang)."""
+    """(files, malformed): every file of the languages, and the malformed ones; both (repo_name, file_path, lang).
+
+    The texts of unsettled files are gathered by an aggregation, whose
+    grouping every plan keeps: a join split over tasks cannot tear a file.
+    """
     rows = with_language(chunks)
     files = cut_lineage(reduce_maps(rows.mapInPandas(_map_chunks, CHUNK)))
-    told = F.col("balanced") | F.col("lang").isin(*CUT_ANYWHERE)
+    told = F.col("balanced") | F.col("unsure") | F.col("lang").isin(*CUT_ANYWHERE)
     broken = files.where(~told).select("repo_name", "file_path", "lang")
-    unsettled = files.where(told & ~F.col("whole")).select("repo_name", "file_path")
-    texts = rows.join(unsettled, ["repo_name", "file_path"], "left_semi").select("repo_name", "file_path", "lang", "chunk_index", "content")
-    ordered = texts.repartition("repo_name", "file_path").sortWithinPartitions("repo_name", "file_path", "chunk_index")
-    parsed = ordered.mapInPandas(_parse_files, "repo_name STRING, file_path STRING, lang STRING")
+    unsettled = files.where(told & ~(F.col("balanced") & F.col("whole"))).select(F.col("repo_name").alias("repo"), F.col("file_path").alias("path"))
+    texts = rows.join(unsettled, F.col("repo_name").eqNullSafe(F.col("repo")) & (F.col("file_path") == F.col("path")), "left_semi")
+    gathered = texts.groupBy("repo_name", "file_path", "lang").agg(F.collect_list(F.struct("chunk_index", "content")).alias("parts"))
+    parsed = gathered.mapInPandas(_parse_files, "repo_name STRING, file_path STRING, lang STRING")
     return files.select("repo_name", "file_path", "lang"), broken.unionByName(parsed)
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from codesift.llm import lexing, syntax
+from codesift.llm import indents, lexing, syntax
 
 GOOD = {
     "py": ["x = 1\n", "", "def f(a, *, b=2):\n    return f'{a[\"k\"]}'\n", 's = """<<<<<<< HEAD\n"""\n'],
@@ -47,12 +47,11 @@ def test_maps_compose_to_the_map_of_the_whole():
     lines = text.split("\n")
     total = None
     for line in lines:
-        _, steps = syntax.chunk_map(line + "\n", "js", False)
+        _, steps, _ = syntax.chunk_map(line + "\n", "js", False)
         step = {s[0]: s[1:] for s in steps}
         total = step if total is None else syntax.compose(total, step)
     whole = {s[0]: s[1:] for s in syntax.chunk_map(text + "\n", "js", False)[1]}
     assert total["comment"][0] == whole["comment"][0]
-    assert lexing.join_brackets(lexing.join_brackets(("", "({"), ("}", "[")), ("])}", "")) == lexing.join_brackets(("", "({"), lexing.join_brackets(("}", "["), ("])}", "")))[:1] + ("",) or True
     a, b, c = ("", "({"), ("}", "["), ("])", "(")
     assert lexing.join_brackets(lexing.join_brackets(a, b), c) == lexing.join_brackets(a, lexing.join_brackets(b, c)) == ("", "(")
 
@@ -108,3 +107,74 @@ def test_embedded_expressions_over_chunks(spark, rows):
     ]
     df = spark.createDataFrame([("r", *d) for d in data], "repo_name STRING, file_path STRING, chunk_index INT, content STRING")
     assert rows(syntax.malformed_files(df), "file_path") == [("b.js",), ("d.ts",), ("e.jsx",)]
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def test_no_plan_tears_a_file(spark, rows):
+    """With joins split over tasks, the files are told as without."""
+    good = ["function f(x) {", *[f"f({i}, '{'y' * 300}');" for i in range(30)], "}"]
+    data = [("big" if i % 3 else f"r{i}", f"{i}.js", at, text) for i in range(40) for at, text in enumerate(good if i % 5 else good[:-1])]
+    df = spark.createDataFrame(data, "repo_name STRING, file_path STRING, chunk_index INT, content STRING").repartition(13)
+    expected = rows(syntax.malformed_files(df))
+    assert len(expected) == 8
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    try:
+        for k, v in SKEW.items():
+            spark.conf.set(k, v)
+        assert rows(syntax.malformed_files(df)) == expected
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_files_of_a_null_repository_are_told(spark, rows):
+    data = [(None, "a.js", 0, "class A {"), (None, "a.js", 1, "f() { g( }"), (None, "b.js", 0, "class A {"), (None, "b.js", 1, "}")]
+    df = spark.createDataFrame(data, "repo_name STRING, file_path STRING, chunk_index INT, content STRING")
+    assert rows(syntax.malformed_files(df)) == [(None, "a.js", "js")]
+
+
+PYTHON = {
+    ("class A:\n    x = 1", "    def f(self):\n        return 1", "def g():\n    pass"): True,
+    ("class A:\n    x = 1", "        def f(self):\n            return 1"): None,
+    ("if x:\n    y = 1", "else:\n    y = 2"): None,
+    ("match x:\n    case 1:\n        y = 1", "    z = 1"): None,
+    ('s = """a', 'b"""'): None,
+    ("f(1,", "2)"): None,
+    ("f(1,", "2]"): False,
+    ("f(1,", "2"): False,
+    ("x = f'{a[\"(\"]}' + f'{b!r:>{w}}'", "y = 1 # it's ("): True,
+    ("x = 'a", "b'"): False,
+    ("    x = 1",): None,
+    ("", "# only ( a comment"): True,
+}
+
+
+@pytest.mark.parametrize("chunks", list(PYTHON))
+def test_python_maps_tell_or_ask_for_the_whole_file(chunks):
+    total, summary = None, ([], [])
+    for text in chunks:
+        stands, steps, own = syntax.chunk_map(text, "py", False)
+        summary = indents.join_indents(summary, own if stands else None)
+        step = {s[0]: s[1:] for s in steps}
+        total = step if total is None else syntax.compose(total, step)
+    code = total["code"]
+    told = None if code[0] == indents.UNSURE else False if code != ("code", "", "") else True if summary is not None and summary[0] in ([], [0]) else None
+    assert told == PYTHON[chunks]
+    assert told is None or told == syntax.well_formed("\n\n".join(chunks), "py")
+
+
+def test_indentation_summaries_are_associative():
+    a, b, c, d = ([0], [0, 4, 8]), ([4], [4, 8]), ([8], [8, 12]), ([4, 0], [0])
+    join = indents.join_indents
+    assert join(join(join(a, b), c), d) == join(a, join(b, join(c, d))) == ([0], [0])
+    assert join(a, ([6], [6])) is None and join(([], []), b) == b and join(b, ([], [])) == b
+
+
+def test_depth_does_not_decide():
+    assert syntax.well_formed("f(" * 4000 + "1" + ")" * 4000 + ";", "js")
+    assert not syntax.well_formed("f(" * 4000 + "1 2" + ")" * 4000 + ";", "js")
