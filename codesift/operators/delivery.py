@@ -5,8 +5,12 @@ the shard each distinct identifier gets the next ordinal.  What was seen is a
 bitmap over ordinals, cut into containers of 32768 bits per shard; a container
 is kept as a sorted array of positions while it is sparse and as plain bits
 once it is dense.  A batch selects one arrival per unseen bit; then the new
-bits are joined to the stored ones and published by one rename, so that a
-reader sees either all of a batch or none of it.
+bits are joined to the stored ones and published by one rename, together with
+the rows they stand for, so that a reader sees either all of a batch or none
+of it, and a batch that comes again gets the rows it got before.
+
+A table is delivered as a row of batches, slices of ``received_at`` in order,
+so that the copy kept is the earliest of all.
 
 Skew: the arrivals of one identifier are reduced to one before the shuffle
 (partial aggregation), and the rows to drop are found by ``msg_id``, which is
@@ -21,14 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codesift.runtime import scratch, write_table
+
 # What senders write instead of an identifier.
 STAND_INS = ("", "-", "--", "?", "0", "n/a", "na", "nan", "nil", "none", "null", "undefined", "unknown", "missing", "tbd", "todo", "default", "empty", "test")
 BLANKS = r"[\s\x{a0}\x{200b}\x{2060}\x{feff}]"
 CONTAINER_BITS = 32768
 SPARSE_LIMIT = 2048
 
-DICTIONARY = "shard INT, ordinal BIGINT, key STRING"
-CONTAINERS = "shard INT, container BIGINT, positions ARRAY<INT>, bits BINARY"
+KEPT = "shard INT, ordinal BIGINT, key STRING, msg_id BIGINT"
+CONTAINERS = "shard INT, container BIGINT, last INT, positions ARRAY<INT>, bits BINARY, version BIGINT"
 
 
 def canonical_identifier(column: Column) -> Column:
@@ -64,30 +70,40 @@ def message_key(identifier: Column, repo: Column, number: Column, commit: Column
     )
 
 
-def first_arrivals(messages: DataFrame) -> DataFrame:
-    """(key, msg_id): the earliest row of each message in the batch.
+def arrival_order() -> Column:
+    """Least is kept: the earliest, ties by ``msg_id``; a null ``received_at`` counts as latest."""
+    return F.struct(F.col("received_at").isNull().alias("late"), F.col("received_at").alias("at"), F.col("msg_id").alias("msg_id"))
 
-    Ties go to the smallest ``msg_id``; a null ``received_at`` counts as latest.
-    """
+
+def first_arrivals(messages: DataFrame, *by: str) -> DataFrame:
+    """(by, key, msg_id): the earliest row of each message in the batch, or in each of the batches that ``by`` tells apart."""
     key = message_key(F.col("correlation_id"), F.col("repo_name"), F.col("number"), F.col("head_sha"), F.col("msg_id"))
-    order = F.struct(F.col("received_at").isNull().alias("late"), F.col("received_at").alias("at"), F.col("msg_id").alias("msg_id"))
-    return messages.select(key.alias("key"), order.alias("order")).groupBy("key").agg(F.min("order").alias("first")).select("key", F.col("first.msg_id").alias("msg_id"))
+    return messages.select(*by, key.alias("key"), arrival_order().alias("order")).groupBy(*by, "key").agg(F.min("order").alias("first")).select(*by, "key", F.col("first.msg_id").alias("msg_id"))
 
 
 def shard_of(key: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
-def encode(arrivals: DataFrame, dictionary: DataFrame | None, shards: int) -> DataFrame:
+@dataclass(frozen=True)
+class Seen:
+    """What earlier batches delivered: the dictionary and the bitmap over it."""
+
+    dictionary: DataFrame
+    containers: DataFrame
+
+
+def encode(arrivals: DataFrame, seen: Seen | None, shards: int) -> DataFrame:
     """Add (shard, ordinal, known).  Known keys keep their ordinal, new ones follow after the shard's last."""
     sharded = arrivals.withColumn("shard", shard_of(F.col("key"), shards))
-    if dictionary is None:
+    if seen is None:
         new = sharded.withColumn("known", F.lit(False)).withColumn("base", F.lit(0).cast("bigint"))
         old = None
     else:
-        matched = sharded.join(dictionary.select("shard", "key", "ordinal"), ["shard", "key"], "left")
+        matched = sharded.join(seen.dictionary.select("shard", "key", "ordinal"), ["shard", "key"], "left")
         old = matched.where(F.col("ordinal").isNotNull()).withColumn("known", F.lit(True))
-        ends = dictionary.groupBy("shard").agg((F.max("ordinal") + 1).alias("base"))
+        # ordinals of a shard have no gaps, so its last container tells the next one
+        ends = seen.containers.groupBy("shard").agg((F.max(F.col("container") * CONTAINER_BITS + F.col("last")) + 1).alias("base"))
         new = matched.where(F.col("ordinal").isNull()).drop("ordinal").join(ends, "shard", "left").withColumn("known", F.lit(False)).withColumn("base", F.coalesce("base", F.lit(0)).cast("bigint"))
     rank = F.row_number().over(Window.partitionBy("shard").orderBy("key")).cast("bigint") - 1
     new = new.withColumn("ordinal", F.col("base") + rank).drop("base")
@@ -110,14 +126,17 @@ def bit_is_set(positions: Column, bits: Column, at: Column) -> Column:
 def containers_of(encoded: DataFrame) -> DataFrame:
     """The bitmap of encoded rows, one row per container: at most 32768 positions each."""
     container, at = position(F.col("ordinal"))
-    marks = encoded.select("shard", container.alias("container"), at.alias("at"))
-    grouped = marks.groupBy("shard", "container").agg(F.array_sort(F.collect_set("at")).alias("at"), F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("map"))
-    return pack(grouped.withColumn("size", F.size("at")))
+    return _packed(_grouped(encoded.select("shard", container.alias("container"), at.alias("at"))))
+
+
+def _grouped(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("shard", "container").agg(F.array_sort(F.collect_set("at")).alias("at"), F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("map"), F.max("at").alias("last"))
 
 
-def pack(grouped: DataFrame) -> DataFrame:
-    sparse = F.col("size") <= SPARSE_LIMIT
-    return grouped.select("shard", "container", F.when(sparse, F.col("at")).alias("positions"), F.when(~sparse, F.col("map")).alias("bits"))
+def _packed(grouped: DataFrame) -> DataFrame:
+    """``at`` is null where a container is dense already."""
+    sparse = F.col("at").isNotNull() & (F.size("at") <= SPARSE_LIMIT)
+    return grouped.select("shard", "container", "last", F.when(sparse, F.col("at")).alias("positions"), F.when(~sparse, F.col("map")).alias("bits"))
 
 
 def positions_of(containers: DataFrame) -> DataFrame:
@@ -128,18 +147,13 @@ def positions_of(containers: DataFrame) -> DataFrame:
 
 
 def unite(one: DataFrame, other: DataFrame) -> DataFrame:
-    """The union of two bitmaps, container by container."""
-    marks = positions_of(one).unionByName(positions_of(other))
-    grouped = marks.groupBy("shard", "container").agg(F.array_sort(F.collect_set("at")).alias("at"), F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("map"))
-    return pack(grouped.withColumn("size", F.size("at")))
-
-
-@dataclass(frozen=True)
-class Seen:
-    """What earlier batches delivered: the dictionary and the bitmap over it."""
-
-    dictionary: DataFrame
-    containers: DataFrame
+    """The union of two bitmaps, container by container; dense ones are joined bit by bit and never unpacked."""
+    both = one.select("shard", "container", "last", "positions", "bits").unionByName(other.select("shard", "container", "last", "positions", "bits"))
+    sparse = _grouped(both.where("bits IS NULL").select("shard", "container", F.explode("positions").alias("at")))
+    dense = both.where("bits IS NOT NULL").select("shard", "container", F.lit(None).cast("array<int>").alias("at"), F.col("bits").alias("map"), "last")
+    merged = sparse.unionByName(dense).groupBy("shard", "container")
+    merged = merged.agg(F.expr("bitmap_or_agg(map)").alias("map"), F.max("last").alias("last"), F.when(F.bool_or(F.col("at").isNull()), F.lit(None)).otherwise(F.max("at")).alias("at"))
+    return _packed(merged)
 
 
 def select_unseen(encoded: DataFrame, seen: Seen | None) -> DataFrame:
@@ -157,78 +171,148 @@ def default_shards(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def select_arrivals(arrivals: DataFrame, seen: Seen | None, shards: int) -> DataFrame:
+    """(msg_id, key, shard, ordinal) of the arrivals, one per key, whose bit is not set yet."""
+    return select_unseen(encode(arrivals, seen, shards), seen).select("shard", "ordinal", "key", "msg_id")
+
+
 def deliver(messages: DataFrame, seen: Seen | None = None, shards: int | None = None) -> DataFrame:
-    """(msg_id, key, shard, ordinal) of the copies to keep: one per message not seen before.
+    """(shard, ordinal, key, msg_id) of the copies to keep of one batch: one per message not seen before.
 
     ``messages`` needs msg_id (unique), received_at, correlation_id, repo_name,
     number and head_sha; other columns are ignored.  An empty table gives an
     empty result; repeated rows, nulls and stand-ins follow ``message_key``.
     """
-    shards = shards or default_shards(messages.sparkSession)
-    encoded = encode(first_arrivals(messages), seen.dictionary if seen else None, shards)
-    return select_unseen(encoded, seen).select("msg_id", "key", "shard", "ordinal")
-
-
-def repeated(messages: DataFrame, seen: Seen | None = None, shards: int | None = None) -> DataFrame:
-    """(msg_id) of every row that ``deliver`` does not keep."""
-    kept = deliver(messages, seen, shards).select("msg_id")
-    return messages.select("msg_id").join(kept, "msg_id", "left_anti")
+    return select_arrivals(first_arrivals(messages), seen, shards or default_shards(messages.sparkSession))
 
 
 class SeenStore:
-    """Versions of ``Seen`` in a folder; a file names the current one.
-
-    ``commit`` writes the next version whole and then renames a pointer over
-    the old one, so a job that dies in between leaves the old version valid.
+    """Versions of ``Seen`` in a folder, and what each batch was given.
+
+    ``CURRENT``            the number of the last published version
+    ``batches/<batch>``    the version that a batch made, or tried to; ``v<n>/batch=<batch>`` names the one that did
+    ``v<n>/kept``          the rows that version n let through; their keys and ordinals are its part of the dictionary
+    ``v<n>/containers``    the containers that version n changed, whole
+
+    A version writes only what it adds or changes; every ``compact`` versions
+    one holds everything, so a reader opens at most that many.  A version is
+    published by renaming a pointer over the old one: a job that dies before
+    leaves the old version valid, and a batch that comes again after it gets
+    the rows recorded for it.  One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, shards: int):
-        self.spark, self.folder, self.shards = spark, folder.rstrip("/"), shards
+    def __init__(self, spark: SparkSession, folder: str, shards: int, compact: int = 32):
+        self.spark, self.folder, self.shards, self.compact = spark, folder.rstrip("/"), shards, compact
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
         self._overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
 
-    def version(self) -> int:
-        current = self._path(f"{self.folder}/CURRENT")
-        if not self._fs.exists(current):
+    def _number(self, name: str) -> int:
+        where = self._path(f"{self.folder}/{name}")
+        if not self._fs.exists(where):
             return 0
-        stream = self._fs.open(current)
+        stream = self._fs.open(where)
         try:
             return int(stream.readLong())
         finally:
             stream.close()
 
+    def _put(self, name: str, number: int) -> None:
+        """Write a number under a name, whole or not at all."""
+        pending, where = self._path(f"{self.folder}/pending-{number}"), self._path(f"{self.folder}/{name}")
+        self._fs.mkdirs(where.getParent())
+        stream = self._fs.create(pending, True)
+        stream.writeLong(number)
+        stream.close()
+        array = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        array[0] = self._overwrite
+        self._context.rename(pending, where, array)
+
+    def version(self) -> int:
+        return self._number("CURRENT")
+
+    def recorded(self, batch: str) -> int:
+        """The published version that a batch made, or 0."""
+        made = self._number(f"batches/{batch}")
+        return made if made <= self.version() and self._number(f"v{made}/batch={batch}") else 0
+
+    def _parts(self, what: str, upto: int) -> list[str]:
+        base = upto // self.compact * self.compact
+        return [f"{self.folder}/v{n}/{what}" for n in range(max(base, 1), upto + 1)]
+
     def load(self) -> Seen | None:
         version = self.version()
         if not version:
             return None
-        at = f"{self.folder}/v{version}"
-        return Seen(self.spark.read.schema(DICTIONARY).parquet(f"{at}/dictionary"), self.spark.read.schema(CONTAINERS).parquet(f"{at}/containers"))
-
-    def commit(self, kept: DataFrame) -> int:
-        """Add the bits of ``kept`` (a result of ``deliver``) and publish."""
+        read = self.spark.read
+        words = self._parts("kept", version)
+        if version >= self.compact:
+            words[0] = f"{self.folder}/v{version // self.compact * self.compact}/dictionary"
+        every = read.schema(CONTAINERS).parquet(*self._parts("containers", version))
+        last = every.groupBy("shard", "container").agg(F.max_by(F.struct("last", "positions", "bits"), "version").alias("c")).select("shard", "container", "c.*")
+        return Seen(read.schema(KEPT).parquet(*words).select("shard", "ordinal", "key"), last)
+
+    def kept(self, batch: str | None = None) -> DataFrame:
+        """The rows let through: those of a batch, or of all."""
+        numbers = range(1, self.version() + 1) if batch is None else [self.recorded(batch)]
+        paths = [f"{self.folder}/v{n}/kept" for n in numbers if n]
+        return self.spark.read.schema(KEPT).parquet(*paths) if paths else self.spark.createDataFrame([], KEPT)
+
+    def publish(self, arrivals: DataFrame, batch: str) -> DataFrame:
+        """Select from (key, msg_id), one row per key, set the new bits, and return the rows let through."""
+        if self.recorded(batch):
+            return self.kept(batch)
         seen, version = self.load(), self.version() + 1
         at = f"{self.folder}/v{version}"
-        added = kept.select("shard", "ordinal", "key")
-        words = added if seen is None else seen.dictionary.unionByName(added)
-        bits = containers_of(added) if seen is None else unite(seen.containers, containers_of(added))
-        words.write.mode("overwrite").parquet(f"{at}/dictionary")
-        bits.write.mode("overwrite").parquet(f"{at}/containers")
-        pending = self._path(f"{self.folder}/CURRENT.{version}")
-        stream = self._fs.create(pending, True)
-        stream.writeLong(version)
-        stream.close()
-        array = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        array[0] = self._overwrite
-        self._context.rename(pending, self._path(f"{self.folder}/CURRENT"), array)
-        return version
+        self._fs.delete(self._path(at), True)  # what an attempt that died left there
+        select_arrivals(arrivals, seen, self.shards).write.mode("overwrite").parquet(f"{at}/kept")
+        kept = self.spark.read.schema(KEPT).parquet(f"{at}/kept")
+        bits = containers_of(kept)
+        if seen is not None:
+            touched = seen.containers if version % self.compact == 0 else seen.containers.join(bits.select("shard", "container"), ["shard", "container"], "left_semi")
+            bits = unite(touched, bits)
+        bits.withColumn("version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(f"{at}/containers")
+        if version % self.compact == 0:
+            words = seen.dictionary.unionByName(kept.select("shard", "ordinal", "key")).withColumn("msg_id", F.lit(None).cast("bigint"))
+            words.write.mode("overwrite").parquet(f"{at}/dictionary")
+        self._put(f"v{version}/batch={batch}", version)
+        self._put(f"batches/{batch}", version)
+        self._put("CURRENT", version)
+        return kept
+
+    def deliver(self, messages: DataFrame, batch: int | str) -> DataFrame:
+        """The rows of one batch to hand on.  Made for ``foreachBatch``: the same batch number gets the same rows, however often it comes."""
+        kept = self.publish(first_arrivals(messages), str(batch))
+        return messages.join(kept.select("msg_id"), "msg_id", "left_semi")
 
-    def deliver(self, messages: DataFrame) -> DataFrame:
-        """One batch: select, publish, return the rows kept.  Made for ``foreachBatch``."""
-        from codesift.runtime import cut_lineage
 
-        kept = cut_lineage(deliver(messages, self.load(), self.shards))
-        self.commit(kept)
-        return messages.join(kept.select("msg_id"), "msg_id", "left_semi")
+def deliver_in_order(messages: DataFrame, store: SeenStore, slices: int = 4) -> DataFrame:
+    """(shard, ordinal, key, msg_id) of the earliest copy of each message, by way of ``store``.
+
+    The table is cut into ``slices`` batches of equal spans of ``received_at``
+    (null is latest), which go through the store one after the other.  The
+    earliest copy lies in the first slice that has one, so what the store
+    keeps is the earliest of all.
+    """
+    time = F.unix_micros("received_at")
+    low, high = messages.agg(F.min(time), F.max(time)).first()
+    span = 1 if low is None else high - low + 1
+    place = F.least(F.floor((time - F.lit(low or 0)) * slices / F.lit(span)), F.lit(slices - 1)).cast("int")
+    sliced = messages.withColumn("slice", F.coalesce(place, F.lit(slices - 1)))
+    arrivals = write_table(first_arrivals(sliced, "slice"), "arrivals", by="slice")
+    for n in range(slices):
+        store.publish(arrivals.where(F.col("slice") == n).select("key", "msg_id"), f"slice-{n}")
+    return store.kept()
+
+
+def delivered(messages: DataFrame, slices: int = 4, shards: int | None = None) -> DataFrame:
+    """(msg_id) of the copies to keep of a whole table, through a store of its own."""
+    spark = messages.sparkSession
+    return deliver_in_order(messages, SeenStore(spark, scratch(spark, "seen"), shards or default_shards(spark)), slices).select("msg_id")
+
+
+def repeated(messages: DataFrame, slices: int = 4, shards: int | None = None) -> DataFrame:
+    """(msg_id) of every row that ``delivered`` does not keep."""
+    return messages.select("msg_id").join(delivered(messages, slices, shards), "msg_id", "left_anti")

@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.operators import chain, chunking, dag, events, rules, trees
-from codesift.operators.delivery import SeenStore
-from codesift.plans import messages
-from codesift.runtime import shared_folder
 from codesift.sources.tables import table
 from codesift.streaming import events as streams
 
@@ -159,23 +156,6 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     return streams.run_to_end(stream, "windows", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-def p7_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages kept by a stream over the queue, exactly once, through the stored bitmaps."""
-    queue = table(spark, folder, "pull_requests")
-    store = SeenStore(spark, f"{shared_folder(spark)}/seen-{spark._jvm.java.util.UUID.randomUUID().toString()}", 16)
-    kept: list[DataFrame] = []
-
-    def each(batch: DataFrame, number: int) -> None:
-        kept.append(store.deliver(batch).select("msg_id"))
-
-    stream = streams.read_table(spark, folder, "pull_requests", queue.schema)
-    streams.run_to_end(stream, "queue", "append", each)
-    out = kept[0] if kept else queue.select("msg_id").where("false")
-    for more in kept[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 def _sql_rules() -> str:
     parts = []
     for r in rules.RULES:
@@ -195,7 +175,7 @@ _VALUES = "WITH tasks(id, role, status) AS (VALUES " + ", ".join(str(t) for t in
 
 QUERIES = {
     q.__name__: q
-    for q in (rule_scan, rule_counts, static_findings_distinct, static_severity, definitions, definitions_by_kind, structural_chunks, function_metrics, complexity_summary, dag_ready, dag_levels, dag_skipped, dag_progress, answers_parsed, prompts_rendered, reasoning_chain, signatures_verified, point_ids, stream_deduplicated, stream_windows, p7_stream)
+    for q in (rule_scan, rule_counts, static_findings_distinct, static_severity, definitions, definitions_by_kind, structural_chunks, function_metrics, complexity_summary, dag_ready, dag_levels, dag_skipped, dag_progress, answers_parsed, prompts_rendered, reasoning_chain, signatures_verified, point_ids, stream_deduplicated, stream_windows)
 }
 SQL = {
     "rule_scan": f"{_CODE} {_sql_rules()}",
@@ -210,7 +190,6 @@ SQL = {
     "dag_progress": _VALUES + " SELECT count(*) AS tasks, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'failed') AS failed, round(100 * count(*) FILTER (status IN ('completed', 'failed', 'skipped')) / count(*), 1) AS percent FROM tasks",
     "answers_parsed": "SELECT event_id, (props ->> '$.k')::BIGINT AS k FROM events WHERE (props ->> '$.k') IS NOT NULL",
     "prompts_rendered": "SELECT msg_id, sha256('Review ' || coalesce(title, '{unavailable: title}') || ' of ' || coalesce(repo_name, '{unavailable: repo}') || '.' || chr(10) || coalesce(body, '{unavailable: body}')) AS prompt_hash FROM pull_requests",
-    "p7_stream": messages.SQL["p7_delivered"],
     "stream_deduplicated": "SELECT event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "stream_windows": "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY ALL",
 }

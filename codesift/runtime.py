@@ -54,8 +54,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder; unlike a checkpoint, readers fetch only the columns they need."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder; it goes when the application ends, however that happens, unless its JVM is killed."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
+
+
+def write_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder; unlike a checkpoint, readers fetch only the columns they need.
+
+    With ``by``, a column of few values, the table is cut into folders by it.
+    """
+    path = f"{scratch(df.sparkSession, name)}/data"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a table of ``write_table`` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {str(f).rsplit("/data/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.runtime import shared_folder
+from codesift.runtime import scratch
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -31,25 +31,23 @@ def first_within(events: DataFrame, keys: list[str], lateness: str = "24 hours")
     return timed(events, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, each: Callable[[DataFrame, int], None] | None = None, timers: bool = False) -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, mode: str, hand_on: Callable[[DataFrame, int], DataFrame] | None = None, timers: bool = False) -> DataFrame:
     """Run a stream over what is there and return what it wrote.
 
     The sink is idempotent: a batch writes its own folder, so a batch that is
-    run again after a failure replaces what it wrote.  In complete mode the
-    last batch holds the whole result.  A stream with ``timers`` of processing
-    time would ask for one more batch for ever, so batches without data are
-    switched off for it.
+    run again after a failure replaces what it wrote.  ``hand_on`` makes of a
+    batch and its number the rows to write.  In complete mode the last batch
+    holds the whole result.  A stream with ``timers`` of processing time would
+    ask for one more batch for ever, so batches without data are switched off
+    for it.
     """
     spark = stream.sparkSession
-    run = spark._jvm.java.util.UUID.randomUUID().toString()
-    root = f"{shared_folder(spark)}/{name}-{run}"
+    root = scratch(spark, name)
     last = {"id": -1}
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        (hand_on(batch, number) if hand_on else batch).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
         last["id"] = number
-        if each:
-            each(batch, number)
 
     switch = "spark.sql.streaming.noDataMicroBatches.enabled"
     before = spark.conf.get(switch)

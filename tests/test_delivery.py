@@ -37,32 +37,61 @@ def test_empty(spark):
 
 
 def test_batches_through_the_store_keep_one_copy_of_each(spark, tmp_path):
-    store = delivery.SeenStore(spark, str(tmp_path / "seen"), 3)
+    store = delivery.SeenStore(spark, str(tmp_path / "seen"), 3, compact=3)
     ids = [f"id-{i % 40}" for i in range(200)]
     kept = []
-    for b in range(4):
-        batch = messages(spark, *[(i, i, ids[i], "r", 1, "c") for i in range(b * 50, b * 50 + 50)])
-        kept += [r[0] for r in store.deliver(batch).select("msg_id").collect()]
+    for b in range(5):
+        batch = messages(spark, *[(i, i, ids[i], "r", 1, "c") for i in range(b * 40 - (b > 0), b * 40 + 40)])
+        kept += [r[0] for r in store.deliver(batch, b).select("msg_id").collect()]
     assert sorted(kept) == list(range(40))
-    assert store.version() == 4
+    assert store.version() == 5
     seen = store.load()
-    assert seen.dictionary.count() == 40
-    assert delivery.positions_of(seen.containers).count() == 40
+    assert sorted(r.key for r in seen.dictionary.collect()) == sorted({f"i:={i}" for i in ids})
+    assert seen.dictionary.select("shard", "ordinal").distinct().count() == 40
+    assert delivery.positions_of(seen.containers).count() == 40 and store.kept().count() == 40
 
 
-def test_a_commit_that_dies_leaves_the_old_version(spark, tmp_path):
+def test_a_batch_that_comes_again_gets_the_same_rows(spark, tmp_path, rows):
     store = delivery.SeenStore(spark, str(tmp_path / "seen"), 2)
-    store.deliver(messages(spark, (1, 1, "a", "r", 1, "c")))
+    batch = messages(spark, (1, 1, "a", "r", 1, "c"), (2, 2, "a", "r", 1, "c"), (3, 2, "b", "r", 1, "c"))
+    first = rows(store.deliver(batch, 7), "msg_id")
+    assert first == [(1,), (3,)]
+    # the sink failed after the publication: the batch is run again, by a store that knows nothing but the folder
+    again = delivery.SeenStore(spark, str(tmp_path / "seen"), 2)
+    assert rows(again.deliver(batch, 7), "msg_id") == first and again.version() == 1
+    assert rows(again.deliver(batch, 8), "msg_id") == []
+
+
+def test_a_commit_that_dies_leaves_the_old_version(spark, tmp_path, rows):
+    folder = str(tmp_path / "seen")
+    delivery.SeenStore(spark, folder, 2).deliver(messages(spark, (1, 1, "a", "r", 1, "c")), 0)
 
     class Broken(delivery.SeenStore):
-        def commit(self, kept):
-            kept.write.parquet(f"{self.folder}/v2/dictionary")
-            raise RuntimeError("lost")
+        def _put(self, name, number):
+            if name == "CURRENT":
+                raise RuntimeError("lost")
+            super()._put(name, number)
 
+    batch = messages(spark, (3, 1, "b", "r", 1, "c"), (4, 1, "a", "r", 1, "c"))
+    with pytest.raises(RuntimeError):
+        Broken(spark, folder, 2).deliver(batch, 1)
+    store = delivery.SeenStore(spark, folder, 2)
+    assert store.version() == 1 and store.recorded("1") == 0
+    assert rows(store.deliver(batch, 1), "msg_id") == [(3,)]
+    # what a dead attempt left behind is written over, whichever batch comes next
     with pytest.raises(RuntimeError):
-        Broken(spark, str(tmp_path / "seen"), 2).deliver(messages(spark, (2, 1, "b", "r", 1, "c")))
-    assert store.version() == 1
-    assert [r.msg_id for r in store.deliver(messages(spark, (3, 1, "b", "r", 1, "c"), (4, 1, "a", "r", 1, "c"))).collect()] == [3]
+        Broken(spark, folder, 2).deliver(messages(spark, (5, 1, "z", "r", 1, "c")), 2)
+    assert rows(store.deliver(messages(spark, (6, 1, "y", "r", 1, "c")), 3), "msg_id") == [(6,)]
+    assert store.recorded("2") == 0
+    assert rows(store.deliver(messages(spark, (5, 1, "z", "r", 1, "c")), 2), "msg_id") == [(5,)]
+
+
+def test_a_version_writes_only_what_it_changes(spark, tmp_path):
+    store = delivery.SeenStore(spark, str(tmp_path / "seen"), 4)
+    store.deliver(messages(spark, *[(i, i, f"k{i}", "r", 1, "c") for i in range(100)]), 0)
+    store.deliver(messages(spark, (200, 1, "new", "r", 1, "c"), (201, 1, "k5", "r", 1, "c")), 1)
+    assert spark.read.parquet(str(tmp_path / "seen" / "v2" / "containers")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "seen" / "v2" / "kept")).count() == 1
 
 
 def test_dense_containers_hold_the_same_bits(spark):
@@ -70,6 +99,7 @@ def test_dense_containers_hold_the_same_bits(spark):
     packed = delivery.containers_of(many)
     assert packed.where("bits IS NOT NULL").count() == 1
     assert {r["at"] for r in delivery.positions_of(packed).collect()} == {3 * i for i in range(3000)}
+    assert delivery.unite(packed, packed).select("last", "bits").collect() == packed.select("last", "bits").collect()
     one = delivery.containers_of(spark.range(5).select(F.lit(0).alias("shard"), F.col("id").alias("ordinal")))
     assert {r["at"] for r in delivery.positions_of(delivery.unite(packed, one)).collect()} == {3 * i for i in range(3000)} | {0, 1, 2, 3, 4}
 
