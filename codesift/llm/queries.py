@@ -35,8 +35,7 @@ def p3_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    best = survivors.best_of_duplicates(table(spark, folder, "findings"), table(spark, folder, "reviews"))
-    return best.select("group_id", "survivor_id")
+    return survivors.survivors_of(table(spark, folder, "findings"), table(spark, folder, "reviews")).select("group_id", "survivor_id")
 
 
 def p4_issues(spark: SparkSession, folder: str) -> DataFrame:

@@ -85,6 +85,19 @@ def test_layers_by_definition():
         want.update(dict.fromkeys(front, layer))
         left, layer = [r for r in left if r not in front], layer + 1
     assert survivors.peel(records) == [want[r] for r in records]
+    rng = random.Random(6)
+    many = list({(rng.randrange(6), rng.random(), 1, rng.randrange(10**9)) for _ in range(30_000)})
+    assert max(survivors.peel(many)) > 20
+
+
+def test_records_that_trade_confidence_for_recency_are_both_undominated(spark):
+    out, _ = best(spark, finding(1, conf=0.879, at=0), finding(2, conf=0.871, at=8 * 86_400), finding(3, conf=0.87, at=5))
+    row = out.first()
+    assert (row.survivor_id, row.skyline, row.layers) == (1, 2, 1)
+    # the third is beaten by one with the same fields: it takes no part; with another field it is in the second layer and fills
+    out, _ = best(spark, finding(1, conf=0.879, at=0, fix="-"), finding(2, conf=0.871, at=8 * 86_400, fix="-"), finding(3, conf=0.87, at=5, text="-", code="n/a", fix="far"), finding(4, conf=0.5, at=4, text="-", code="n/a", fix="farther"))
+    row = out.first()
+    assert (row.survivor_id, row.skyline, row.layers, row.suggested_fix, row.filled) == (1, 2, 2, "far", ["suggested_fix"])
 
 
 # near duplicates
