@@ -7,10 +7,13 @@ structure (a token's length and alphabet, a JWT's header, a Basic header's
 user and password, a key block's body) and against placeholders, references
 and prose.  A value cut into several literals is joined first.
 
-Masking puts x, X and 0 for the letters and digits of the value, so the text
-keeps its length, its alphabet and its syntax; masked text gives no findings.
+Masking puts a placeholder of the value's own alphabet (hexadecimal, base32,
+or letters and digits) for every character of the value, marks included, but
+for the padding at its end; so the text keeps its length and its syntax, and
+nothing of the value.  Masked text gives no findings.
 
-Null and empty texts give no findings and come out as they are.
+Values may be of any length.  Null and empty texts give no findings and come
+out as they are.
 """
 
 from __future__ import annotations
@@ -54,9 +57,12 @@ NAME = re.compile(
 )
 _ISSUER = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in ISSUERS.items()) + r")(?![A-Za-z0-9_])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_BODY = re.compile(r"(?:[ \t]*\r?\n|\\r\\n|\\n)[ \t]*[\"'+]*[ \t]*([A-Za-z0-9+/]{16,}={0,2})")
+_KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+# what may stand between the lines of a key: line ends, literal joints, escapes, and header lines
+_KEY_GAP = re.compile(r"(?:\s|\\[rnt]|\\(?=\r?\n)|[\"'`+,]|[A-Za-z][A-Za-z-]*: [^\n\"'`\\]*)*")
+_KEY_LINE = re.compile(r"=?[A-Za-z0-9+/]+={0,2}")
 _URL = re.compile(r"(?i)(?<![A-Za-z0-9])[a-z][a-z0-9+.-]*://[^\s:/@\"'`<>]*:([^\s\"'`<>]+?)@[\w.\[-]")
-_HEADER = re.compile(r"(?i)authorization[^\n]{0,40}?\b(bearer|basic|token)\s+([A-Za-z0-9._~+/=!@#$%^&*-]{6,})")
+_SCHEME = re.compile(r"(?i)\b(bearer|basic|token)\s+([A-Za-z0-9._~+/=!@#$%^&*-]{6,})")
 _QUOTED = r"(?:[rRbBuU]{0,2})(?:\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`((?:\\.|[^`\\\n])*)`)"
 _LITERAL = re.compile(_QUOTED)
 _NEXT = re.compile(r"\s*(?:\+|\.\.|\\)?\s*" + _QUOTED)
@@ -74,6 +80,8 @@ _ENV = re.compile(r"[ \t]*(?:-[ \t]+)?(?:export[ \t]+|set[ \t]+|ENV[ \t]+|ARG[ \
 _REST = re.compile(r"\s(?:#|//)\s")
 _SETTING = re.compile(r"(?:.*\)\s\s+)?(?:export[ \t]+)?")
 _PLAIN = re.compile(r"[^\s\"'`(){};,]+")
+# What placeholders are made of.
+MASKS = frozenset("xXaA012")
 CODE = frozenset("py js jsx ts tsx go rs".split())
 
 FOUND = "row_id BIGINT, line_no INT, kind STRING, first INT, last INT"
@@ -94,12 +102,12 @@ _AUTOMATON = _automaton()
 def usable(value: str) -> bool:
     """Whether a generic value could open something: no placeholder, mask, reference, path, number or prose."""
     bare = value.strip()
-    if len(bare) < 7 or len(bare) > 500 or any(c.isspace() for c in bare):
+    if len(bare) < 7 or any(c.isspace() for c in bare):
         return False
     if STAND_INS.search(bare) or "****" in bare or "..." in bare or re.search(r"\$\{|\{\{|\}\}|\$\(|%\(|%s|<[^>]*>|#\{", bare):
         return False
     letters = re.sub(r"[^A-Za-z0-9]", "", bare)
-    if len(letters) < 5 or set(letters) <= set("xX0") or len(set(bare)) < 5:
+    if len(letters) < 5 or set(letters) <= MASKS or len(set(bare)) < 5:
         return False
     if letters.isdigit() or re.fullmatch(r"[A-Z][A-Z_]+[A-Z]", bare) or re.fullmatch(r"\$?[A-Za-z_]\w*(?:[.:]{1,2}[A-Za-z_]\w*)+(?:\(\))?;?", bare) and not re.search(r"\d", bare):
         return False
@@ -111,7 +119,7 @@ def usable(value: str) -> bool:
 
 def _issuer_ok(kind: str, value: str) -> bool:
     body = value[4:]
-    if "EXAMPLE" in value or "****" in value or len(set(body)) < 5 or set(re.sub(r"[^A-Za-z0-9]", "", body)) <= set("xX0"):
+    if "EXAMPLE" in value or "****" in value or len(set(body)) < 5 or set(re.sub(r"[^A-Za-z0-9]", "", body)) <= MASKS:
         return False
     if kind == "jwt":
         try:
@@ -178,6 +186,24 @@ def _value_at(text: str, at: int, line_end: int, code: bool, bare_allowed: bool)
     return None
 
 
+def _key_body(text: str, at: int) -> tuple[list[tuple[int, int]], int]:
+    """(the spans of a key's lines, where the key ends) after its opening mark."""
+    again = _PEM.search(text, at)
+    limit = again.start() if again is not None else len(text)
+    end = _KEY_END.search(text, at, limit)
+    closed, limit = end is not None, end.start() if end is not None else limit
+    body: list[tuple[int, int]] = []
+    while at < limit:
+        gap = _KEY_GAP.match(text, at, limit)
+        line = _KEY_LINE.match(text, gap.end(), limit)
+        # the first line is a full one; without a closing mark all are, and each begins after a line end or a joint
+        if line is None or gap.end() == at or (len(line.group()) < 16 and (not body or not closed)):
+            break
+        body.append(line.span())
+        at = line.end()
+    return body, at
+
+
 def find_secrets(text: str, extension: str = "") -> list[tuple[int, str, list[tuple[int, int]]]]:
     """(line, kind, spans) of each credential, by place."""
     if not text:
@@ -197,11 +223,9 @@ def find_secrets(text: str, extension: str = "") -> list[tuple[int, str, list[tu
         else:
             found[line] = (kind, list(spans))
 
-    for m in _PEM.finditer(text):
-        body, at = [], m.end()
-        while (b := _BODY.match(text, at)) is not None:
-            body.append(b.span(1))
-            at = b.end()
+    at = 0
+    while (m := _PEM.search(text, at)) is not None:
+        body, at = _key_body(text, m.end())
         if body and usable(text[slice(*body[0])][:64]):
             line = line_of(m.start())
             found.setdefault(line, ("private key", []))[1].extend(body)
@@ -219,7 +243,11 @@ def find_secrets(text: str, extension: str = "") -> list[tuple[int, str, list[tu
             if usable(m.group(1)) or _known(m.group(1)):
                 add("url", [m.span(1)])
     if "authorization" in hit:
-        for m in _HEADER.finditer(text):
+        named = [m.start() for m in re.finditer("(?i)authorization", text)]
+        for m in _SCHEME.finditer(text):
+            i = bisect_right(named, m.start()) - 1
+            if i < 0 or named[i] < starts[line_of(m.start()) - 1]:
+                continue
             value = m.group(2)
             if m.group(1).lower() == "basic" and _basic_ok(value) or m.group(1).lower() != "basic" and (usable(value) or _known(value)):
                 add("header", [m.span(2)])
@@ -252,14 +280,31 @@ def find_secrets(text: str, extension: str = "") -> list[tuple[int, str, list[tu
     return [(line, *found[line]) for line in sorted(found)]
 
 
-_MASK = re.compile(r"[A-Za-z0-9]")
+_HEX = re.compile(r"[0-9a-fA-F]+")
+_BASE32 = re.compile(r"(?=.*[2-7])[A-Z2-7]{8,}")
+
+
+def placeholder(value: str) -> str:
+    """As long as the value, of its alphabet, and with nothing of it but the padding at its end."""
+    bare = value.rstrip("=")
+    plain = "".join(c for c in bare if c.isalnum())
+    low, high = ("a", "A") if _HEX.fullmatch(plain) else ("x", "X")
+    digit = "0" if "0" in plain else "2" if _BASE32.fullmatch(plain) else "1"
+    mark = low if any(c.islower() for c in plain) else high if any(c.isupper() for c in plain) else digit
+    return "".join(low if c.islower() else high if c.isupper() else digit if c.isdigit() else mark for c in bare) + value[len(bare) :]
 
 
 def masked(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` with x, X and 0 for the letters and digits of the spans."""
-    out, at = [], 0
+    """``text`` with placeholders for the spans; overlapping ones are masked as one."""
+    merged: list[list[int]] = []
     for a, b in sorted(spans):
-        out += [text[at:a], _MASK.sub(lambda m: "0" if m.group().isdigit() else "x" if m.group().islower() else "X", text[a:b])]
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    out, at = [], 0
+    for a, b in merged:
+        out += [text[at:a], placeholder(text[a:b])]
         at = b
     return "".join([*out, text[at:]])
 
