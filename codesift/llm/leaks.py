@@ -3,12 +3,15 @@
 The items' normalised word n-grams are hashed and broadcast as a sorted
 array; each partition of the corpus scans its token windows against it.  A hit
 is verified word by word against the items, so a hash collision cannot report
-a leak.  Items are stated queries of bounded number: their n-grams are counted
-first, and beyond ``max_broadcast`` the windows are joined by hash instead of
-broadcast.
+a leak.  Items are stated queries: their n-grams and characters are counted
+first, and beyond ``max_broadcast`` n-grams (24 bytes each, besides the texts)
+or 16 times as many characters the windows are joined instead of broadcast.
+Both ways give the same rows.
 
 A word is a maximal run of ASCII letters and digits; letter case and
 invisible characters are ignored.  Null or shorter texts hold no window.
+Documents are told apart by ``doc_id`` and text: rows that agree in both are
+reported once and cleaned alike.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,18 +47,20 @@ def words_of(text: str) -> list[str]:
 
 
 class ItemIndex:
-    """Sorted n-gram hashes of the items, and their words for the check of a hit."""
+    """The hashes of the items' n-grams in order, the place of each, and the texts for the check of a hit."""
 
     def __init__(self, items: list[tuple[int, str]], n: int):
-        self.n, self.words = n, {}
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, text in items:
-            self.words[item] = words_of(text or "")
-            hashes, _ = word_hashes([normal(text or "")], keep="alnum", fold=True)
-            for at, h in enumerate(window_hashes(hashes[0], n)):
-                places[int(h)].append((item, at))
-        self.places = dict(places)
-        self.hashes = np.array(sorted(places), dtype=np.uint64)
+        self.n, self.ids, self.texts = n, [i for i, _ in items], [t or "" for _, t in items]
+        hashes, _ = word_hashes([normal(t) for t in self.texts], keep="alnum", fold=True)
+        grams = [window_hashes(h, n) for h in hashes]
+        flat = np.concatenate([*grams, np.empty(0, dtype=np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        self.hashes = flat[order]
+        self.item = np.repeat(np.arange(len(items), dtype=np.int64), [len(g) for g in grams])[order]
+        self.at = np.concatenate([*[np.arange(len(g), dtype=np.int64) for g in grams], np.empty(0, dtype=np.int64)])[order]
+
+    def words(self, item: int) -> list[str]:
+        return _item_words(self.texts[item])
 
     def hits(self, windows: np.ndarray) -> np.ndarray:
         if not len(self.hashes) or not len(windows):
@@ -70,11 +76,13 @@ class ItemIndex:
             return []
         words = words_of(text)
         covered: dict[int, list[list[int]]] = defaultdict(list)
-        for start in found.tolist():
+        low, high = np.searchsorted(self.hashes, windows[found]), np.searchsorted(self.hashes, windows[found], side="right")
+        for start, first, last in zip(found.tolist(), low.tolist(), high.tolist(), strict=True):
             window = words[start : start + self.n]
-            for item, at in self.places[int(windows[start])]:
-                if self.words[item][at : at + self.n] == window:
-                    runs = covered[item]
+            for place in range(first, last):
+                own, at = int(self.item[place]), int(self.at[place])
+                if self.words(own)[at : at + self.n] == window:
+                    runs = covered[self.ids[own]]
                     if runs and start <= runs[-1][1] + 1:
                         runs[-1][1] = max(runs[-1][1], start + self.n - 1)
                     else:
@@ -82,6 +90,22 @@ class ItemIndex:
         return [(item, a, b) for item, runs in covered.items() for a, b in runs]
 
 
+@lru_cache(maxsize=4096)
+def _item_words(text: str) -> list[str]:
+    return words_of(text)
+
+
+def _small(items: DataFrame, n: int, max_broadcast: int) -> bool:
+    """Whether the items' n-grams and texts are few enough to go to every worker."""
+    plain = F.translate("text", INVISIBLE, "")
+    size = items.select(F.sum(F.greatest(F.regexp_count(plain, F.lit("[A-Za-z0-9]+")) - (n - 1), F.lit(0))), F.sum(F.length("text"))).first()
+    return (size[0] or 0) <= max_broadcast and (size[1] or 0) <= 16 * max_broadcast
+
+
+def _index(items: DataFrame, n: int):
+    return items.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in items.select("item_id", "text").where("text IS NOT NULL").collect()], n))
+
+
 def _scan(index, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = index.value
@@ -96,17 +120,15 @@ def _scan(index, n: int):
     return run
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, n: int = 12, max_broadcast: int = 5_000_000) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, n: int = 12, max_broadcast: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, first_word, last_word): every passage of at least ``n`` words that a document shares with an item.
 
     A passage is reported per maximal run of shared windows in the document.
     """
     texts = documents.select("doc_id", "text").where("text IS NOT NULL")
-    bound = items.select(F.sum(F.length("text"))).first()[0] or 0
-    if bound > 6 * max_broadcast:
-        return _joined_passages(texts, items, n)
-    index = documents.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in items.select("item_id", "text").where("text IS NOT NULL").collect()], n))
-    return texts.mapInPandas(_scan(index, n), HITS)
+    if not _small(items, n, max_broadcast):
+        return _joined_passages(texts, items, n).select("doc_id", "item_id", "first_word", "last_word").distinct()
+    return texts.mapInPandas(_scan(_index(items, n), n), HITS).distinct()
 
 
 def _windows(key: str, n: int):
@@ -114,24 +136,29 @@ def _windows(key: str, n: int):
         for batch in batches:
             texts = [normal(t) for t in batch["text"]]
             hashes, _ = word_hashes(texts, keep="alnum", fold=True)
-            for own_key, text, own in zip(batch[key], texts, hashes, strict=True):
+            for own_key, digest, text, own in zip(batch[key], batch["digest"], texts, hashes, strict=True):
                 grams = window_hashes(own, n)
                 words = words_of(text)
                 if len(grams):
                     joined = pd.Series([" ".join(words[i : i + n]) for i in range(len(grams))], dtype=object)
-                    yield pd.DataFrame({key: np.full(len(grams), own_key), "gram": grams.view(np.int64), "words": joined, "at": np.arange(len(grams), dtype=np.int32)})
+                    yield pd.DataFrame({key: np.full(len(grams), own_key), "digest": pd.Series([digest] * len(grams), dtype=object), "gram": grams.view(np.int64), "words": joined, "at": np.arange(len(grams), dtype=np.int32)})
 
     return run
 
 
+def _digest() -> Column:
+    return F.sha2(F.col("text").cast("binary"), 256)
+
+
 def _joined_passages(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The same by a join on the window, for item sets too large to broadcast."""
-    left = texts.mapInPandas(_windows("doc_id", n), "doc_id BIGINT, gram BIGINT, words STRING, at INT")
-    right = items.select("item_id", "text").where("text IS NOT NULL").mapInPandas(_windows("item_id", n), "item_id BIGINT, gram BIGINT, words STRING, at INT").select("item_id", "gram", "words").distinct()
-    hits = left.join(right, ["gram", "words"]).select("doc_id", "item_id", "at").distinct()
-    order = Window.partitionBy("doc_id", "item_id").orderBy("at")
+    """(doc_id, digest, item_id, first_word, last_word): the same by a join on the window, for item sets too large to broadcast."""
+    grams = "digest STRING, gram BIGINT, words STRING, at INT"
+    left = texts.select("doc_id", "text", _digest().alias("digest")).mapInPandas(_windows("doc_id", n), f"doc_id BIGINT, {grams}")
+    right = items.where("text IS NOT NULL").select("item_id", "text", F.lit("").alias("digest")).mapInPandas(_windows("item_id", n), f"item_id BIGINT, {grams}").select("item_id", "gram", "words").distinct()
+    hits = left.join(right, ["gram", "words"]).select("doc_id", "digest", "item_id", "at").distinct()
+    order = Window.partitionBy("doc_id", "digest", "item_id").orderBy("at")
     runs = hits.withColumn("run", F.sum(F.when(F.col("at") - F.lag("at").over(order) <= n, 0).otherwise(1)).over(order))
-    return runs.groupBy("doc_id", "item_id", "run").agg(F.min("at").alias("first_word"), (F.max("at") + n - 1).cast("int").alias("last_word")).drop("run")
+    return runs.groupBy("doc_id", "digest", "item_id", "run").agg(F.min("at").alias("first_word"), (F.max("at") + n - 1).cast("int").alias("last_word")).drop("run")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, n: int = 12) -> DataFrame:
@@ -177,21 +204,21 @@ def _remove_listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "text", "removed_spans", "removed_chars"])
 
 
-def without_leaks(documents: DataFrame, items: DataFrame, n: int = 12, drop_documents: bool = False, max_broadcast: int = 5_000_000) -> DataFrame:
+def without_leaks(documents: DataFrame, items: DataFrame, n: int = 12, drop_documents: bool = False, max_broadcast: int = 2_000_000) -> DataFrame:
     """The corpus with leaked spans cut out, or, with ``drop_documents``, without the documents that hold one.
 
-    Documents with null text come out unchanged.  Items too large to broadcast
-    are joined; then the spans found are joined to the documents by ``doc_id``,
-    which must be unique in that case.
+    Documents with null text come out unchanged.  A ``doc_id`` that comes with
+    several texts is cleaned text by text; dropped are all its rows.
     """
     if drop_documents:
         return documents.join(leaked_passages(documents, items, n, max_broadcast).select("doc_id").distinct(), "doc_id", "left_anti")
     texts = documents.select("doc_id", "text").where("text IS NOT NULL")
-    if (items.select(F.sum(F.length("text"))).first()[0] or 0) > 6 * max_broadcast:
-        spans = leaked_passages(documents, items, n, max_broadcast).groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
-        cleaned = texts.join(spans, "doc_id", "left").mapInPandas(_remove_listed, CLEANED)
+    if _small(items, n, max_broadcast):
+        cleaned = texts.mapInPandas(_remove(_index(items, n), n), CLEANED)
     else:
-        index = documents.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in items.select("item_id", "text").where("text IS NOT NULL").collect()], n))
-        cleaned = texts.mapInPandas(_remove(index, n), CLEANED)
+        spans = _joined_passages(texts, items, n).groupBy(F.col("doc_id").alias("doc"), F.col("digest").alias("own")).agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
+        marked = texts.withColumn("digest", _digest())
+        joined = marked.join(spans, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("digest") == F.col("own")), "left")
+        cleaned = joined.select("doc_id", "text", "spans").mapInPandas(_remove_listed, CLEANED)
     empty = documents.where("text IS NULL").select("doc_id", "text", F.lit(0).alias("removed_spans"), F.lit(0).alias("removed_chars"))
     return cleaned.unionByName(empty)

@@ -26,7 +26,7 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = os.environ.get("CODESIFT_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -37,34 +37,29 @@ PLACED = "spec_id INT, container STRING, doc_id BIGINT, piece INT, first_token I
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-def encoder(path: str):
-    """The tokenizer of a rank file: a function from texts to numbers of tokens."""
+def ship(spark: SparkSession, path: str) -> str:
+    """Hand the rank file on to the workers with the job; its name there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def encoder(name: str):
+    """The tokenizer of a shipped rank file: a function from whole texts to numbers of tokens."""
     import tiktoken
+    from pyspark import SparkFiles
 
-    with open(path, "rb") as lines:
+    with open(SparkFiles.get(name), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def count(text: str) -> int:
-        # long texts go in parts cut at line ends, which no token crosses backwards
-        if len(text) <= 100_000:
-            return len(encoding.encode_ordinary(text))
-        total, at = 0, 0
-        while at < len(text):
-            end = text.rfind("\n", at, at + 100_000) if at + 100_000 < len(text) else len(text)
-            end = end if end > at else min(len(text), at + 100_000)
-            total += len(encoding.encode_ordinary(text[at:end]))
-            at = end
-        return total
-
-    return count
+    return lambda text: len(encoding.encode_ordinary(text))
 
 
 def token_sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, tokens) of every document with text."""
+    name = ship(documents.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = encoder(path)
+        count = encoder(name)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": pd.Series([count(t) for t in batch["text"]], dtype="int32")})
 
@@ -146,10 +141,13 @@ def blocks_for(total: int, block: int) -> int:
 def pack_documents(documents: DataFrame, specs: DataFrame, path: str = TOKENIZER, block: int = 20_000) -> DataFrame:
     """(spec_id, container, doc_id, piece, first_token, tokens): every token of every text in one container of each size.
 
-    ``specs`` holds a few container sizes; each block is packed once per size.
-    A repeated doc_id is packed as often as it comes.
+    Every size in ``specs`` is served; they are arguments of the call and go
+    with the task, each block is packed once per size.  Of several sizes under
+    one ``spec_id`` the smallest holds.  A repeated doc_id is packed as often
+    as it comes.
     """
-    sizes = [(r["spec_id"], r["capacity_tokens"]) for r in specs.where("capacity_tokens > 0").select("spec_id", "capacity_tokens").orderBy("spec_id").limit(1000).collect()]
+    sizes = [(r[0], r[1]) for r in specs.where("capacity_tokens > 0 AND spec_id IS NOT NULL").groupBy("spec_id").agg(F.min("capacity_tokens")).toLocalIterator()]
+    sizes.sort()
     measured = token_sizes(documents, path)
     parts = blocks_for(documents.count(), block)
     # an id that comes again and again is spread like any other
@@ -172,4 +170,5 @@ def pack_documents(documents: DataFrame, specs: DataFrame, path: str = TOKENIZER
 def fill_rates(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """Containers, tokens and share of space used per size."""
     sums = packed.groupBy("spec_id").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
-    return sums.join(specs.select("spec_id", "capacity_tokens"), "spec_id").withColumn("filled", F.round(F.col("tokens") / F.col("containers") / F.col("capacity_tokens"), 4))
+    sizes = specs.where("capacity_tokens > 0").groupBy("spec_id").agg(F.min("capacity_tokens").alias("capacity_tokens"))
+    return sums.join(sizes, "spec_id").withColumn("filled", F.round(F.col("tokens") / F.col("containers") / F.col("capacity_tokens"), 4))

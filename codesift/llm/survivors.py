@@ -78,17 +78,23 @@ def canonical_path(path: Column, repo: Column) -> Column:
 
 
 def reports(findings: DataFrame, reviews: DataFrame) -> DataFrame:
-    """The rows with usable values, their issue (null: one of their own) and their place in the policy."""
+    """The rows with usable values and their issue; ``known`` is false for those that report one of their own.
+
+    What is usable is told before the repository is joined, so texts do not
+    move where only their presence counts.  The key of the join is not that of
+    the issue, so the planner may split a review that holds many rows.
+    """
     repos = reviews.select("review_id", "repo_name").where("review_id IS NOT NULL").groupBy("review_id").agg(F.min("repo_name").alias("repo_name"))
-    rows = findings.select("finding_id", "review_id", "file_path", "line_number", "category", "created_at", *FIELDS).join(repos, "review_id", "left")
-    path = canonical_path(F.col("file_path"), F.coalesce("repo_name", F.lit("\u0000")))
     category = F.lower(F.trim(F.regexp_replace("category", r"\s+", " ")))
-    known = F.col("review_id").isNotNull() & (F.col("line_number") >= 1) & (path != "") & (category != "")
-    rows = rows.select(
-        "finding_id", F.when(known, F.xxhash64("review_id", path, "line_number", category)).alias("issue"), "review_id", path.alias("path"), "line_number", category.alias("kind"), "created_at",
+    rows = findings.select(
+        "finding_id", "review_id", "file_path", "line_number", category.alias("kind"), "created_at",
         usable_severity(F.col("severity")).alias("severity"), *[usable_text(F.col(t)).alias(t) for t in TEXTS], usable_confidence(F.col("confidence")).alias("confidence"),
     )
-    return rows.withColumn("usable", sum(F.col(f).isNotNull().cast("int") for f in FIELDS))
+    rows = rows.withColumn("mask", sum(F.shiftleft(F.col(f).isNotNull().cast("int"), i) for i, f in enumerate(FIELDS))).withColumn("rank", severity_rank(F.col("severity")))
+    rows = rows.join(repos, "review_id", "left")
+    path = canonical_path(F.col("file_path"), F.coalesce("repo_name", F.lit("\u0000")))
+    known = F.col("review_id").isNotNull() & (F.col("line_number") >= 1) & (path != "") & (F.col("kind") != "")
+    return rows.select("finding_id", F.concat("review_id", F.lit("")).alias("review_id"), path.alias("path"), "line_number", "kind", "created_at", "mask", "rank", F.coalesce(known, F.lit(False)).alias("known"), *FIELDS)
 
 
 ISSUE = ("review_id", "path", "line_number", "kind")
@@ -96,9 +102,8 @@ ISSUE = ("review_id", "path", "line_number", "kind")
 
 def cells(rows: DataFrame) -> DataFrame:
     """One record per issue, set of usable fields, confidence and severity: the latest of its rows, with their count and smallest id."""
-    mask = sum(F.shiftleft(F.col(f).isNotNull().cast("int"), i) for i, f in enumerate(FIELDS))
     trust, at = F.coalesce("confidence", F.lit(-1.0)), F.coalesce(F.unix_micros("created_at"), F.lit(NEVER))
-    keyed = rows.where("issue IS NOT NULL").select(*ISSUE, "finding_id", mask.alias("mask"), "usable", trust.alias("trust"), severity_rank(F.col("severity")).alias("rank"), at.alias("at"))
+    keyed = rows.where("known").select(*ISSUE, "finding_id", "mask", F.bit_count("mask").alias("usable"), trust.alias("trust"), "rank", at.alias("at"))
     latest = F.max(F.struct("at", (-F.col("finding_id")).alias("minus_id")))
     return keyed.groupBy(*ISSUE, "mask", "usable", "trust", "rank").agg(latest.alias("latest"), F.count(F.lit(1)).alias("n"), F.min("finding_id").alias("least"))
 
@@ -206,6 +211,6 @@ def one_per_issue(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     # a row that is alone keeps its own values
     nothing = [F.lit(None).cast("double" if f == "confidence" else "string").alias(f) for f in FIELDS]
     alone = found.groupBy(*ISSUE).agg(F.min("least").alias("group_id"), F.sum("n").alias("n")).where("n = 1").select("group_id", F.col("group_id").alias("survivor_id"), *nothing)
-    own = rows.where("issue IS NULL").select(F.col("finding_id").alias("group_id"), F.col("finding_id").alias("survivor_id"), *nothing)
+    own = rows.where("NOT known").select(F.col("finding_id").alias("group_id"), F.col("finding_id").alias("survivor_id"), *nothing)
     every = several.unionByName(alone).unionByName(own)
     return every.join(home, "survivor_id").select("group_id", "survivor_id", "review_id", "file_path", "line_number", "category", *[F.coalesce(f, f"o_{f}").alias(f) for f in FIELDS])

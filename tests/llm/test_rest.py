@@ -238,8 +238,11 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(tuple(r) for r in joined.collect()) == want
     clean = leaks.without_leaks(documents, table)
     assert clean.count() == len(docs) and leaks.leaked_items(clean, table).count() == 0
-    once = documents.dropDuplicates(["doc_id"])
-    small, large = (sorted(tuple(r) for r in leaks.without_leaks(once.where("text IS NOT NULL"), table, max_broadcast=m).collect()) for m in (10**6, 1))
+    # a repeated id with another text, and repeated rows: both ways give the same
+    more = documents.unionByName(spark.createDataFrame([(902, "other " + items[1][1], 7), (903, "x", 7), (None, items[2][1], 7)], "doc_id BIGINT, text STRING, item_id INT"))
+    small, large = (sorted((tuple(r) for r in leaks.without_leaks(more, table, max_broadcast=m).collect()), key=repr) for m in (10**6, 1))
+    assert small == large and len(small) == len(docs) + 3
+    small, large = (sorted((tuple(r) for r in leaks.leaked_passages(more, table, max_broadcast=m).collect()), key=repr) for m in (10**6, 1))
     assert small == large
     assert leaks.without_leaks(documents, table, drop_documents=True).count() == len(docs) - sum(1 for d, _, _ in docs if d in {x for x, _ in want})
     assert leaks.leaked_items(documents.limit(0), table).count() == 0 and leaks.leaked_items(documents, table.limit(0)).count() == 0
@@ -277,6 +280,17 @@ def test_packed_documents(spark):
     assert packing.pack_documents(docs.limit(0), specs).count() == 0
 
 
+def test_every_container_size_is_served_and_texts_are_measured_whole(spark):
+    docs = spark.createDataFrame([(1, "x" * 300_000), (2, "two words")], "doc_id BIGINT, text STRING")
+    sizes = {r.doc_id: r.tokens for r in packing.token_sizes(docs).collect()}
+    spark.sparkContext.addFile(packing.TOKENIZER)
+    whole = packing.encoder(packing.TOKENIZER.rsplit("/", 1)[1])
+    assert sizes[1] == whole("x" * 300_000)
+    specs = spark.range(1200).selectExpr("CAST(id AS INT) AS spec_id", "CAST(10 AS INT) AS capacity_tokens").union(spark.createDataFrame([(5, 7)], "spec_id INT, capacity_tokens INT"))
+    packed = packing.pack_documents(docs.where("doc_id = 2"), specs)
+    assert packed.select("spec_id").distinct().count() == 1200
+
+
 # reading
 
 EASY = "We saw the bug. It was small. Run the job and see. The log is ok now. Ask me if it is not. You can try it. " * 4
