@@ -32,7 +32,7 @@ OPENS_INSIDE = re.compile(r"\s*(?:if|for|while|match|switch|select|try|with|case
 CLOSES = re.compile(r"\s*[)\]}]+[;,]?\s*$")
 BREAKS = re.compile(r"[\s;,{}()\[\]]")
 
-PIECES = "chunk_id BIGINT, piece_index INT, piece_count INT, content STRING, first_line INT, last_line INT, repeated_lines INT"
+PIECES = "piece_index INT, piece_count INT, content STRING, first_line INT, last_line INT, repeated_lines INT"
 
 
 def strengths(lines: list[str]) -> np.ndarray:
@@ -122,28 +122,47 @@ def cut_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for key, text, limit, overlap in zip(batch["chunk_id"], batch["content"], batch["max_chars"], batch["overlap_lines"], strict=True):
-            pieces = cut_text(text, int(limit), int(overlap))
-            for i, (start, end, repeated) in enumerate(pieces):
-                first = text.count("\n", 0, start)
-                rows.append((key, i, len(pieces), text[start:end], first, first + text.count("\n", start, end - 1), repeated))
-        yield pd.DataFrame(rows, columns=["chunk_id", "piece_index", "piece_count", "content", "first_line", "last_line", "repeated_lines"])
+def _cut(carried: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at, rows = [], []
+            for i, (text, limit, overlap) in enumerate(zip(batch["content"], batch["max_chars"], batch["overlap_lines"], strict=True)):
+                pieces = cut_text(text, int(limit), int(overlap))
+                before, first = 0, 0
+                for n, (start, end, repeated) in enumerate(pieces):
+                    # pieces begin one after the other, so each line end is counted once, and once more where it is repeated
+                    first += text.count("\n", before, start)
+                    before = start
+                    at.append(i)
+                    rows.append((n, len(pieces), text[start:end], first, first + text.count("\n", start, end - 1), repeated))
+            own = pd.DataFrame(rows, columns=["piece_index", "piece_count", "content", "first_line", "last_line", "repeated_lines"])
+            yield pd.concat([batch[carried].take(at).reset_index(drop=True), own], axis=1)
 
+    return run
 
-def cut_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """Pieces of every item above its type's limit; lines are counted from 0 within the item.
 
-    The length test runs before anything leaves the JVM.  ``limits`` has one
-    row per type; it is joined by the planner, which broadcasts it when small.
+def oversized(chunks: DataFrame, limits: DataFrame, *carried: str) -> DataFrame:
+    """The items above their type's limit: (carried, content, max_chars, overlap_lines).
+
+    ``limits`` has one row per type; it is joined by the planner, which broadcasts it when small.
     """
     kind = F.lower(F.trim(F.regexp_replace("chunk_type", r"\s+", " ")))
     sizes = limits.select(F.lower(F.trim("chunk_type")).alias("kind"), "max_chars", F.coalesce("overlap_lines", F.lit(0)).alias("overlap_lines")).where("max_chars > 0 AND kind IS NOT NULL")
     sizes = sizes.groupBy("kind").agg(F.min("max_chars").alias("max_chars"), F.min_by("overlap_lines", "max_chars").alias("overlap_lines"))
-    large = chunks.select("chunk_id", "content", kind.alias("kind")).join(sizes, "kind").where(F.length("content") > F.col("max_chars"))
-    return large.select("chunk_id", "content", "max_chars", "overlap_lines").mapInPandas(_cut_batches, PIECES)
+    large = chunks.select(*carried, "content", kind.alias("kind")).join(sizes, "kind").where(F.length("content") > F.col("max_chars"))
+    return large.select(*carried, "content", "max_chars", "overlap_lines")
+
+
+def pieces_of(large: DataFrame) -> DataFrame:
+    """The pieces of each item, beside the columns it carries; lines are counted from 0 within the item."""
+    carried = [f for f in large.schema if f.name not in ("content", "max_chars", "overlap_lines")]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in carried), PIECES])
+    return large.mapInPandas(_cut([f.name for f in carried]), schema)
+
+
+def cut_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """Pieces of every item above its type's limit by ``chunk_id``.  The length test runs before anything leaves the JVM."""
+    return pieces_of(oversized(chunks, limits, "chunk_id"))
 
 
 def first_lines(chunks: DataFrame, block: int = 512) -> DataFrame:
@@ -164,12 +183,24 @@ def first_lines(chunks: DataFrame, block: int = 512) -> DataFrame:
 
 
 def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """Pieces with ``start_line`` and ``end_line`` in the file, whatever the stored lines say."""
-    pieces = cut_oversized(chunks, limits)
-    places = chunks.select("chunk_id", "repo_name", "file_path", "chunk_index", "chunk_type")
-    lines = first_lines(chunks)
-    placed = pieces.join(places, "chunk_id").join(lines, ["repo_name", "file_path", "chunk_index"], "left")
-    return placed.select(
+    """Pieces with ``start_line`` and ``end_line`` in the file, whatever the stored lines say.
+
+    Only the text of oversized items moves, once, to meet the line its item
+    begins on; rows without a ``chunk_index`` have no place in their file and
+    get no lines.
+    """
+    large = oversized(chunks, limits, "chunk_id", "repo_name", "file_path", "chunk_type", "chunk_index")
+    lines = first_lines(chunks).select(F.col("repo_name").alias("r"), F.col("file_path").alias("p"), F.col("chunk_index").alias("c"), F.col("base").cast("int").alias("base"))
+    placed = large.join(lines, F.col("repo_name").eqNullSafe(F.col("r")) & F.col("file_path").eqNullSafe(F.col("p")) & (F.col("chunk_index") == F.col("c")), "left").drop("r", "p", "c", "chunk_index")
+    return pieces_of(placed).select(
         "chunk_id", "repo_name", "file_path", "chunk_type", "piece_index", "piece_count", "content",
-        (F.col("base") + F.col("first_line")).cast("int").alias("start_line"), (F.col("base") + F.col("last_line")).cast("int").alias("end_line"), "repeated_lines",
+        (F.col("base") + F.col("first_line")).alias("start_line"), (F.col("base") + F.col("last_line")).alias("end_line"), "repeated_lines",
     )
+
+
+def rebuilt(pieces: DataFrame) -> DataFrame:
+    """(chunk_id, pieces, longest, text_hash): the items put together again from their pieces, less the lines they repeat."""
+    fresh = F.when(F.col("repeated_lines") == 0, F.col("content")).otherwise(F.array_join(F.slice(F.split("content", "\n", -1), F.col("repeated_lines") + 1, F.length("content") + 1), "\n"))
+    parts = pieces.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_index", fresh.alias("text")))).alias("parts"), F.max(F.length("content")).alias("longest"))
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    return parts.select("chunk_id", F.size("parts").alias("pieces"), "longest", F.sha2(text.cast("binary"), 256).alias("text_hash"))

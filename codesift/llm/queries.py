@@ -18,6 +18,20 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return cutting.split_oversized(table(spark, folder, "chunks"), table(spark, folder, "size_limits"))
 
 
+def p1_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Each oversized item put together again from its pieces, all of them within the largest limit."""
+    found = cutting.rebuilt(p1_pieces(spark, folder))
+    return found.select("chunk_id", (F.col("pieces") > 1).alias("cut"), "text_hash")
+
+
+def p1_overlong(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces, and pieces longer than their type allows (none), by type."""
+    kind = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    sizes = table(spark, folder, "size_limits").select(F.lower(F.trim("chunk_type")).alias("kind"), "max_chars")
+    pieces = p1_pieces(spark, folder).withColumn("kind", kind("chunk_type")).join(sizes, "kind")
+    return pieces.groupBy("kind").agg(F.countDistinct("chunk_id").alias("items"), F.count_if(F.length("content") > F.col("max_chars")).alias("overlong"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.malformed_files(table(spark, folder, "chunks")).select("repo_name", "file_path")
 
@@ -92,7 +106,7 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_profile(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_issues": p4_issues, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_masked": p6_masked, "p9_found": p9_found, "p9_clean": p9_clean, "p8_packed": p8_packed, "p8_fill": p8_fill, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_rebuilt": p1_rebuilt, "p1_overlong": p1_overlong, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_issues": p4_issues, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_masked": p6_masked, "p9_found": p9_found, "p9_clean": p9_clean, "p8_packed": p8_packed, "p8_fill": p8_fill, "p10_found": p10_found, "p10_profile": p10_profile}
 
 _quoted = lambda values: ", ".join("'" + v + "'" for v in values)
 
@@ -100,6 +114,12 @@ SQL = {
     "p1_found": """
 SELECT c.chunk_id FROM chunks c JOIN size_limits s ON lower(trim(regexp_replace(c.chunk_type, '\\s+', ' ', 'g'))) = lower(trim(s.chunk_type))
 WHERE length(c.content) > s.max_chars""",
+    "p1_rebuilt": """
+SELECT c.chunk_id, TRUE AS cut, sha256(c.content) AS text_hash FROM chunks c JOIN size_limits s ON lower(trim(regexp_replace(c.chunk_type, '\\s+', ' ', 'g'))) = lower(trim(s.chunk_type))
+WHERE length(c.content) > s.max_chars""",
+    "p1_overlong": """
+SELECT lower(trim(s.chunk_type)) AS kind, count(*) AS items, 0::BIGINT AS overlong FROM chunks c JOIN size_limits s ON lower(trim(regexp_replace(c.chunk_type, '\\s+', ' ', 'g'))) = lower(trim(s.chunk_type))
+WHERE length(c.content) > s.max_chars GROUP BY 1""",
     "p4_found": f"""
 WITH r AS (SELECT review_id, min(repo_name) AS repo FROM reviews GROUP BY 1),
 a AS (SELECT f.*, regexp_replace(regexp_replace(replace(trim(file_path), '\\', '/'), '/(\\./)*/*', '/', 'g'), '^(\\./|/)+', '') AS p, coalesce(repo, '~~') AS repo FROM findings f LEFT JOIN r USING (review_id)),
