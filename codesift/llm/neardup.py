@@ -17,10 +17,15 @@ non-empty segments therefore hold one that both share.  The order puts rare
 segments first, after a table of token counts of fixed size that all records
 fill, so boilerplate is hardly ever joined on.  A record takes part in the
 segmentation of its own band and of the next larger one; the ratio of bands is
-1 / t, hence partners always meet in one of them.  Bands of fewer than 24
-tokens have a segment for each token, so none is empty; above, with three
-segments per token of the band's lower end, a record has D or fewer non-empty
-segments with a probability below 1e-13, as rare as equal 64-bit hashes.
+1 / t, hence partners always meet in one of them.  A record of D or fewer
+non-empty segments could miss a partner; with three segments per token of the
+band's lower end, or 2**24 in bands of fewer than 24 tokens, that is as rare
+as equal 64-bit hashes (below 1e-13).
+
+Hot segments.  The count of a segment's rarest token bounds the records that
+share the segment.  Segments with a small bound meet in one sort; those that
+may be frequent are counted by an aggregation first, so that no task gathers
+them, and are cut into blocks.
 
 Candidates are filtered by size and by the Hamming bound and then verified on
 the exact token sets.
@@ -49,8 +54,10 @@ from codesift.runtime import cut_lineage, write_table
 
 TABLE_BITS = 18
 SKETCH_WORDS = 4
-SINGLE_BELOW = 24
-RECORDS = "class BIGINT, chunk_id BIGINT, size INT, s0 BIGINT, s1 BIGINT, s2 BIGINT, s3 BIGINT, keys ARRAY<BIGINT>"
+SMALL_BELOW, SMALL_SEGMENTS = 24, 1 << 24
+# Weights are twice the binary logarithm of a count: above this a segment may be shared by more than about 2,000 records.
+HOT_WEIGHT = 22
+RECORDS = "class BIGINT, chunk_id BIGINT, size INT, s0 BIGINT, s1 BIGINT, s2 BIGINT, s3 BIGINT, keys ARRAY<BIGINT>, hot ARRAY<BIGINT>"
 
 
 class Join:
@@ -124,31 +131,28 @@ def token_counts(texts: DataFrame, rule: Join) -> np.ndarray:
     return np.ceil(np.log2(table + 1) * 2).astype(np.uint8)
 
 
-def segment_keys(tokens: np.ndarray, weight: np.ndarray, rule: Join) -> np.ndarray:
-    """The join keys of one record: for its band and the next, the first D + 1 segments in the common order."""
+def segment_keys(tokens: np.ndarray, weight: np.ndarray, rule: Join) -> tuple[np.ndarray, np.ndarray]:
+    """The join keys of one record, and those of them that may be frequent: for its band and the next, the first D + 1 segments in the common order."""
     size = len(tokens)
     own = rule.band(size)
-    keys = []
+    keys, hot = [], []
     for scheme in (own, own + 1):
-        if rule.ratio**scheme < SINGLE_BELOW:
-            # each token is a segment of its own; only tokens of this record can be missing in the other
-            keys.append(_first(mix(tokens), weight, size - -(-rule.num * size // rule.den)))
-            continue
         partner = min(rule.top(scheme), size * rule.den / rule.num)
         apart = rule.most_apart(size, max(partner, size))
-        segments = math.ceil(3 * rule.ratio**scheme)
+        floor = rule.ratio**scheme
+        segments = SMALL_SEGMENTS if floor < SMALL_BELOW else math.ceil(3 * floor)
         place = (mix(tokens ^ np.uint64(0x517CC1B7)) % np.uint64(segments)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         seats = place[order]
         heads = np.flatnonzero(np.diff(seats, prepend=-1))
         parity = np.bitwise_xor.reduceat(mix(tokens[order]), heads)
         rare = np.minimum.reduceat(weight[order], heads)
-        keys.append(_first(mix(parity ^ mix(seats[heads].astype(np.uint64) + np.uint64(scheme << 32))), rare, apart))
-    return np.unique(np.concatenate(keys))
-
-
-def _first(keys: np.ndarray, weight: np.ndarray, apart: int) -> np.ndarray:
-    return keys[np.lexsort((keys, weight))[: apart + 1]]
+        made = mix(parity ^ mix(seats[heads].astype(np.uint64) + np.uint64(scheme << 32)))
+        first = np.lexsort((made, rare))[: apart + 1]
+        busy = rare[first] > HOT_WEIGHT
+        keys.append(made[first[~busy]])
+        hot.append(made[first[busy]])
+    return np.unique(np.concatenate(keys)), np.unique(np.concatenate(hot))
 
 
 def parity_bits(rows: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
@@ -174,17 +178,20 @@ def records(texts: DataFrame, weights, rule: Join) -> DataFrame:
             xors = np.bitwise_xor.reduceat(mix(tokens ^ np.uint64(0xABCDEF)), starts[taking])
             classes = mix(sums ^ mix(xors)).view(np.int64)
             bits = parity_bits(rows, tokens, len(part))[taking]
-            keys = []
+            keys, hot = [], []
             for at, label in zip(taking.tolist(), classes.tolist(), strict=True):
                 if label in known:
                     keys.append(None)
+                    hot.append(None)
                     continue
                 known.add(label)
                 cut = slice(starts[at], starts[at + 1])
-                keys.append(segment_keys(tokens[cut], weight[cut], rule).view(np.int64))
+                cold, busy = segment_keys(tokens[cut], weight[cut], rule)
+                keys.append(cold.view(np.int64))
+                hot.append(busy.view(np.int64))
             ids = batch.column(0).take(pa.array(taking))
-            columns = [pa.array(classes), ids, pa.array(sizes[taking].astype(np.int32)), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH_WORDS)], pa.array(keys, type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["class", "chunk_id", "size", "s0", "s1", "s2", "s3", "keys"])
+            columns = [pa.array(classes), ids, pa.array(sizes[taking].astype(np.int32)), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH_WORDS)], pa.array(keys, type=pa.list_(pa.int64())), pa.array(hot, type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "chunk_id", "size", "s0", "s1", "s2", "s3", "keys", "hot"])
 
     return texts.select("chunk_id", "content").mapInArrow(run, RECORDS)
 
@@ -227,7 +234,11 @@ class NearDuplicates:
         """(class_a, class_b): the pairs that share a segment."""
         keyed = self.records.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "class").repartition("key").distinct()
         met = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-        return pairs_within(met, "key", "class").select("class_a", "class_b").distinct()
+        # frequent ones: copies of a class from several tasks are no partners, and no task gathers a key
+        busy = self.records.where("size(hot) > 0").select(F.explode("hot").alias("key"), "class").distinct()
+        busy = busy.join(busy.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+        both = pairs_within(met, "key", "class").unionByName(pairs_within(busy, "key", "class"))
+        return both.select("class_a", "class_b").distinct()
 
     def links(self) -> DataFrame:
         """(class_a, class_b): the pairs of classes whose sets are similar, verified."""

@@ -110,7 +110,23 @@ QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_rebuilt": p1_rebuil
 
 _quoted = lambda values: ", ".join("'" + v + "'" for v in values)
 
+_NEAR = """w AS (SELECT chunk_id, regexp_extract_all(content, '[A-Za-z0-9_]+') AS words FROM chunks WHERE content IS NOT NULL),
+g AS (SELECT chunk_id, list_distinct(list_transform(generate_series(1, len(words) - 2), lambda i: array_to_string(words[i:i + 2], ' '))) AS grams FROM w WHERE len(words) >= 30),
+c AS (SELECT sha256(array_to_string(list_sort(grams), '|')) AS class, any_value(grams) AS grams, list(chunk_id) AS ids FROM g GROUP BY 1),
+t AS (SELECT class, len(grams) AS n, unnest(grams) AS gram FROM c), f AS (SELECT gram, count(*) AS df FROM t GROUP BY 1),
+p AS (SELECT class, n, gram, row_number() OVER (PARTITION BY class ORDER BY df, gram) AS at FROM t JOIN f USING (gram)),
+k AS (SELECT DISTINCT a.class AS a, b.class AS b FROM p a JOIN p b ON a.gram = b.gram AND a.class < b.class AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n) WHERE a.at <= a.n - (7 * a.n + 9) // 10 + 1 AND b.at <= b.n - (7 * b.n + 9) // 10 + 1),
+l AS (SELECT x.ids AS xs, y.ids AS ys, len(list_intersect(x.grams, y.grams)) AS shared, len(x.grams) + len(y.grams) AS total FROM k JOIN c x ON x.class = k.a JOIN c y ON y.class = k.b),
+n1 AS (SELECT unnest(xs) AS x, ys FROM l WHERE 10 * shared >= 7 * (total - shared)), n2 AS (SELECT x, unnest(ys) AS y FROM n1),
+o1 AS (SELECT unnest(ids) AS x, ids FROM c WHERE len(ids) > 1), o2 AS (SELECT x, unnest(ids) AS y FROM o1),
+pairs AS (SELECT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM n2 UNION ALL SELECT x, y FROM o2 WHERE x < y)"""
+
 SQL = {
+    "p5_found": f"WITH {_NEAR} SELECT * FROM pairs",
+    "p5_groups": f"""WITH RECURSIVE {_NEAR}, e AS (SELECT chunk_id_a AS x, chunk_id_b AS y FROM pairs UNION ALL SELECT chunk_id_b, chunk_id_a FROM pairs),
+walk AS (SELECT chunk_id AS x, chunk_id AS root FROM g UNION SELECT e.y, walk.root FROM walk JOIN e ON e.x = walk.x), r AS (SELECT x, min(root) AS group_id FROM walk GROUP BY x),
+s AS (SELECT unnest(ids) AS x, len(ids) AS class_size FROM c), d AS (SELECT x, count(*) AS links FROM e GROUP BY x)
+SELECT r.x AS chunk_id, group_id, class_size, coalesce(links, 0) AS links FROM r JOIN s USING (x) LEFT JOIN d USING (x)""",
     "p1_found": """
 SELECT c.chunk_id FROM chunks c JOIN size_limits s ON lower(trim(regexp_replace(c.chunk_type, '\\s+', ' ', 'g'))) = lower(trim(s.chunk_type))
 WHERE length(c.content) > s.max_chars""",
