@@ -7,16 +7,19 @@ Directory names give evidence on directories.
 
 Belief propagation runs on each repository's directory tree: directories are
 hidden nodes of the same labels, a compatibility table ties a node to its
-parent, and so siblings to each other through it.  On a tree the sum-product
-messages are exact after one pass up and one down; each level is one grouped
-sum, with partial aggregation, so a directory of many files is no hot group.
+parent, and so siblings to each other through it.  A directory whose name says
+what it holds has a table of its own, by which it hangs little on its parent
+and tells it little.  On a tree the sum-product messages are exact after one
+pass up and one down; each level is one grouped sum, with partial aggregation,
+so a directory of many files is no hot group.
 
 A file that a repository has from the one it was copied from (its
 ``simhash_source``), at the same path with the same text, takes the label of
 the original: copying makes no file a vendored one.
 
-Defined results: null content counts as empty; files of other extensions and
-rows without a path get no label; an empty table gives an empty result.
+Defined results: null content counts as empty; rows of a null repository are
+files of one unnamed repository; files of other extensions and rows without a
+path get no label; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from codesift.runtime import write_table
+from codesift.runtime import drop_table, write_table
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 EXTENSIONS = ("py", "js", "jsx", "ts", "tsx", "go", "rs")
@@ -63,6 +66,9 @@ PASSES_ON = (
     (0.00025, 0.00025, 0.00025, 0.999, 0.00025),
     (0.02, 0.02, 0.02, 0.02, 0.92),
 )
+# The same for directories named for vendored or for generated files.
+NAMED_VENDORED = ((0.06, 0.01, 0.01, 0.91, 0.01),) * 3 + ((0.001, 0.001, 0.001, 0.996, 0.001), (0.06, 0.01, 0.01, 0.91, 0.01))
+NAMED_GENERATED = ((0.06, 0.91, 0.01, 0.01, 0.01),) * 3 + ((0.001, 0.001, 0.001, 0.996, 0.001), (0.06, 0.91, 0.01, 0.01, 0.01))
 # A directory turns vendored only by its name, or by many marked files in it.
 TURNS = 1e-7
 ROOT = (0.997, 0.001, 0.001, TURNS, 0.001)
@@ -140,22 +146,22 @@ def evidence(files: DataFrame) -> DataFrame:
     return files.select("repo_name", "file_path", "digest", plain.alias("e0"), made.alias("e1"), small.alias("e2"), (taken + looks).alias("e3"), data.alias("e4"))
 
 
-def _matrix(directory: bool) -> np.ndarray:
-    table = np.array(PASSES_ON)
-    if directory:
-        table[[p for p in range(5) if LABELS[p] != "vendored"], LABELS.index("vendored")] = TURNS
-    return table
+def _tables() -> np.ndarray:
+    """By kind: what ties a file, a directory, and one named for vendored or generated files to its parent."""
+    plain = np.array(PASSES_ON)
+    plain[[p for p in range(5) if LABELS[p] != "vendored"], LABELS.index("vendored")] = TURNS
+    return np.array([PASSES_ON, plain, NAMED_VENDORED, NAMED_GENERATED])
 
 
-def _message(directory: bool, upwards: bool):
-    """A column function: log weights of a node to the message to its parent, or from it to a child."""
-    table = _matrix(directory)
-    table = table.T if upwards else table
+def _message(upwards: bool):
+    """A column function of a node's kind and log weights: the message to its parent, or from its parent to it."""
+    tables = _tables()
+    tables = tables.transpose(0, 2, 1) if upwards else tables
 
-    def send(*weights: pd.Series) -> pd.DataFrame:
+    def send(kind: pd.Series, *weights: pd.Series) -> pd.DataFrame:
         logs = np.column_stack(weights)
         logs -= logs.max(axis=1, keepdims=True)
-        return pd.DataFrame(np.log(np.exp(logs) @ table), columns=M)
+        return pd.DataFrame(np.log(np.einsum("ni,nij->nj", np.exp(logs), tables[kind.to_numpy()])), columns=M)
 
     # the annotations of a variable number of columns tell Spark nothing, so the kind is named
     return F.pandas_udf(send, ", ".join(f"{m} DOUBLE" for m in M), PandasUDFType.SCALAR)
@@ -167,11 +173,19 @@ UP = [f"u{i}" for i in range(5)]
 IN = [f"i{i}" for i in range(5)]
 
 
-def directory_weights() -> list[Column]:
+# What stands for a null repository in joins; no repository has a line end in its name.
+NO_REPOSITORY = "\n"
+FILE, PLAIN_DIR, VENDORED_DIR, GENERATED_DIR = range(4)
+
+
+def directory_kind() -> Column:
     name = F.regexp_extract("dir", r"[^/]*$", 0)
-    vendored = F.when(name.isin(*VENDORED_DIRS), F.lit(3 * STRONG)).otherwise(0.0)
-    generated = F.when(name.isin(*GENERATED_DIRS), F.lit(STRONG + 4)).otherwise(0.0)
-    return [F.lit(0.0), generated, F.lit(0.0), vendored, F.lit(0.0)]
+    return F.when(name.isin(*VENDORED_DIRS), VENDORED_DIR).when(name.isin(*GENERATED_DIRS), GENERATED_DIR).otherwise(PLAIN_DIR)
+
+
+def directory_weights() -> list[Column]:
+    weigh = lambda kind, weight: F.when(F.col("kind") == kind, F.lit(weight)).otherwise(0.0)
+    return [F.lit(0.0), weigh(GENERATED_DIR, STRONG + 1.5), F.lit(0.0), weigh(VENDORED_DIR, 3 * STRONG - 2.5), F.lit(0.0)]
 
 
 def propagate(files: DataFrame) -> DataFrame:
@@ -179,22 +193,27 @@ def propagate(files: DataFrame) -> DataFrame:
 
     The levels of the tree are written one by one, so the plan of a level does
     not hold those of the levels before; there are as many as the deepest path
-    has directories.
+    has directories.  The tables go once the result is written.
     """
+    used: list[DataFrame] = []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        used.append(write_table(df, name))
+        return used[-1]
+
     parent = lambda path: F.regexp_replace(path, r"/?[^/]*$", "")
-    leaves = files.withColumn("dir", parent(F.col("file_path"))).withColumn("m", _message(False, True)(*E))
-    leaves = write_table(leaves.select("repo_name", "file_path", "digest", "dir", *E, "m.*"), "leaves")
+    leaves = files.withColumn("repo_name", F.coalesce("repo_name", F.lit(NO_REPOSITORY))).withColumn("dir", parent(F.col("file_path")))
+    leaves = leaves.withColumn("m", _message(True)(F.lit(FILE), *E))
+    leaves = written(leaves.select("repo_name", "file_path", "digest", "dir", *E, "m.*"), "leaves")
     # all directories above the files, and what each hears from its own files
     heard = leaves.groupBy("repo_name", "dir").agg(*[F.sum(m).alias(u) for m, u in zip(M, UP, strict=True)])
     depth = lambda d: F.when(d == "", F.lit(0)).otherwise(F.size(F.split(d, "/")))
     parts = F.split("dir", "/")
     above = heard.select("repo_name", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(depth(F.col("dir")) - 1, F.lit(0))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir"))
     above = above.union(heard.select("repo_name", "dir")).distinct()
-    dirs = above.join(heard, ["repo_name", "dir"], "left").withColumn("depth", depth(F.col("dir")))
-    # a directory named for what it holds is so whatever lies around it: it neither tells nor asks its parent
-    named = F.regexp_extract("dir", r"[^/]*$", 0).isin(*VENDORED_DIRS, *GENERATED_DIRS)
-    dirs = dirs.select("repo_name", "dir", "depth", named.alias("named"), *[(F.coalesce(u, F.lit(0.0)) + w).alias(u) for u, w in zip(UP, directory_weights(), strict=True)])
-    dirs = write_table(dirs, "dirs")
+    dirs = above.join(heard, ["repo_name", "dir"], "left").withColumn("depth", depth(F.col("dir"))).withColumn("kind", directory_kind())
+    dirs = dirs.select("repo_name", "dir", "depth", "kind", *[(F.coalesce(u, F.lit(0.0)) + w).alias(u) for u, w in zip(UP, directory_weights(), strict=True)])
+    dirs = written(dirs, "dirs")
     deepest = dirs.agg(F.max("depth")).first()[0] or 0
     # up: from the deepest level, each directory adds its message to its parent
     sent: dict[int, DataFrame] = {}
@@ -202,34 +221,37 @@ def propagate(files: DataFrame) -> DataFrame:
         own = dirs.where(F.col("depth") == d)
         if d < deepest:
             sums = sent[d + 1].groupBy("repo_name", F.col("parent").alias("dir")).agg(*[F.sum(m).alias(m) for m in M])
-            own = own.join(sums, ["repo_name", "dir"], "left").select("repo_name", "dir", "named", *[(F.col(u) + F.coalesce(m, F.lit(0.0))).alias(u) for u, m in zip(UP, M, strict=True)])
-        own = own.withColumn("parent", parent(F.col("dir"))).withColumn("m", _message(True, True)(*UP))
-        sent[d] = write_table(own.select("repo_name", "dir", "parent", "named", *UP, *[F.when(F.col("named"), 0.0).otherwise(F.col(f"m.{m}")).alias(m) for m in M]), "up")
+            own = own.join(sums, ["repo_name", "dir"], "left").select("repo_name", "dir", "kind", *[(F.col(u) + F.coalesce(m, F.lit(0.0))).alias(u) for u, m in zip(UP, M, strict=True)])
+        own = own.withColumn("parent", parent(F.col("dir"))).withColumn("m", _message(True)(F.col("kind"), *UP))
+        sent[d] = written(own.select("repo_name", "dir", "parent", "kind", *UP, "m.*"), "up")
     # down: what the rest of the tree says about each directory
-    beliefs = write_table(sent[0].select("repo_name", "dir", *[(F.col(u) + F.lit(math.log(r))).alias(b) for u, r, b in zip(UP, ROOT, IN, strict=True)]), "down")
+    beliefs = written(sent[0].select("repo_name", "dir", *[(F.col(u) + F.lit(math.log(r))).alias(b) for u, r, b in zip(UP, ROOT, IN, strict=True)]), "down")
     known = beliefs
     for d in range(1, deepest + 1):
         joined = sent[d].join(beliefs.select("repo_name", F.col("dir").alias("parent"), *IN), ["repo_name", "parent"])
-        joined = joined.withColumn("r", _message(True, False)(*[F.col(i) - F.col(m) for i, m in zip(IN, M, strict=True)]))
-        beliefs = write_table(joined.select("repo_name", "dir", *[(F.col(u) + F.when(F.col("named"), 0.0).otherwise(F.col(f"r.{m}"))).alias(i) for u, m, i in zip(UP, M, IN, strict=True)]), "down")
+        joined = joined.withColumn("r", _message(False)(F.col("kind"), *[F.col(i) - F.col(m) for i, m in zip(IN, M, strict=True)]))
+        beliefs = written(joined.select("repo_name", "dir", *[(F.col(u) + F.col(f"r.{m}")).alias(i) for u, m, i in zip(UP, M, IN, strict=True)]), "down")
         known = known.unionByName(beliefs)
     joined = leaves.join(known, ["repo_name", "dir"])
-    joined = joined.withColumn("r", _message(False, False)(*[F.col(i) - F.col(m) for i, m in zip(IN, M, strict=True)]))
+    joined = joined.withColumn("r", _message(False)(F.lit(FILE), *[F.col(i) - F.col(m) for i, m in zip(IN, M, strict=True)]))
     weighed = joined.select("repo_name", "file_path", "digest", *[(F.col(e) + F.col(f"r.{m}")).alias(e) for e, m in zip(E, M, strict=True)])
     best = F.greatest(*[F.struct(F.col(e).alias("w"), F.lit(name).alias("label")) for e, name in zip(E, LABELS, strict=True)])
     total = sum((F.exp(F.col(e) - F.col("best.w")) for e in E), F.lit(0.0))
     weighed = weighed.withColumn("best", best)
-    return weighed.select("repo_name", "file_path", "digest", F.col("best.label").alias("label"), F.round(1 / total, 4).alias("belief"))
+    found = write_table(weighed.select(F.nullif("repo_name", F.lit(NO_REPOSITORY)).alias("repo_name"), "file_path", "digest", F.col("best.label").alias("label"), F.round(1 / total, 4).alias("belief")), "origins")
+    for table in used:
+        drop_table(table)
+    return found
 
 
 def file_origins(chunks: DataFrame, runs: DataFrame) -> DataFrame:
     """(repo_name, file_path, label, belief, copied) of every file; ``runs`` names the repositories' sources."""
-    found = write_table(propagate(evidence(file_counts(chunks))), "origins")
+    found = propagate(evidence(file_counts(chunks)))
     sources = runs.where("simhash_source IS NOT NULL AND repo_name IS NOT NULL AND simhash_source <> repo_name").select("repo_name", F.col("simhash_source").alias("source")).distinct()
     originals = found.select(F.col("repo_name").alias("source"), "file_path", "digest", F.col("label").alias("original"), F.col("belief").alias("sure"))
     copied = found.select("repo_name", "file_path", "digest").join(sources, "repo_name").join(originals, ["source", "file_path", "digest"])
     copied = copied.groupBy("repo_name", "file_path").agg(F.max(F.struct("sure", "original")).alias("from"))
-    joined = found.join(copied, ["repo_name", "file_path"], "left")
+    joined = found.join(copied.withColumnsRenamed({"repo_name": "r", "file_path": "p"}), F.col("repo_name").eqNullSafe(F.col("r")) & (F.col("file_path") == F.col("p")), "left")
     return joined.select("repo_name", "file_path", F.coalesce(F.col("from.original"), "label").alias("label"), F.coalesce(F.col("from.sure"), "belief").alias("belief"), F.col("from").isNotNull().alias("copied"))
 
 
@@ -241,4 +263,5 @@ def not_handwritten(chunks: DataFrame, runs: DataFrame) -> DataFrame:
 def handwritten_rows(chunks: DataFrame, runs: DataFrame) -> DataFrame:
     """The chunks of hand-written source only."""
     keep = file_origins(chunks, runs).where("label = 'handwritten'").select("repo_name", "file_path")
-    return chunks.join(keep, ["repo_name", "file_path"], "left_semi")
+    keep = keep.toDF("r", "p")
+    return chunks.join(keep, F.col("repo_name").eqNullSafe(F.col("r")) & (F.col("file_path") == F.col("p")), "left_semi")
