@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codesift.llm.hashing import flat_word_hashes, mix, window_hashes
-from codesift.runtime import cut_lineage, write_table
+from codesift.runtime import cut_lineage, drop_table, write_table
 
 TABLE_BITS = 18
 SKETCH_WORDS = 4
@@ -224,7 +224,9 @@ class NearDuplicates:
         spark: SparkSession = chunks.sparkSession
         self.texts = chunks.select("chunk_id", "content").where(F.length("content") >= 2 * rule.least - 1)
         weights = spark.sparkContext.broadcast(token_counts(self.texts, rule))
-        self.records = write_table(records(self.texts, weights, rule), "records")
+        self.keyed = write_table(records(self.texts, weights, rule), "keyed")
+        self.records = write_table(self.keyed.drop("keys", "hot"), "records")
+        self._links: DataFrame | None = None
 
     def members(self) -> DataFrame:
         """(class, chunk_id) of every row that takes part."""
@@ -232,23 +234,31 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """(class_a, class_b): the pairs that share a segment."""
-        keyed = self.records.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "class").repartition("key").distinct()
-        met = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+        keyed = self.keyed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "class").repartition("key").distinct()
+        # few keys are shared: those that are get written, so that both sides of the join read them and not the sort
+        met = write_table(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "met")
         # frequent ones: copies of a class from several tasks are no partners, and no task gathers a key
-        busy = self.records.where("size(hot) > 0").select(F.explode("hot").alias("key"), "class").distinct()
+        busy = self.keyed.where("size(hot) > 0").select(F.explode("hot").alias("key"), "class").distinct()
         busy = busy.join(busy.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
         both = pairs_within(met, "key", "class").unionByName(pairs_within(busy, "key", "class"))
         return both.select("class_a", "class_b").distinct()
 
     def links(self) -> DataFrame:
-        """(class_a, class_b): the pairs of classes whose sets are similar, verified."""
+        """(class_a, class_b): the pairs of classes whose sets are similar, verified; found once."""
+        if self._links is None:
+            self._links = write_table(self._verified(), "links")
+        return self._links
+
+    def _verified(self) -> DataFrame:
         one = self.records.groupBy("class").agg(F.min("chunk_id").alias("rep"), F.max("size").alias("size"), *[F.max(f"s{i}").alias(f"s{i}") for i in range(SKETCH_WORDS)])
         side = lambda z: one.select(*[F.col(c).alias(f"{c}_{z}") for c in one.columns])
         near = self.candidates().join(side("a"), "class_a").join(side("b"), "class_b")
         hamming = sum(F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH_WORDS))
         bound = F.floor((self.rule.den - self.rule.num) * (F.col("size_a") + F.col("size_b")) / (self.rule.den + self.rule.num) + 1e-9)
         fits = self.rule.num * F.greatest("size_a", "size_b") <= self.rule.den * F.least("size_a", "size_b")
-        near = cut_lineage(near.where(fits & (hamming <= bound)).select("class_a", "class_b", "rep_a", "rep_b"))
+        # a written table has a known size: the planner sends a small one to the texts instead of moving these
+        near = write_table(near.where(fits & (hamming <= bound)).select("class_a", "class_b", "rep_a", "rep_b"), "near")
+        drop_table(self.keyed)
         reps = near.select(F.col("class_a").alias("class"), F.col("rep_a").alias("chunk_id")).union(near.select("class_b", "rep_b")).distinct()
         sets = self._sets(self.texts.join(reps, "chunk_id"))
         side = lambda z: sets.select(F.col("class").alias(f"class_{z}"), F.col("tokens").alias(f"tokens_{z}"))
@@ -273,13 +283,13 @@ class NearDuplicates:
         members = self.members()
         sized = members.join(members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "class")
         copies = pairs_within(sized, "class", "chunk_id").select("chunk_id_a", "chunk_id_b")
-        links = cut_lineage(self.links())
+        links = self.links()
         near = links.join(members.select(F.col("class").alias("class_a"), F.col("chunk_id").alias("x")), "class_a").join(members.select(F.col("class").alias("class_b"), F.col("chunk_id").alias("y")), "class_b")
         return copies.unionByName(near.select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")))
 
     def groups(self) -> DataFrame:
         """(chunk_id, group_id, class_size, links): the connected group of each row, named by its smallest class, and its similar rows."""
-        links = cut_lineage(self.links())
+        links = self.links()
         sizes = self.members().groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("least"))
         both = links.union(links.select("class_b", "class_a")).toDF("class", "other")
         around = both.join(sizes.select(F.col("class").alias("other"), F.col("n").alias("m")), "other").groupBy("class").agg(F.sum("m").alias("near"))
