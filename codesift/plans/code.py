@@ -13,8 +13,19 @@ from codesift.streaming import events as streams
 
 
 def rule_scan(spark: SparkSession, folder: str) -> DataFrame:
-    found = rules.scan(rules.code_lines(table(spark, folder, "chunks")))
-    return found.select("chunk_id", F.col("line_no").cast("bigint").alias("line_no"), "rule_id", "severity", "category")
+    """Lines and calls that break a rule."""
+    return _scanned(table(spark, folder, "chunks"))
+
+
+def rule_scan_snippets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over the snippets of the scanner's own findings, in which most rules hit."""
+    rows = table(spark, folder, "static_findings")
+    return _scanned(rows.select(F.col("static_id").alias("chunk_id"), "repo_name", F.col("file").alias("file_path"), F.col("matched_code").alias("content"))).withColumnRenamed("chunk_id", "static_id")
+
+
+def _scanned(chunks: DataFrame) -> DataFrame:
+    lines = rules.scan(rules.code_lines(chunks)).select("chunk_id", "line_no", "rule_id", "severity", "category")
+    return lines.unionByName(rules.scan_calls(chunks)).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def rule_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,10 +168,21 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sql_rules() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    met = lambda r, text: " AND ".join([f"regexp_matches({text}, {quoted(r.pattern)})" if r.pattern else "TRUE", *([f"NOT regexp_matches({text}, {quoted(r.unless)})"] if r.unless else [])])
     parts = []
     for r in rules.RULES:
-        pattern = r.pattern.replace("'", "''")
-        parts.append(f"SELECT chunk_id, line_no, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, '{r.category}' AS category FROM lines WHERE language = '{r.language}' AND regexp_matches(line, '{pattern}')")
+        head = f"'{r.rule_id}' AS rule_id, '{r.severity}' AS severity, '{r.category}' AS category"
+        if not r.call:
+            parts.append(f"SELECT chunk_id, line_no, {head} FROM lines WHERE language = '{r.language}' AND {met(r, 'line')}")
+            continue
+        call = f"regexp_extract(parts[n + 1], {quoted(rules.ARGUMENTS)})"
+        before = "array_to_string(parts[1:n], '')"
+        parts.append(
+            f"SELECT DISTINCT chunk_id, length({before}) - length(replace({before}, chr(10), '')) + 1 AS line_no, {head} FROM (SELECT chunk_id, parts, unnest(range(1, len(parts))) AS n FROM "
+            f"(SELECT chunk_id, string_split(regexp_replace(content, {quoted('(' + r.call + ')')}, chr(1) || '\\1', 'g'), chr(1)) AS parts FROM texts WHERE language = '{r.language}')) "
+            f"WHERE {met(r, call)} AND NOT regexp_matches(string_split({before}, chr(10))[-1], {quoted(rules.COMMENT)})"
+        )
     return " UNION ALL ".join(parts)
 
 
@@ -168,17 +190,18 @@ def _sql_heads() -> str:
     return " UNION ALL ".join(f"SELECT repo_name, language, '{kind}' AS kind, regexp_extract(line, '{pattern}', 1) AS name FROM lines WHERE language = '{language}' AND regexp_matches(line, '{pattern}')" for language, kind, pattern in HEADS)
 
 
-_CODE = """WITH l AS (SELECT chunk_id, repo_name, CASE lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'javascript' WHEN 'tsx' THEN 'javascript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' END AS language,
-  unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM chunks WHERE content IS NOT NULL),
+_CODE = """WITH texts AS (SELECT chunk_id, repo_name, content, CASE lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'javascript' WHEN 'tsx' THEN 'javascript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' END AS language FROM chunks WHERE content IS NOT NULL),
+l AS (SELECT chunk_id, repo_name, language, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM texts),
 lines AS (SELECT * FROM l WHERE language IS NOT NULL AND NOT regexp_matches(line, '^\\s*(?:#|//|\\*|/\\*)'))"""
 _VALUES = "WITH tasks(id, role, status) AS (VALUES " + ", ".join(str(t) for t in _TASKS) + "), edges(src, dst) AS (VALUES " + ", ".join(str(e) for e in _EDGES) + ")"
 
 QUERIES = {
     q.__name__: q
-    for q in (rule_scan, rule_counts, static_findings_distinct, static_severity, definitions, definitions_by_kind, structural_chunks, function_metrics, complexity_summary, dag_ready, dag_levels, dag_skipped, dag_progress, answers_parsed, prompts_rendered, reasoning_chain, signatures_verified, point_ids, stream_deduplicated, stream_windows)
+    for q in (rule_scan, rule_scan_snippets, rule_counts, static_findings_distinct, static_severity, definitions, definitions_by_kind, structural_chunks, function_metrics, complexity_summary, dag_ready, dag_levels, dag_skipped, dag_progress, answers_parsed, prompts_rendered, reasoning_chain, signatures_verified, point_ids, stream_deduplicated, stream_windows)
 }
 SQL = {
     "rule_scan": f"{_CODE} {_sql_rules()}",
+    "rule_scan_snippets": f"{_CODE} {_sql_rules()}".replace("chunk_id, repo_name, content, CASE", "static_id AS chunk_id, repo_name, matched_code AS content, CASE").replace("file_path", "file").replace("FROM chunks WHERE content", "FROM static_findings WHERE matched_code").replace("SELECT chunk_id, line_no, '", "SELECT chunk_id AS static_id, line_no, '").replace("SELECT DISTINCT chunk_id,", "SELECT DISTINCT chunk_id AS static_id,"),
     "rule_counts": f"{_CODE}, hits AS ({_sql_rules()}) SELECT rule_id, severity, count(*) AS lines, count(DISTINCT chunk_id) AS chunks FROM hits GROUP BY ALL",
     "static_findings_distinct": "SELECT min(static_id) AS static_id FROM static_findings GROUP BY rule_id, repo_name, file, line, message, matched_code",
     "static_severity": "SELECT rule_id, upper(trim(severity)) AS severity, count(*) AS findings FROM static_findings GROUP BY ALL",
