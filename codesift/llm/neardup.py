@@ -215,6 +215,21 @@ def pairs_within(rows: DataFrame, key: str, item: str, block: int = 1000) -> Dat
     return met.where(F.col(f"{item}_l") != F.col(f"{item}_r")).select(key, *both)
 
 
+def likely(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 23) -> DataFrame:
+    """The rows whose key may be among those wanted, so that others need not move to a join.
+
+    One bit per hash of a wanted key, in rows of 32,768: a table of ``bits`` / 8
+    bytes (1 MB) whatever its input, which goes to every task.
+    """
+    place = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(bits))
+    marked = wanted.select(F.floor(place / 32768).cast("int").alias("page"), F.pmod(place, F.lit(32768)).cast("int").alias("at"))
+    pages = marked.groupBy("page").agg(F.expr("bitmap_construct_agg(at)").alias("map"))
+    at = F.pmod(F.col("place"), F.lit(32768)).cast("int")
+    byte = F.conv(F.hex(F.substring("map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    found = rows.withColumn("place", place).withColumn("page", F.floor(F.col("place") / 32768).cast("int")).join(F.broadcast(pages), "page")
+    return found.where(F.getbit(byte, F.pmod(at, F.lit(8))) == 1).select(*rows.columns)
+
+
 class NearDuplicates:
     """The classes of equal token sets and the similar pairs among them."""
 
@@ -256,11 +271,10 @@ class NearDuplicates:
         hamming = sum(F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH_WORDS))
         bound = F.floor((self.rule.den - self.rule.num) * (F.col("size_a") + F.col("size_b")) / (self.rule.den + self.rule.num) + 1e-9)
         fits = self.rule.num * F.greatest("size_a", "size_b") <= self.rule.den * F.least("size_a", "size_b")
-        # a written table has a known size: the planner sends a small one to the texts instead of moving these
         near = write_table(near.where(fits & (hamming <= bound)).select("class_a", "class_b", "rep_a", "rep_b"), "near")
         drop_table(self.keyed)
         reps = near.select(F.col("class_a").alias("class"), F.col("rep_a").alias("chunk_id")).union(near.select("class_b", "rep_b")).distinct()
-        sets = self._sets(self.texts.join(reps, "chunk_id"))
+        sets = self._sets(likely(self.texts, reps, "chunk_id").join(reps, "chunk_id"))
         side = lambda z: sets.select(F.col("class").alias(f"class_{z}"), F.col("tokens").alias(f"tokens_{z}"))
         both = near.select("class_a", "class_b").join(side("a"), "class_a").join(side("b"), "class_b")
         shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
