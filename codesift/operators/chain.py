@@ -11,10 +11,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from codesift.runtime import cut_lineage
+
 ANSWERS = "id BIGINT, steps INT, answer STRING, valid BOOLEAN"
 
 
@@ -37,6 +39,61 @@ def parsed(text: Column, schema: str) -> Column:
     return F.from_json(unfenced(text), schema, {"mode": "PERMISSIVE"})
 
 
+def parsed_or_raw(text: Column, schema: str) -> Column:
+    """``value`` by ``schema`` where the text is a JSON object, or else ``raw_text``."""
+    inner = unfenced(text)
+    fits = inner.startswith("{") & F.try_parse_json(inner).isNotNull()
+    return F.struct(F.when(fits, F.from_json(inner, schema)).alias("value"), F.when(~F.coalesce(fits, F.lit(False)), text).alias("raw_text"))
+
+
+# The agents, and the steps of a chain with their temperatures.
+AGENTS = ("security", "quality", "performance", "observability")
+STEPS = (
+    ("analyze", 0.1, "You review code for {agent}. List what the change below does and where it may go wrong.\n{text}"),
+    ("generate", 0.2, "Write the findings on {agent} that follow from this analysis, as JSON.\n{analyze}"),
+    ("critique", 0.1, "Name the findings on {agent} below that the change does not bear out.\n{generate}"),
+    ("refine", 0.1, "Give the findings on {agent} again, as JSON, without what the critique refutes.\n{generate}\n{critique}"),
+)
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """(agent, step, place, template, temperature): the prompts of each agent's chain, in order."""
+    rows = [(agent, name, place, text.replace("{agent}", agent), heat) for agent in AGENTS for place, (name, heat, text) in enumerate(STEPS)]
+    return spark.createDataFrame(rows, "agent STRING, step STRING, place INT, template STRING, temperature DOUBLE")
+
+
+def run_per_file(parts: DataFrame, whole: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """(id, mode, file_path, answer, failed): a model on each part of (id, file_path, patch), or on (id, text) as a whole.
+
+    A row of one part or none goes whole; of several, a part on which the model
+    fails is marked and the others stand; where it fails on all, the row goes
+    whole after all.  An answer on a whole that fails is marked as well.
+    """
+
+    def ask(column: str, mode: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                answers, failed = [], []
+                for text in batch[column]:
+                    try:
+                        answers.append(model(text))
+                        failed.append(False)
+                    except Exception:  # noqa: BLE001 - whatever the caller's model raises
+                        answers.append(None)
+                        failed.append(True)
+                yield pd.DataFrame({"id": batch["id"], "mode": mode, "file_path": batch["file_path"], "answer": pd.Series(answers, dtype=object, index=batch.index), "failed": failed})
+
+        return run
+
+    schema = "id BIGINT, mode STRING, file_path STRING, answer STRING, failed BOOLEAN"
+    several = parts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    # the model is asked once: its answers are kept before they are counted
+    asked = cut_lineage(parts.join(several, "id", "left_semi").select("id", "file_path", "patch").mapInPandas(ask("patch", "files"), schema))
+    good = asked.where("NOT failed").select("id").distinct()
+    rest = whole.join(good, "id", "left_anti").select("id", F.lit(None).cast("string").alias("file_path"), "text").mapInPandas(ask("text", "whole"), schema)
+    return asked.join(good, "id", "left_semi").unionByName(rest)
+
+
 def run_chain(rows: DataFrame, steps: list[tuple[str, str]], model: Callable[[str], str], check: Callable[[str], bool], repairs: int = 2) -> DataFrame:
     """(id, steps, answer, valid): each row's ``text`` through the steps in order, then repaired until it passes.
 

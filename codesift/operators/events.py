@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 WAITS = (30, 60, 120)
 BOUNDS = (5, 10, 30, 60, 120, 300, 600)
 PERMANENT_CODES = (401, 403, 404, 422)
+PERMANENT_ERRORS = ("ValidationError", "JSONDecodeError", "ValueError", "TypeError", "KeyError", "AttributeError")
 
 
 def _first_within(key: str, identity: str, seconds: int):
@@ -60,15 +61,57 @@ def error_class(error: Column) -> Column:
     return F.when(F.coalesce(error, F.lit("")) == "", "unknown").otherwise(F.trim(F.split(error, ":", 2)[0]))
 
 
+def routed(deliveries: DataFrame, trigger: str = "/review", seconds: int = 86_400) -> DataFrame:
+    """(delivery_id, key, status): what becomes of each delivery.
+
+    ``deliveries`` has delivery_id, key (the sender's id, or null), at, valid
+    (its signature), event, action, comment and on_pull (the comment stands
+    on a pull request).  In this order: a bad signature is rejected; events
+    that ask for nothing are ignored; of those that do, one of a key within
+    ``seconds`` is accepted and the others are duplicates.
+    """
+    asked = F.coalesce(F.lower("comment"), F.lit("")).contains(trigger) & F.coalesce("on_pull", F.lit(False))
+    wants = ((F.col("event") == "issue_comment") & (F.col("action") == "created") & asked) | ((F.col("event") == "pull_request") & F.col("action").isin("opened", "synchronize"))
+    marked = deliveries.withColumn("route", F.when(~F.coalesce("valid", F.lit(False)), "rejected").when(~F.coalesce(wants, F.lit(False)), "ignored"))
+    open_ = marked.where("route IS NULL")
+    first = within_limit(open_, "key", "at", "delivery_id", seconds).withColumn("first", F.lit(True))
+    told = marked.join(first, "delivery_id", "left")
+    return told.select("delivery_id", "key", F.coalesce("route", F.when(F.col("first"), "accepted").otherwise("duplicate")).alias("status"))
+
+
+def is_permanent(error: Column, code: Column) -> Column:
+    """Whether a failure is not worth another attempt: bad input, or an answer that stays the same."""
+    return F.coalesce(error.isin(*PERMANENT_ERRORS), F.lit(False)) | F.coalesce(code.isin(*PERMANENT_CODES), F.lit(False))
+
+
+def parsed_letters(letters: DataFrame, schema: str, text: str = "letter") -> DataFrame:
+    """The letters with ``body``, by ``schema``; null where the text is no JSON object."""
+    return letters.withColumn("body", F.when(F.trim(text).startswith("{"), F.from_json(text, schema)))
+
+
 def page(letters: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """A page of a listing: offset and limit are what the caller asks for."""
     return letters.orderBy(*order).offset(offset).limit(limit)
 
 
-def without_index(letters: DataFrame, order: list[Column], index: int) -> DataFrame:
-    """The listing less the row at ``index``: found as a top-k, removed by an anti join on all columns."""
-    chosen = letters.orderBy(*order).offset(index).limit(1)
-    return letters.exceptAll(chosen)
+def at_index(letters: DataFrame, order: list[Column], index: int) -> DataFrame:
+    """The letter at ``index`` of the listing, counted from 0: found as a top-k."""
+    return letters.orderBy(*order).offset(index).limit(1)
+
+
+def without_index(letters: DataFrame, order: list[Column], index: int, key: str) -> DataFrame:
+    """The listing less the letter at ``index``, removed by its unique ``key``."""
+    return letters.join(at_index(letters, order, index).select(key), key, "left_anti")
+
+
+def replayed(letters: DataFrame, order: list[Column], key: str, body: str, index: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(messages to send again, letters that stay) for the letter at ``index``, or for all.
+
+    A letter without a readable ``body`` cannot be sent again and stays.
+    """
+    chosen = letters if index is None else at_index(letters, order, index)
+    sent = chosen.where(F.col(body).isNotNull())
+    return sent, letters.join(sent.select(key), key, "left_anti")
 
 
 def histogram(values: DataFrame, keys: list[str], value: str, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
@@ -82,12 +125,23 @@ def histogram(values: DataFrame, keys: list[str], value: str, bounds: tuple[floa
     return counted.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.le", "c.count")
 
 
-def in_flight(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """(keys, most, at): the largest number of open spans and the first time it is reached; ends go before starts."""
+def in_flight(spans: DataFrame, keys: list[str], start: str, end: str, bucket_seconds: int = 3_600) -> DataFrame:
+    """(keys, most, at): the largest number of open spans and the first time it is reached; ends go before starts.
+
+    A key may be that of all rows, so its running sum goes over the totals of
+    buckets of time first, and then within each bucket.  Keys may be null.
+    """
     marks = spans.select(*keys, F.col(start).alias("t"), F.lit(1).alias("d")).unionByName(spans.select(*keys, F.col(end).alias("t"), F.lit(-1).alias("d")).where("t IS NOT NULL")).where("t IS NOT NULL")
-    net = marks.groupBy(*keys, "t", "d").agg(F.sum("d").alias("sum"))
-    order = Window.partitionBy(*keys).orderBy("t", "d")
-    level = net.withColumn("open", F.sum("sum").over(order))
+    net = marks.groupBy(*keys, "t", "d").agg(F.sum("d").alias("sum")).withColumn("bucket", F.floor(F.unix_micros("t") / (bucket_seconds * 1_000_000)))
+    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = net.groupBy(*keys, "bucket").agg(F.sum("sum").alias("total")).withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    totals = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("bucket").alias("_bucket"), "before")
+    inside = Window.partitionBy(*keys, "bucket").orderBy("t", "d")
+    local = net.withColumn("local", F.sum("sum").over(inside))
+    same = F.col("bucket") == F.col("_bucket")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    level = local.join(totals, same).withColumn("open", F.col("before") + F.col("local"))
     best = F.max(F.struct("open", (-F.unix_micros("t")).alias("at")))
     return level.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.open").alias("most"), F.timestamp_micros(-F.col("b.at")).alias("at"))
 

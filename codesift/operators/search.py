@@ -109,19 +109,32 @@ def hash_embedder(dim: int = 384):
     return F.pandas_udf(embed, "array<float>", F.PandasUDFType.SCALAR_ITER)
 
 
-def cache_lookup(chunks: DataFrame, cache: DataFrame) -> DataFrame:
+def _fresh(cache: DataFrame, now: Column | None) -> DataFrame:
+    """The hashes of the cache, without those that ran out before ``now`` (a cache without ``expires_at``, or null, never runs out)."""
+    if now is not None and "expires_at" in cache.columns:
+        cache = cache.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    return cache.select("content_hash").distinct()
+
+
+def cache_lookup(chunks: DataFrame, cache: DataFrame, now: Column | None = None) -> DataFrame:
     """The chunks with ``hit``: whether their content hash has an embedding that has not run out."""
-    known = cache.select("content_hash", F.lit(True).alias("hit")).dropDuplicates(["content_hash"])
+    known = _fresh(cache, now).withColumn("hit", F.lit(True))
     return chunks.join(known, "content_hash", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
-def embed_missing(chunks: DataFrame, cache: DataFrame, embed=None) -> DataFrame:
+def embed_missing(chunks: DataFrame, cache: DataFrame, embed=None, now: Column | None = None) -> DataFrame:
     """(content_hash, embedding) of each text that the cache lacks, once per text."""
-    missing = chunks.join(cache.select("content_hash"), "content_hash", "left_anti")
+    missing = chunks.join(_fresh(cache, now), "content_hash", "left_anti")
     texts = missing.groupBy("content_hash").agg(F.min("text").alias("text"))
     return texts.select("content_hash", (embed or hash_embedder())(F.col("text")).alias("embedding"))
 
 
+def last_segment(name: Column) -> Column:
+    """What stands after the last dot of a dotted name; null where that is no identifier."""
+    last = F.element_at(F.split(name, r"\."), -1)
+    return F.when(last.rlike(r"^[A-Za-z_]\w*$"), last)
+
+
 def symbol_index(chunks: DataFrame, column: str) -> DataFrame:
     """(repo_name, symbol, chunk_id, file_path): the inverted index of an array column."""
     return chunks.select("repo_name", "chunk_id", "file_path", F.explode(F.array_distinct(column)).alias("symbol"))

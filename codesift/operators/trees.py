@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codesift.runtime import write_table
+
 EMPTY_TREE = "empty"
 BITS = 256
 
@@ -44,10 +46,11 @@ def directory_hashes(leaves: DataFrame) -> DataFrame:
     """(repo_name, dir, depth, hash, files): a directory hashes the sorted ``name:hash`` lines of its entries.
 
     Levels are folded from the deepest up, one grouped aggregation each; there
-    are as many as the deepest path has directories.
+    are as many as the deepest path has directories.  Each level is written,
+    so that no level computes those below it again.
     """
     nodes = leaves.select("repo_name", F.col("file_path").alias("path"), "hash", F.lit(1).cast("bigint").alias("files"))
-    nodes = nodes.withColumn("depth", depth_of(F.col("path")) - 1).withColumn("dir", parent_of(F.col("path"))).cache()
+    nodes = write_table(nodes.withColumn("depth", depth_of(F.col("path")) - 1).withColumn("dir", parent_of(F.col("path"))), "nodes")
     deepest = nodes.agg(F.max("depth")).first()[0]
     if deepest is None:
         return nodes.select("repo_name", "dir", "depth", "hash", "files")
@@ -58,8 +61,8 @@ def directory_hashes(leaves: DataFrame) -> DataFrame:
             entries = entries.unionByName(below.select("repo_name", parent_of(F.col("dir")).alias("dir"), name_of(F.col("dir")).alias("name"), "hash", "files"))
         lines = F.transform(F.array_sort(F.collect_list(F.struct("name", "hash"))), lambda e: F.concat(e["name"], F.lit(":"), e["hash"], F.lit("\n")))
         below = entries.groupBy("repo_name", "dir").agg(F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("hash"), F.sum("files").alias("files"))
-        level = below.withColumn("depth", F.lit(depth))
-        found = level if found is None else found.unionByName(level)
+        below = write_table(below.withColumn("depth", F.lit(depth)), "level")
+        found = below if found is None else found.unionByName(below)
     return found.select("repo_name", "dir", "depth", "hash", "files")
 
 

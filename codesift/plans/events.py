@@ -41,7 +41,7 @@ def dead_letter_page(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dead_letter_removed(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.without_index(_letters(spark, folder), [F.col("static_id").desc()], 10)
+    return ops.without_index(_letters(spark, folder), [F.col("static_id").desc()], 10, "static_id")
 
 
 def dead_letter_stats(spark: SparkSession, folder: str) -> DataFrame:

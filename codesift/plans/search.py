@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.operators import search
+from codesift.operators import search, vector_index
 from codesift.sources.tables import table
 
 
@@ -19,6 +19,12 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return search.nearest_vectors(vectors, vectors.where("vec_id % 100 = 0"), 10).select("query_id", "vec_id", F.round("score", 4).alias("score"))
 
 
+def vector_topk_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by the index: exact scores of all vectors in the cells that a query looks into."""
+    vectors = table(spark, folder, "embeddings")
+    return vector_index.search(vectors, vectors.where("vec_id % 100 = 0"), 10, vector_index.fit_centroids(vectors))
+
+
 def vector_topk_same_label(spark: SparkSession, folder: str) -> DataFrame:
     """How many of the ten nearest have the query's label."""
     labels = table(spark, folder, "embeddings").select("vec_id", "label")
@@ -106,7 +112,7 @@ _CACHE = "h AS (SELECT chunk_id, repo_name, sha256(content) AS content_hash FROM
 _CALLS = "def AS (SELECT DISTINCT repo_name, unnest(symbols_defined) AS symbol, file_path AS defined_in FROM chunks), cal AS (SELECT DISTINCT repo_name, unnest(symbols_called) AS symbol, chunk_id, file_path AS called_in FROM chunks), callers AS (SELECT repo_name, symbol, defined_in, called_in, chunk_id FROM cal JOIN def USING (repo_name, symbol) WHERE defined_in <> called_in)"
 _DEPS = "names AS (SELECT DISTINCT repo_name, file_path, unnest([file_path, replace(replace(file_path, '/', '.'), '.py', ''), regexp_extract(regexp_replace(file_path, '\\.[A-Za-z0-9]+$', ''), '[^/]*$')]) AS symbol FROM chunks), used AS (SELECT DISTINCT repo_name, unnest(imports) AS symbol, file_path AS dependent FROM chunks), deps AS (SELECT DISTINCT repo_name, file_path, dependent FROM names JOIN used USING (repo_name, symbol) WHERE file_path <> dependent)"
 
-QUERIES = {q.__name__: q for q in (vector_topk, vector_topk_same_label, label_centroids, embedding_texts, embed_cache_hits, embed_missing, symbol_callers, file_dependents, blast_radius, context_callers, import_usage, code_graphs, call_closure)}
+QUERIES = {q.__name__: q for q in (vector_topk, vector_topk_indexed, vector_topk_same_label, label_centroids, embedding_texts, embed_cache_hits, embed_missing, symbol_callers, file_dependents, blast_radius, context_callers, import_usage, code_graphs, call_closure)}
 SQL = {
     "vector_topk": f"WITH {_TOP} SELECT query_id, vec_id, round(score, 4) AS score FROM top",
     "vector_topk_same_label": f"WITH {_TOP} SELECT query_id, count(*) FILTER (a.label = b.label) AS same FROM top JOIN embeddings a ON a.vec_id = top.vec_id JOIN embeddings b ON b.vec_id = query_id GROUP BY 1",

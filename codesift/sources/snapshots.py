@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 # What of a source tree is read.
 SUFFIXES = (".py", ".js", ".jsx", ".ts", ".tsx", ".go", ".rs")
-SKIPPED = ("node_modules", "__pycache__", ".git", "venv", ".venv", "env", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", "vendor", "target")
+SKIPPED = ("node_modules", "__pycache__", ".git", "venv", ".venv", "dist", "build", ".next", ".tox", ".mypy_cache", ".pytest_cache", ".eggs", "vendor", "target")
 UNREADABLE = "unreadable"
 
 
@@ -72,6 +72,37 @@ def without_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys.distinct(), keys.columns, "left_anti")
 
 
+def cascaded(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """The rows of ``children`` that go when ``parents`` are deleted; null keys stay."""
+    return children.join(parents.select(key).distinct(), key, "left_semi")
+
+
+def decoded(wire: Column) -> Column:
+    """The text of base64 contents, whose lines may be broken; null where they are none."""
+    return F.decode(F.try_to_binary(F.regexp_replace(wire, r"\s", ""), F.lit("base64")), "UTF-8")
+
+
+def lookup(rows: DataFrame, paths: DataFrame, columns: list[str]) -> DataFrame:
+    """(file_path, columns): what each of the given files has, whatever its repository; a file without rows has nulls."""
+    return paths.select("file_path").distinct().join(rows.select("file_path", *columns), "file_path", "left")
+
+
+def payloads(chunks: DataFrame, most: int = 3_000) -> DataFrame:
+    """Chunks as they are stored beside their vectors: the content cut to the store's width, absent lists as empty ones."""
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    return chunks.select("repo_name", "file_path", "chunk_type", F.coalesce("symbol_name", F.lit("")).alias("symbol_name"), "start_line", "end_line", *[listed(c) for c in ("symbols_defined", "symbols_called", "imports")], F.substring("content", 1, most).alias("content"), "content_hash")
+
+
+def tree_text(leaves: DataFrame) -> DataFrame:
+    """(repo_name, tree): the leaves of a repository as JSON, in order of path."""
+    return leaves.groupBy("repo_name").agg(F.to_json(F.array_sort(F.collect_list(F.struct("file_path", "hash")))).alias("tree"))
+
+
+def tree_rows(texts: DataFrame) -> DataFrame:
+    """(repo_name, file_path, hash) of ``tree_text``."""
+    return texts.select("repo_name", F.explode(F.from_json("tree", "ARRAY<STRUCT<file_path: STRING, hash: STRING>>")).alias("leaf")).select("repo_name", "leaf.*")
+
+
 def copied(chunks: DataFrame, source: str, target: str) -> DataFrame:
     """The chunks of one repository under the name of another, with fresh ids."""
     rows = chunks.where(F.col("repo_name") == source)

@@ -22,7 +22,7 @@ def test_core_queries_equal_their_sql(spark):
     for name in os.listdir(SMALL):
         con.sql(f"CREATE VIEW {name[:-8]} AS SELECT * FROM '{SMALL}/{name}'")
     plain = lambda v: round(v, 6) if isinstance(v, float) else tuple(map(plain, v)) if isinstance(v, list) else str(v.replace(tzinfo=None)) if hasattr(v, "tzinfo") else v
-    for module in ("messages", "trees", "diffs", "reviews", "events", "search", "code"):
+    for module in ("messages", "trees", "diffs", "reviews", "events", "search", "code", "context"):
         plans = importlib.import_module(f"codesift.plans.{module}")
         for name, query in plans.QUERIES.items():
             df = query(spark, SMALL)

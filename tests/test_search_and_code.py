@@ -202,3 +202,21 @@ def test_symbols_of_chunks(spark):
     large = "def f():\n" + "".join(f"    if a{i}:\n" + "        b()\n" * 14 for i in range(5))
     parts = chunking.chunk_files(spark.createDataFrame([("r", "l.py", large)], "repo_name STRING, file_path STRING, text STRING")).where("chunk_type = 'function'").orderBy("chunk_index").collect()
     assert parts[0].symbols_defined == ["f"] and not any(r.symbols_defined for r in parts[1:]) and all(r.symbols_called == ["b"] for r in parts)
+
+
+def test_index_finds_what_brute_force_finds(spark):
+    from codesift.operators import vector_index
+
+    rng = np.random.default_rng(3)
+    hubs = rng.normal(size=(30, 32))
+    points = hubs[rng.integers(0, 30, 3000) * (rng.random(3000) > 0.33)] + 0.6 * rng.normal(size=(3000, 32))
+    rows = [(i, [float(x) for x in p], "x") for i, p in enumerate(points)] + [(9001, None, "x"), (9002, [0.0] * 32, "x"), (9003, [], "x")]
+    vectors = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, cell STRING")
+    queries = vectors.where("vec_id % 100 = 0")
+    centres = vector_index.fit_centroids(vectors, sample=1000)
+    found = {(r.query_id, r.vec_id) for r in vector_index.search(vectors, queries, 10, centres, block=200).collect()}
+    exact = {(r.query_id, r.vec_id) for r in search.nearest_vectors(vectors, queries, 10).collect()}
+    assert len(found) == len(exact) == 300
+    assert len(found & exact) / len(exact) >= 0.9
+    assert vector_index.into_cells(vectors, centres).count() == 3000
+    assert vector_index.search(vectors.limit(0), queries, 10, vector_index.fit_centroids(vectors.limit(0))).count() == 0
