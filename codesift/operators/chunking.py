@@ -34,6 +34,14 @@ _HEADS = {
 _IMPORTS = {"go": re.compile(r"import\b|\)|\s*(?:\w+\s+)?\"[^\"]+\"\s*$"), "rs": re.compile(r"(?:pub\s+)?(?:use|extern crate)\b"), "js": re.compile(r"import\b|(?:const|let|var)\s+.*=\s*require\(")}
 _NAME = re.compile(r"\b(?:func|fn|function|class|struct|enum|impl|trait|mod|interface|type|const|let|var)\b\s*(?:\([^)]*\)\s*)?\*?\s*([A-Za-z_$][\w$]*)")
 
+# Heads of methods, and statements that open a block, in the languages with braces.
+_METHODS = {
+    "js": re.compile(r"\s*(?:(?:public|private|protected|static|async|override|abstract|get|set)\s+)*\*?\s*#?(?!(?:if|for|while|switch|catch|return|function|with|new|await|throw|typeof|else|do)\b)([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\s*\("),
+    "rs": re.compile(r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|async|unsafe|const|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+([A-Za-z_]\w*)"),
+}
+_TYPES = {"js": re.compile(r"\bclass\b"), "rs": re.compile(r"\b(?:impl|trait)\b")}
+_BLOCK_HEADS = re.compile(r"\s*(?:\}\s*)?(?:'\w+:\s*)?(?:if|for|while|try|match|switch|select|loop|with|do)\b")
+
 Span = tuple[int, int, str, str]
 
 
@@ -105,7 +113,9 @@ def brace_spans(lines: list[str], family: str) -> list[Span]:
     imports: list[tuple[int, int]] = []
     depth, opened, name, i = 0, 0, "", 0
     block = False
+    before = [0] * (len(lines) + 2)  # braces open before each line
     for i, line in enumerate(lines, 1):
+        before[i] = depth
         bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|`[^`]*`|//.*", "", line)
         if not depth:
             if _HEADS[family].match(line):
@@ -117,11 +127,51 @@ def brace_spans(lines: list[str], family: str) -> list[Span]:
         depth += bare.count("{") + bare.count("(") * (family == "go" and block) - bare.count("}") - bare.count(")") * (family == "go" and block) if not block else 0
         depth = max(depth, 0)
         if opened and not depth and ("{" in bare or "}" in bare or bare.rstrip().endswith(";")):
-            out.append((opened, i, "function" if re.search(r"\b(?:func|fn|function)\b|=>", lines[opened - 1]) else "class_header", name))
+            before[i + 1] = 0
+            head = lines[opened - 1]
+            if re.search(r"\b(?:func|fn|function)\b|=>", head):
+                out += _cut_function(opened, i, name, before, lines, 1)
+            elif family in _TYPES and _TYPES[family].search(head):
+                out += _cut_type(opened, i, name, before, lines, family)
+            else:
+                out.append((opened, i, "class_header", name))
             opened = 0
     return out + [(a, b, "imports", "") for a, b in grouped(imports, GAP)]
 
 
+def _cut_function(first: int, last: int, name: str, before: list[int], lines: list[str], depth: int) -> list[Span]:
+    """A function, in parts if it is large: cut where a block begins in its body, more than ten lines after the last cut."""
+    cuts = [first]
+    if last - first + 1 > LARGE:
+        for i in range(first + 1, last + 1):
+            if before[i] == depth and i - cuts[-1] > APART and _BLOCK_HEADS.match(lines[i - 1]) and not lines[i - 1].lstrip().startswith("}"):
+                cuts.append(i)
+    ends = [c - 1 for c in cuts[1:]] + [last]
+    return [(a, b, "function", f"{name}_part{n + 1}" if len(cuts) > 1 else name) for n, (a, b) in enumerate(zip(cuts, ends, strict=True))]
+
+
+def _cut_type(first: int, last: int, name: str, before: list[int], lines: list[str], family: str) -> list[Span]:
+    """A class, impl or trait: its methods, and as headers what lies between them."""
+    out: list[Span] = []
+    at, i = first, first + 1
+    while i < last:
+        head = _METHODS[family].match(lines[i - 1]) if before[i] == 1 else None
+        end = i
+        while head and end <= last and before[end + 1] > 1:
+            end += 1
+        # a method has a body: on its line, or up to where the braces close
+        if head is None or "{" not in "".join(lines[i - 1 : end]):
+            i += 1
+            continue
+        if i > at:
+            out.append((at, i - 1, "class_header", name))
+        out += _cut_function(i, end, head.group(1), before, lines, 2)
+        at = i = end + 1
+    if at <= last:
+        out.append((at, last, "class_header", name))
+    return out
+
+
 def file_spans(text: str, extension: str) -> list[Span]:
     """The chunks of a file: structure first, then runs of at most 30 lines of what is left."""
     lines = text.split("\n")

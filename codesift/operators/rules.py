@@ -104,3 +104,10 @@ def scan_calls(chunks: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "c
         hits = hits.distinct()
         found = hits if found is None else found.unionByName(hits)
     return found
+
+
+def scan_chunks(chunks: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "chunk_id") -> DataFrame:
+    """(key, line_no, rule_id, severity, category): the lines and the calls of (key, repo_name, file_path, content) that break a rule."""
+    lines = scan(code_lines(chunks, key), rules).select(key, "line_no", "rule_id", "severity", "category")
+    calls = scan_calls(chunks, rules, key)
+    return lines if calls is None else lines.unionByName(calls)

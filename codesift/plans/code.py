@@ -24,8 +24,7 @@ def rule_scan_snippets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scanned(chunks: DataFrame) -> DataFrame:
-    lines = rules.scan(rules.code_lines(chunks)).select("chunk_id", "line_no", "rule_id", "severity", "category")
-    return lines.unionByName(rules.scan_calls(chunks)).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return rules.scan_chunks(chunks).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def rule_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,29 +91,40 @@ def complexity_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("repo_name").agg(F.count(F.lit(1)).alias("functions"), F.max("complexity").alias("most"), F.sum("complexity").alias("total"), F.count_if(F.col("nesting") > 4).alias("deep"))
 
 
-# The review's task graph and a state of it.
-_TASKS = [("fetch", "fetcher", "completed"), ("security", "reviewer", "completed"), ("quality", "reviewer", "failed"), ("performance", "reviewer", "pending"), ("observability", "reviewer", "skipped"), ("rewrite", "writer", "pending"), ("publish", "writer", "pending"), ("aggregate", "aggregator", "pending")]
-_EDGES = [("fetch", "security"), ("fetch", "quality"), ("fetch", "performance"), ("fetch", "observability"), ("quality", "rewrite"), ("rewrite", "publish"), ("security", "aggregate"), ("quality", "aggregate"), ("performance", "aggregate"), ("observability", "aggregate")]
+def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The task graph of every review: fetch, the agents that found something, then rewrite and publish behind each agent, and the aggregate.
 
-
-def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(_TASKS, "id STRING, role STRING, status STRING"), spark.createDataFrame(_EDGES, "src STRING, dst STRING")
+    States follow the review: of one that failed or goes on, agents with an
+    odd number of findings failed or wait.
+    """
+    reviews = table(spark, folder, "reviews").select("review_id", "status")
+    agents = table(spark, folder, "findings").where("review_id IS NOT NULL AND agent IS NOT NULL").groupBy("review_id", "agent").agg(F.count(F.lit(1)).alias("n")).join(reviews, "review_id")
+    name = lambda *parts: F.concat_ws(":", "review_id", *parts)
+    odd = (F.col("status") != "completed") & (F.col("n") % 2 == 1)
+    state = F.when(odd, F.when(F.col("status") == "failed", "failed").otherwise("pending")).otherwise("completed")
+    own = agents.select(name("agent").alias("id"), F.lit("reviewer").alias("role"), state.alias("status"))
+    after = agents.select(F.explode(F.array(*[name("agent", F.lit(step)) for step in ("rewrite", "publish")])).alias("id"), F.lit("writer").alias("role"), F.lit("pending").alias("status"))
+    ends = reviews.select(F.explode(F.array(F.struct(name(F.lit("fetch")).alias("id"), F.lit("fetcher").alias("role"), F.lit("completed").alias("status")), F.struct(name(F.lit("aggregate")).alias("id"), F.lit("aggregator").alias("role"), F.lit("pending").alias("status")))).alias("t")).select("t.*")
+    edge = lambda src, dst: F.struct(src.alias("src"), dst.alias("dst"))
+    me = name("agent")
+    edges = agents.select(F.explode(F.array(edge(name(F.lit("fetch")), me), edge(me, name("agent", F.lit("rewrite"))), edge(name("agent", F.lit("rewrite")), name("agent", F.lit("publish"))), edge(me, name(F.lit("aggregate"))))).alias("e")).select("e.*")
+    return own.unionByName(after).unionByName(ends), edges
 
 
 def dag_ready(spark: SparkSession, folder: str) -> DataFrame:
-    return dag.ready(*_graph(spark))
+    return dag.ready(*_graph(spark, folder))
 
 
 def dag_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return dag.levels(*_graph(spark))
+    return dag.levels(*_graph(spark, folder))
 
 
 def dag_skipped(spark: SparkSession, folder: str) -> DataFrame:
-    return dag.skipped_by_failure(*_graph(spark), rounds=len(_TASKS))
+    return dag.skipped_by_failure(*_graph(spark, folder), rounds=8)
 
 
 def dag_progress(spark: SparkSession, folder: str) -> DataFrame:
-    return dag.progress(_graph(spark)[0])
+    return dag.progress(_graph(spark, folder)[0])
 
 
 def answers_parsed(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,7 +203,10 @@ def _sql_heads() -> str:
 _CODE = """WITH texts AS (SELECT chunk_id, repo_name, content, CASE lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'javascript' WHEN 'tsx' THEN 'javascript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' END AS language FROM chunks WHERE content IS NOT NULL),
 l AS (SELECT chunk_id, repo_name, language, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM texts),
 lines AS (SELECT * FROM l WHERE language IS NOT NULL AND NOT regexp_matches(line, '^\\s*(?:#|//|\\*|/\\*)'))"""
-_VALUES = "WITH tasks(id, role, status) AS (VALUES " + ", ".join(str(t) for t in _TASKS) + "), edges(src, dst) AS (VALUES " + ", ".join(str(e) for e in _EDGES) + ")"
+_VALUES = """WITH agents AS (SELECT f.review_id, agent, count(*) AS n, any_value(r.status) AS status FROM findings f JOIN reviews r ON r.review_id = f.review_id WHERE agent IS NOT NULL GROUP BY ALL),
+tasks AS (SELECT review_id || ':' || agent AS id, 'reviewer' AS role, CASE WHEN status <> 'completed' AND n % 2 = 1 THEN CASE WHEN status = 'failed' THEN 'failed' ELSE 'pending' END ELSE 'completed' END AS status FROM agents
+  UNION ALL SELECT review_id || ':' || agent || ':' || unnest(['rewrite', 'publish']), 'writer', 'pending' FROM agents UNION ALL SELECT review_id || ':fetch', 'fetcher', 'completed' FROM reviews UNION ALL SELECT review_id || ':aggregate', 'aggregator', 'pending' FROM reviews),
+edges AS (SELECT review_id || ':fetch' AS src, review_id || ':' || agent AS dst FROM agents UNION ALL SELECT review_id || ':' || agent, review_id || ':' || agent || ':rewrite' FROM agents UNION ALL SELECT review_id || ':' || agent || ':rewrite', review_id || ':' || agent || ':publish' FROM agents UNION ALL SELECT review_id || ':' || agent, review_id || ':aggregate' FROM agents)"""
 
 QUERIES = {
     q.__name__: q
@@ -208,8 +221,8 @@ SQL = {
     "definitions": _CODE + ", n AS (SELECT repo_name, language, CASE language WHEN 'python' THEN regexp_extract(line, '^\\s*(?:async )?(?:def|class) ([A-Za-z_]\\w*)', 1) WHEN 'javascript' THEN regexp_extract(line, '^\\s*(?:export )?(?:async )?(?:function|class) ([A-Za-z_]\\w*)', 1) WHEN 'go' THEN regexp_extract(line, '^func (?:\\([^)]*\\) )?([A-Za-z_]\\w*)', 1) WHEN 'rust' THEN regexp_extract(line, '^\\s*(?:pub )?(?:fn|struct|enum|trait) ([A-Za-z_]\\w*)', 1) END AS name FROM lines) SELECT repo_name, language, count(*) AS heads, count(DISTINCT name) AS names FROM n WHERE name <> '' GROUP BY ALL",
     "definitions_by_kind": f"{_CODE}, found AS ({_sql_heads()}) SELECT repo_name, language, kind, count(*) AS heads, count(DISTINCT name) AS names FROM found GROUP BY ALL",
     "dag_ready": _VALUES + " SELECT id FROM tasks t WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM edges e JOIN tasks d ON d.id = e.src WHERE e.dst = t.id AND d.status NOT IN ('completed', 'failed', 'skipped'))",
-    "dag_levels": _VALUES.replace("WITH tasks", "WITH RECURSIVE tasks") + ", w AS (SELECT id, 0 AS level FROM tasks WHERE id NOT IN (SELECT dst FROM edges) UNION SELECT dst, level + 1 FROM w JOIN edges ON src = id) SELECT id, max(level) AS level FROM w GROUP BY 1",
-    "dag_skipped": _VALUES.replace("WITH tasks", "WITH RECURSIVE tasks") + ", w AS (SELECT id FROM tasks WHERE status IN ('failed', 'skipped') UNION SELECT t.id FROM w JOIN edges ON src = w.id JOIN tasks t ON t.id = dst WHERE t.status = 'pending' AND t.role <> 'aggregator') SELECT id FROM w JOIN tasks USING (id) WHERE status = 'pending'",
+    "dag_levels": _VALUES.replace("WITH agents", "WITH RECURSIVE agents") + ", w AS (SELECT id, 0 AS level FROM tasks WHERE id NOT IN (SELECT dst FROM edges) UNION SELECT dst, level + 1 FROM w JOIN edges ON src = id) SELECT id, max(level) AS level FROM w GROUP BY 1",
+    "dag_skipped": _VALUES.replace("WITH agents", "WITH RECURSIVE agents") + ", w AS (SELECT id FROM tasks WHERE status IN ('failed', 'skipped') UNION SELECT t.id FROM w JOIN edges ON src = w.id JOIN tasks t ON t.id = dst WHERE t.status = 'pending' AND t.role <> 'aggregator') SELECT id FROM w JOIN tasks USING (id) WHERE status = 'pending'",
     "dag_progress": _VALUES + " SELECT count(*) AS tasks, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'failed') AS failed, round(100 * count(*) FILTER (status IN ('completed', 'failed', 'skipped')) / count(*), 1) AS percent FROM tasks",
     "answers_parsed": "SELECT event_id, (props ->> '$.k')::BIGINT AS k FROM events WHERE (props ->> '$.k') IS NOT NULL",
     "prompts_rendered": "SELECT msg_id, sha256('Review ' || coalesce(title, '{unavailable: title}') || ' of ' || coalesce(repo_name, '{unavailable: repo}') || '.' || chr(10) || coalesce(body, '{unavailable: body}')) AS prompt_hash FROM pull_requests",

@@ -94,7 +94,7 @@ def test_metrics():
 @pytest.mark.parametrize(("path", "line", "rule"), [("a.py", "x = pickle.loads(b)", "python-unsafe-pickle"), ("a.py", "os.system(c)", "python-cmd-injection"), ("a.ts", "el.innerHTML = v", "js-xss-innerhtml"), ("a.go", 'q := fmt.Sprintf("SELECT %s", v)', "go-sqli-sprintf"), ("a.py", "# eval(x)", None), ("a.js", "retrieval(x)", None), ("a.rs", "eval(x)", None)])
 def test_rules(spark, path, line, rule):
     df = spark.createDataFrame([(1, "r", path, line)], "chunk_id BIGINT, repo_name STRING, file_path STRING, content STRING")
-    assert [r.rule_id for r in rules.scan(rules.code_lines(df)).collect()] == ([rule] if rule else [])
+    assert [r.rule_id for r in rules.scan_chunks(df).collect()] == ([rule] if rule else [])
 
 
 def test_task_graph(spark, rows):
@@ -220,3 +220,15 @@ def test_index_finds_what_brute_force_finds(spark):
     assert len(found & exact) / len(exact) >= 0.9
     assert vector_index.into_cells(vectors, centres).count() == 3000
     assert vector_index.search(vectors.limit(0), queries, 10, vector_index.fit_centroids(vectors.limit(0))).count() == 0
+
+
+def test_classes_and_large_functions_are_cut_in_every_language():
+    js = "export class A extends B {\n  #x = 1;\n\n  constructor(a) {\n    super(a);\n  }\n  static async go(b) { return b; }\n  y = f(2);\n}\n"
+    assert chunking.file_spans(js, "js") == [(1, 3, "class_header", "A"), (4, 6, "function", "constructor"), (7, 7, "function", "go"), (8, 9, "class_header", "A")]
+    rust = "impl A {\n    pub fn f(&self) -> u8 {\n        1\n    }\n}\ntrait T {\n    fn g(&self);\n}\n"
+    assert chunking.file_spans(rust, "rs") == [(1, 1, "class_header", "A"), (2, 4, "function", "f"), (5, 5, "class_header", "A"), (6, 8, "class_header", "T")]
+    body = "".join(f"\tx{i} := {i}\n" for i in range(20)) + "\tif a {\n\t\tfor b {\n\t\t}\n\t}\n" + "".join(f"\ty{i} := {i}\n" for i in range(30))
+    go = "package p\n\nfunc Big() {\n" + body + "}\n"
+    assert [(k, n) for _, _, k, n in chunking.file_spans(go, "go")] == [("top_level", ""), ("function", "Big_part1"), ("function", "Big_part2")]
+    small = "package p\n\nfunc Small() {\n\tif a {\n\t}\n}\n"
+    assert chunking.file_spans(small, "go")[1] == (3, 6, "function", "Small")
