@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.operators import chain, chunking, dag, events, rules, trees
+from codesift.plans import trees as tree_plans
 from codesift.sources.tables import table
 from codesift.streaming import events as streams
 
@@ -82,6 +83,14 @@ def structural_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_files(trees.file_texts(table(spark, folder, "chunks")))
 
 
+def structural_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each file that hold something and lie in a chunk: all of them do."""
+    files = trees.file_texts(table(spark, folder, "chunks"))
+    lines = files.select("repo_name", "file_path", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where("trim(line) <> ''").select("repo_name", "file_path", (F.col("at") + 1).alias("at"))
+    spans = chunking.chunk_files(files).select("repo_name", "file_path", F.explode(F.sequence("start_line", "end_line")).alias("at")).distinct()
+    return lines.join(spans, ["repo_name", "file_path", "at"], "left_semi").groupBy("repo_name", "file_path").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def function_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.measure_functions(trees.file_texts(table(spark, folder, "chunks")))
 
@@ -210,7 +219,7 @@ edges AS (SELECT review_id || ':fetch' AS src, review_id || ':' || agent AS dst
 
 QUERIES = {
     q.__name__: q
-    for q in (rule_scan, rule_scan_snippets, rule_counts, static_findings_distinct, static_severity, definitions, definitions_by_kind, structural_chunks, function_metrics, complexity_summary, dag_ready, dag_levels, dag_skipped, dag_progress, answers_parsed, prompts_rendered, reasoning_chain, signatures_verified, point_ids, stream_deduplicated, stream_windows)
+    for q in (rule_scan, rule_scan_snippets, rule_counts, static_findings_distinct, static_severity, definitions, definitions_by_kind, structural_chunks, structural_cover, function_metrics, complexity_summary, dag_ready, dag_levels, dag_skipped, dag_progress, answers_parsed, prompts_rendered, reasoning_chain, signatures_verified, point_ids, stream_deduplicated, stream_windows)
 }
 SQL = {
     "rule_scan": f"{_CODE} {_sql_rules()}",
@@ -228,4 +237,10 @@ SQL = {
     "prompts_rendered": "SELECT msg_id, sha256('Review ' || coalesce(title, '{unavailable: title}') || ' of ' || coalesce(repo_name, '{unavailable: repo}') || '.' || chr(10) || coalesce(body, '{unavailable: body}')) AS prompt_hash FROM pull_requests",
     "stream_deduplicated": "SELECT event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "stream_windows": "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "structural_cover": "WITH" + tree_plans._TEXTS + " SELECT repo_name, file_path, count(*) AS lines FROM (SELECT repo_name, file_path, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE trim(line, ' ') <> '' GROUP BY ALL",
+    "signatures_verified": "SELECT diff IS NOT NULL AS ok, count(*) AS messages FROM pull_requests GROUP BY 1",
+    "reasoning_chain": """WITH a AS (SELECT msg_id, '{"length": ' || length('Analyze ' || coalesce(diff, '')) || '}' AS a FROM pull_requests), g AS (SELECT *, '{"length": ' || length('Report on ' || a) || '}' AS g FROM a), c AS (SELECT *, '{"length": ' || length('Check ' || g) || '}' AS c FROM g)
+SELECT msg_id AS id, 4 AS steps, '{"length": ' || length('Improve ' || g || ' by ' || c) || '}' AS answer, TRUE AS valid FROM c""",
+    "point_ids": """WITH f AS (SELECT DISTINCT repo_name, file_path FROM chunks), h AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat_ws(':', repo_name, file_path, 'cg'))) AS h FROM f)
+SELECT repo_name, file_path, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', h[17:17])::INT, 1) || h[18:20] || '-' || h[21:32] AS id FROM h""",
 }

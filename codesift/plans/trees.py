@@ -78,6 +78,21 @@ def nearest_repo(spark: SparkSession, folder: str) -> DataFrame:
     return trees.nearest_collection(_hashes(spark, folder), "tenant", most=80)
 
 
+def _top_directories(spark: SparkSession, folder: str) -> DataFrame:
+    """The hashes of the top-level directories of all repositories, as collections of their own."""
+    leaves = _leaves(spark, folder)
+    named = leaves.withColumn("repo_name", F.concat_ws("/", "repo_name", F.split("file_path", "/")[0]))
+    return trees.simhash(named).withColumn("tenant", F.lit("all"))
+
+
+def similar_directories(spark: SparkSession, folder: str) -> DataFrame:
+    return trees.similar_collections(_top_directories(spark, folder), "tenant").select("repo_name_a", "repo_name_b", "distance")
+
+
+def nearest_directory(spark: SparkSession, folder: str) -> DataFrame:
+    return trees.nearest_collection(_top_directories(spark, folder), "tenant")
+
+
 def distance_to_source(spark: SparkSession, folder: str) -> DataFrame:
     hashes = simhash_per_repo(spark, folder).select("repo_name", "simhash")
     other = hashes.select(F.col("repo_name").alias("source"), F.col("simhash").alias("theirs"))
@@ -123,7 +138,10 @@ near AS (SELECT * FROM pairs WHERE distance <= 80)
 """
 _SIM = _SIM.replace("::INT # (", "::INT, (").replace("bit_count((instr", "bit_count(xor((instr").replace("- 1)::INT)) FROM range", "- 1)::INT))) FROM range")
 
-QUERIES = {q.__name__: q for q in (leaf_hash_catalog, dir_hashes, root_hashes, subtree_file_counts, tree_diff_with_source, changed_counts, reusable_chunks, stale_chunks, simhash_per_repo, similar_repos, nearest_repo, distance_to_source, content_hash_groups, content_hash_check)}
+_SIM_TOP = _SIM.replace("FROM leaves, range", "FROM tops, range").replace("FROM leaves GROUP", "FROM tops GROUP").replace("\nbits AS", "\ntops AS (SELECT concat_ws('/', repo_name, split_part(file_path, '/', 1)) AS repo_name, hash FROM leaves),\nbits AS").replace("distance <= 80", "distance <= 25")
+_NEAREST = "SELECT repo_name, nearest, distance FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY distance, nearest) AS nth FROM (SELECT repo_name_a AS repo_name, repo_name_b AS nearest, distance FROM near UNION ALL SELECT repo_name_b, repo_name_a, distance FROM near)) WHERE nth = 1"
+
+QUERIES = {q.__name__: q for q in (leaf_hash_catalog, dir_hashes, root_hashes, subtree_file_counts, tree_diff_with_source, changed_counts, reusable_chunks, stale_chunks, simhash_per_repo, similar_repos, nearest_repo, similar_directories, nearest_directory, distance_to_source, content_hash_groups, content_hash_check)}
 SQL = {
     "leaf_hash_catalog": "WITH" + _TEXTS + " SELECT * FROM leaves",
     "dir_hashes": _DIRS + f" SELECT * FROM ({_EVERY})",
@@ -135,7 +153,9 @@ SQL = {
     "stale_chunks": _PAIRS + "SELECT chunk_id FROM chunks WHERE (repo_name, file_path) IN (SELECT (string_split(pair, '>')[2], file_path) FROM d WHERE change <> 'deleted')",
     "simhash_per_repo": _SIM + "SELECT repo_name, simhash, files FROM sims JOIN counted USING (repo_name)",
     "similar_repos": _SIM + "SELECT * FROM near",
-    "nearest_repo": _SIM + "SELECT repo_name, nearest, distance FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY distance, nearest) AS nth FROM (SELECT repo_name_a AS repo_name, repo_name_b AS nearest, distance FROM near UNION ALL SELECT repo_name_b, repo_name_a, distance FROM near)) WHERE nth = 1",
+    "nearest_repo": _SIM + _NEAREST,
+    "similar_directories": _SIM_TOP + "SELECT * FROM near",
+    "nearest_directory": _SIM_TOP + _NEAREST,
     "distance_to_source": _SIM + "SELECT s.repo_name, s.source, distance FROM sources s JOIN pairs p ON (p.repo_name_a = s.repo_name AND p.repo_name_b = s.source) OR (p.repo_name_b = s.repo_name AND p.repo_name_a = s.source)",
     "content_hash_groups": "SELECT sha256(content) AS hash, count(*) AS copies, count(DISTINCT repo_name) AS repos FROM chunks WHERE content IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "content_hash_check": "SELECT CASE WHEN content_hash IS NULL THEN 'missing' WHEN content_hash = sha256(content) THEN 'equal' WHEN lower(content_hash) = sha256(content) THEN 'other case' ELSE 'wrong' END AS state, count(*) AS chunks FROM chunks GROUP BY 1",
