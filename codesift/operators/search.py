@@ -147,6 +147,18 @@ def callers(chunks: DataFrame) -> DataFrame:
     return called.join(defined, ["repo_name", "symbol"]).where(F.col("defined_in") != F.col("called_in")).select("repo_name", "symbol", "defined_in", "called_in", "chunk_id")
 
 
+def calls_from_outside(chunks: DataFrame) -> DataFrame:
+    """(repo_name, symbol, called_in, chunk_id): the calls of what another file defines, once each, however many files define it.
+
+    A symbol's definers are reduced to one row before the join, so a common
+    name does not pair all its definers with all its callers.
+    """
+    defined = symbol_index(chunks, "symbols_defined").groupBy("repo_name", "symbol").agg(F.min("file_path").alias("first"), F.max("file_path").alias("last"))
+    called = symbol_index(chunks, "symbols_called").select("repo_name", "symbol", "chunk_id", F.col("file_path").alias("called_in"))
+    elsewhere = (F.col("first") != F.col("called_in")) | (F.col("last") != F.col("called_in"))
+    return called.join(defined, ["repo_name", "symbol"]).where(elsewhere).select("repo_name", "symbol", "called_in", "chunk_id")
+
+
 def module_names(path: Column) -> Column:
     """What an import may name a file by: its path, its dotted path without suffix, and its bare name."""
     bare = F.regexp_replace(path, r"\.[A-Za-z0-9]+$", "")

@@ -159,6 +159,12 @@ def contents_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("chunk_id", F.sha2(snapshots.decoded(F.col("wire")).cast("binary"), 256).alias("text_hash"))
 
 
+def chunk_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """What is stored beside the vector of a chunk."""
+    rows = table(spark, folder, "chunks").where("content_hash IS NOT NULL")
+    return snapshots.payloads(rows, 300).select("content_hash", "file_path", "repo_name", "symbol_name", "start_line", F.size("symbols_called").alias("calls"), F.length("content").alias("size"))
+
+
 def called_names(spark: SparkSession, folder: str) -> DataFrame:
     """Names called, by their last segment, where that is an identifier."""
     rows = table(spark, folder, "chunks").select(F.explode("symbols_called").alias("call"))
@@ -232,7 +238,7 @@ same AS (SELECT t.repo_name, b.source, t.file_path FROM taken t JOIN base b ON b
 
 QUERIES = {
     q.__name__: q
-    for q in (review_verdicts, finding_sections, review_summaries, numbered_sources, numbered_regions, change_context, structure_texts, deliveries_routed, failures_classified, dead_letters_by_repo, dead_letters_replayed, index_run, index_applied, embed_missing_keys, cache_unexpired, cascade_deleted, contents_decoded, called_names, chunks_matching, index_states, answers_or_raw, prompt_templates, agent_runs)
+    for q in (review_verdicts, finding_sections, review_summaries, numbered_sources, numbered_regions, change_context, structure_texts, deliveries_routed, failures_classified, dead_letters_by_repo, dead_letters_replayed, index_run, index_applied, embed_missing_keys, cache_unexpired, cascade_deleted, contents_decoded, chunk_payloads, called_names, chunks_matching, index_states, answers_or_raw, prompt_templates, agent_runs)
 }
 SQL = {
     "review_verdicts": f"WITH {_VERDICTS} SELECT * FROM verdicts",
@@ -275,6 +281,7 @@ SELECT repo_name, count(*) AS chunks, count(*) FILTER (copied) AS copied FROM ev
     "cache_unexpired": "WITH h AS (SELECT repo_name, sha256(content) AS content_hash, indexed_at FROM chunks WHERE content IS NOT NULL), c AS (SELECT content_hash, max(indexed_at) + INTERVAL 7 DAYS AS expires_at FROM h GROUP BY 1), n AS (SELECT max(indexed_at) AS now FROM h) SELECT repo_name, count(*) FILTER (expires_at IS NULL OR expires_at > now) AS hits, count(*) FILTER (expires_at <= now) AS misses FROM h JOIN c USING (content_hash) CROSS JOIN n GROUP BY 1",
     "cascade_deleted": "SELECT finding_id FROM findings WHERE review_id IN (SELECT review_id FROM reviews WHERE status <> 'completed')",
     "contents_decoded": "SELECT chunk_id, sha256(content) AS text_hash FROM chunks WHERE content IS NOT NULL",
+    "chunk_payloads": "SELECT content_hash, file_path, repo_name, coalesce(symbol_name, '') AS symbol_name, start_line, coalesce(len(symbols_called), 0)::INT AS calls, length(substring(content, 1, 300))::INT AS size FROM chunks WHERE content_hash IS NOT NULL",
     "called_names": "SELECT name, count(*) AS calls FROM (SELECT regexp_extract(c, '[^.]*$') AS name FROM (SELECT unnest(symbols_called) AS c FROM chunks)) WHERE regexp_full_match(name, '[A-Za-z_]\\w*') GROUP BY 1",
     "chunks_matching": "WITH n AS (SELECT name FROM (SELECT regexp_extract(c, '[^.]*$') AS name FROM (SELECT unnest(symbols_called) AS c FROM chunks)) WHERE regexp_full_match(name, '[A-Za-z_]\\w*') GROUP BY 1 ORDER BY count(*) DESC, name LIMIT 5) SELECT chunk_id FROM chunks WHERE lower(trim(chunk_type)) = 'function' AND list_has_any(symbols_called, (SELECT list(name) FROM n))",
     "index_states": f"SELECT c.repo_name, coalesce(state, 'none') AS state FROM (SELECT DISTINCT repo_name FROM chunks) c LEFT JOIN ({event_plans.SQL['latest_runs']}) r ON r.repo_name = c.repo_name",

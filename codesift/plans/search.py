@@ -64,7 +64,7 @@ def embed_missing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def symbol_callers(spark: SparkSession, folder: str) -> DataFrame:
-    return search.callers(_chunks(spark, folder)).groupBy("repo_name", "symbol").agg(F.countDistinct("called_in").alias("files"), F.countDistinct("chunk_id").alias("chunks"))
+    return search.calls_from_outside(_chunks(spark, folder)).groupBy("repo_name", "symbol").agg(F.countDistinct("called_in").alias("files"), F.countDistinct("chunk_id").alias("chunks"))
 
 
 def file_dependents(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,7 +79,7 @@ def blast_radius(spark: SparkSession, folder: str) -> DataFrame:
 
 def context_callers(spark: SparkSession, folder: str) -> DataFrame:
     """The first five calling files of each symbol, as shown beside a change."""
-    rows = search.callers(_chunks(spark, folder)).select("repo_name", "symbol", "called_in").distinct()
+    rows = search.calls_from_outside(_chunks(spark, folder)).select("repo_name", "symbol", "called_in").distinct()
     return search.first_few(rows, ["repo_name", "symbol"], ["called_in"], 5)
 
 

@@ -60,3 +60,13 @@ def run_to_end(stream: DataFrame, name: str, mode: str, hand_on: Callable[[DataF
     if mode == "complete":
         return spark.read.schema(stream.schema).parquet(f"{root}/out/batch={last['id']}")
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")
+
+
+def run_every(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], every: str | None = None, mode: str = "append"):
+    """Start a stream as a periodic job: a batch every so often ("1 hour"), or, without ``every``, over what is there and then an end.
+
+    ``folder`` holds the stream's log, so the job goes on where it stopped;
+    ``write`` gets a batch and its number and must bear a number twice.
+    """
+    job = stream.writeStream.outputMode(mode).option("checkpointLocation", folder).foreachBatch(write)
+    return (job.trigger(processingTime=every) if every else job.trigger(availableNow=True)).start()

@@ -183,3 +183,24 @@ def test_paged_source(spark, rows, tmp_path):
     spark.dataSource.register(paged.Pages)
     read = spark.read.format("pages").schema("number INT, title STRING").option("url", f"file://{tmp_path}/p{{page}}.json").option("pages", 2).load()
     assert rows(read) == sorted([(1, "t1"), (10, None), (2, "t2"), (20, None)], key=repr)
+
+
+def test_periodic_jobs_go_on_where_they_stopped(spark, rows, tmp_path):
+    from codesift.streaming import events as streams
+
+    source = str(tmp_path / "in")
+    spark.range(3).write.parquet(source)
+    write = sinks.batches_into(str(tmp_path / "out"))
+    read = lambda: spark.readStream.schema("id BIGINT").parquet(source)
+    streams.run_every(read(), str(tmp_path / "log"), write).awaitTermination()
+    spark.range(3, 5).write.mode("append").parquet(source)
+    job = streams.run_every(read(), str(tmp_path / "log"), write, "1 second")
+    job.processAllAvailable()
+    job.stop()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "id") == [(i,) for i in range(5)]
+
+
+def test_calls_from_outside(spark, rows):
+    arrays = "ARRAY<STRING>"
+    chunks = spark.createDataFrame([(1, "r", "a", ["f"], ["f"]), (2, "r", "b", ["f"], ["f"]), (3, "r", "c", ["g"], ["g", "f"]), (4, "r", "d", None, ["h"]), (5, "s", "a", [], ["f"])], f"chunk_id INT, repo_name STRING, file_path STRING, symbols_defined {arrays}, symbols_called {arrays}")
+    assert rows(search.calls_from_outside(chunks), "symbol", "chunk_id") == [("f", 1), ("f", 2), ("f", 3)]
