@@ -39,11 +39,13 @@ def within_limit(deliveries: DataFrame, key: str, at: str, identity: str, second
     A key seen again after its time has run out is new.  Rows without a key
     pass.  Whether a delivery opens a new time depends on the one before, so a
     key's deliveries are read in order, one after the other, from a sorted
-    partition; nothing of a key is kept but the time it was opened.
+    partition; nothing of a key is kept but the time it was opened.  The rows
+    are spread by a hash of the key, an exchange that no join before can stand
+    in for, so that a join split over tasks cannot tear a key.
     """
     keyed = deliveries.where(F.col(key).isNotNull()).select(key, F.unix_micros(F.col(at)).alias("t"), identity)
     kind = dict(deliveries.dtypes)[identity]
-    kept = keyed.repartition(key).sortWithinPartitions(key, "t", identity).mapInPandas(_first_within(key, identity, seconds), f"{identity} {kind}")
+    kept = keyed.repartition(F.xxhash64(key, F.lit(11))).sortWithinPartitions(key, "t", identity).mapInPandas(_first_within(key, identity, seconds), f"{identity} {kind}")
     return kept.unionByName(deliveries.where(F.col(key).isNull()).select(identity))
 
 
