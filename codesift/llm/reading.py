@@ -61,7 +61,8 @@ def prose_of(text: str) -> tuple[str, int]:
         body = _LINK.sub(r"\1", body)
     if "<" in body or "&" in body:
         body = _HTML.sub(" ", body)
-    body = _MARKS.sub("", body)
+    if "**" in body or "~~" in body or not body.isascii():
+        body = _MARKS.sub("", body)
     kept: list[str] = []
     for line in body.split("\n"):
         line = line.rstrip("\r")
@@ -121,9 +122,11 @@ def _sentences(block: str) -> list[str]:
     lines = [x for x in block.split("\n") if x.strip()]
     if not lines:
         return []
-    count = len(_WORD.findall(block))
-    if len(lines) > 1 and len(_END.findall(block)) * 45 < count:
-        return lines
+    if len(lines) > 1:
+        ends = len(_END.findall(block)) * 45
+        # a word has at least one character besides the blank before the next
+        if ends < len(block) and ends < len(_WORD.findall(block)):
+            return lines
     return [x for x in _END.split(" ".join(lines)) if x.strip()]
 
 
