@@ -17,7 +17,7 @@ from codesift.functions.vectors import norm
 PARTIAL = "query_id BIGINT, vec_id BIGINT, score DOUBLE"
 
 
-def _scores(queries, ids: np.ndarray, k: int, block: int):
+def _scores(queries, ids: np.ndarray, scopes: np.ndarray | None, k: int, block: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matrix = queries.value
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64), np.empty(0)) for _ in ids]
@@ -29,6 +29,8 @@ def _scores(queries, ids: np.ndarray, k: int, block: int):
             own = batch["vec_id"].to_numpy()
             for start in range(0, len(ids), block):
                 part = matrix[start : start + block] @ rows.T
+                if scopes is not None:
+                    part[scopes[start : start + block, None] != batch["scope"].to_numpy(dtype=object)[None, :]] = -2.0
                 for q in range(len(part)):
                     row = part[q]
                     keep = np.argpartition(-row, k)[: k + 1] if len(row) > k + 1 else np.arange(len(row))
@@ -39,22 +41,27 @@ def _scores(queries, ids: np.ndarray, k: int, block: int):
                     order = np.lexsort((seen, -np.round(score, 6)))[: k + 1]
                     best[start + q] = seen[order], score[order]
         for q, (seen, score) in zip(ids, best, strict=True):
+            seen, score = seen[score > -1.5], score[score > -1.5]
             if len(seen):
                 yield pd.DataFrame({"query_id": np.full(len(seen), q), "vec_id": seen, "score": score})
 
     return run
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000, block: int = 256) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000, block: int = 256, within: str | None = None) -> DataFrame:
     """(query_id, vec_id, score, place): the ``k`` vectors of the highest cosine for each query, itself left out.
 
+    With ``within``, a column of both, only vectors that have the query's value
+    there are looked at, a repository's own for example; null is no value.
+
     Exact.  Queries are sent to the vectors in groups of at most
     ``max_queries``; within a task they are multiplied in blocks, and only the
     best k of a task go on to the final ranking.  Null, empty and zero vectors
     take no part; equal scores (to six places) are ordered by id.
     """
-    usable = vectors.select("vec_id", "embedding").where((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0))
-    asked = queries.select("vec_id", "embedding").where((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0))
+    scope = [F.col(within).cast("string").alias("scope")] if within else []
+    fits = (F.size("embedding") > 0) & (norm(F.col("embedding")) > 0)
+    usable, asked = (df.select("vec_id", "embedding", *scope).where(fits & F.col("scope").isNotNull() if within else fits) for df in (vectors, queries))
     groups = max(1, -(-asked.count() // max_queries))
     found = None
     for g in range(groups):
@@ -64,7 +71,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, max_queries:
         matrix = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
         sent = vectors.sparkSession.sparkContext.broadcast(matrix)
-        part = usable.mapInPandas(_scores(sent, pdf["vec_id"].to_numpy(), k, block), PARTIAL)
+        part = usable.mapInPandas(_scores(sent, pdf["vec_id"].to_numpy(), pdf["scope"].to_numpy(dtype=object) if within else None, k, block), PARTIAL)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], PARTIAL)

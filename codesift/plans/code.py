@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.operators import chain, chunking, dag, events, rules, trees
+from codesift.plans import diffs as diff_plans
 from codesift.plans import trees as tree_plans
 from codesift.sources.tables import table
 from codesift.streaming import events as streams
@@ -100,6 +101,18 @@ def complexity_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("repo_name").agg(F.count(F.lit(1)).alias("functions"), F.max("complexity").alias("most"), F.sum("complexity").alias("total"), F.count_if(F.col("nesting") > 4).alias("deep"))
 
 
+def diff_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    """Per message: functions in the added lines, their complexity and nesting, who calls what, and the rules that the lines break."""
+    added = diff_plans.diff_added_source(spark, folder).select(F.col("msg_id").cast("string").alias("repo_name"), "file_path", F.col("source").alias("text"))
+    measured = chunking.measure_functions(added)
+    last = F.max_by("calls", F.struct("file_path", "line"))
+    graph = measured.groupBy("repo_name", "name").agg(last.alias("calls")).groupBy("repo_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "calls")))).alias("call_graph"))
+    rolled = measured.groupBy("repo_name").agg(F.count(F.lit(1)).alias("functions"), F.max("complexity").alias("most"), F.sum("complexity").alias("total"), F.count_if(F.col("nesting") > 4).alias("deep"))
+    broken = rules.scan_chunks(added.select(F.col("repo_name").alias("chunk_id"), "repo_name", "file_path", F.col("text").alias("content"))).groupBy(F.col("chunk_id").alias("repo_name")).agg(F.count(F.lit(1)).alias("findings"))
+    out = added.select("repo_name").distinct().join(rolled, "repo_name", "left").join(graph, "repo_name", "left").join(broken, "repo_name", "left")
+    return out.select(F.col("repo_name").cast("bigint").alias("msg_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("functions", "most", "total", "deep", "findings")], "call_graph")
+
+
 def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The task graph of every review: fetch, the agents that found something, then rewrite and publish behind each agent, and the aggregate.
 
@@ -219,7 +232,7 @@ edges AS (SELECT review_id || ':fetch' AS src, review_id || ':' || agent AS dst
 
 QUERIES = {
     q.__name__: q
-    for q in (rule_scan, rule_scan_snippets, rule_counts, static_findings_distinct, static_severity, definitions, definitions_by_kind, structural_chunks, structural_cover, function_metrics, complexity_summary, dag_ready, dag_levels, dag_skipped, dag_progress, answers_parsed, prompts_rendered, reasoning_chain, signatures_verified, point_ids, stream_deduplicated, stream_windows)
+    for q in (rule_scan, rule_scan_snippets, rule_counts, static_findings_distinct, static_severity, definitions, definitions_by_kind, structural_chunks, structural_cover, function_metrics, complexity_summary, diff_analysis, dag_ready, dag_levels, dag_skipped, dag_progress, answers_parsed, prompts_rendered, reasoning_chain, signatures_verified, point_ids, stream_deduplicated, stream_windows)
 }
 SQL = {
     "rule_scan": f"{_CODE} {_sql_rules()}",

@@ -19,6 +19,12 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return search.nearest_vectors(vectors, vectors.where("vec_id % 100 = 0"), 10).select("query_id", "vec_id", F.round("score", 4).alias("score"))
 
 
+def vector_topk_scoped(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of a query's own label."""
+    vectors = table(spark, folder, "embeddings")
+    return search.nearest_vectors(vectors, vectors.where("vec_id % 100 = 0"), 5, within="label").select("query_id", "vec_id", F.round("score", 4).alias("score"))
+
+
 def vector_topk_indexed(spark: SparkSession, folder: str) -> DataFrame:
     """The same by the index: exact scores of all vectors in the cells that a query looks into."""
     vectors = table(spark, folder, "embeddings")
@@ -112,9 +118,10 @@ _CACHE = "h AS (SELECT chunk_id, repo_name, sha256(content) AS content_hash FROM
 _CALLS = "def AS (SELECT DISTINCT repo_name, unnest(symbols_defined) AS symbol, file_path AS defined_in FROM chunks), cal AS (SELECT DISTINCT repo_name, unnest(symbols_called) AS symbol, chunk_id, file_path AS called_in FROM chunks), callers AS (SELECT repo_name, symbol, defined_in, called_in, chunk_id FROM cal JOIN def USING (repo_name, symbol) WHERE defined_in <> called_in)"
 _DEPS = "names AS (SELECT DISTINCT repo_name, file_path, unnest([file_path, replace(replace(file_path, '/', '.'), '.py', ''), regexp_extract(regexp_replace(file_path, '\\.[A-Za-z0-9]+$', ''), '[^/]*$')]) AS symbol FROM chunks), used AS (SELECT DISTINCT repo_name, unnest(imports) AS symbol, file_path AS dependent FROM chunks), deps AS (SELECT DISTINCT repo_name, file_path, dependent FROM names JOIN used USING (repo_name, symbol) WHERE file_path <> dependent)"
 
-QUERIES = {q.__name__: q for q in (vector_topk, vector_topk_indexed, vector_topk_same_label, label_centroids, embedding_texts, embed_cache_hits, embed_missing, symbol_callers, file_dependents, blast_radius, context_callers, import_usage, code_graphs, call_closure)}
+QUERIES = {q.__name__: q for q in (vector_topk, vector_topk_scoped, vector_topk_indexed, vector_topk_same_label, label_centroids, embedding_texts, embed_cache_hits, embed_missing, symbol_callers, file_dependents, blast_radius, context_callers, import_usage, code_graphs, call_closure)}
 SQL = {
     "vector_topk": f"WITH {_TOP} SELECT query_id, vec_id, round(score, 4) AS score FROM top",
+    "vector_topk_scoped": "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM q JOIN embeddings e ON e.vec_id <> q.vec_id AND e.label = q.label) SELECT query_id, vec_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM s) WHERE nth <= 5",
     "vector_topk_same_label": f"WITH {_TOP} SELECT query_id, count(*) FILTER (a.label = b.label) AS same FROM top JOIN embeddings a ON a.vec_id = top.vec_id JOIN embeddings b ON b.vec_id = query_id GROUP BY 1",
     "label_centroids": "SELECT label, dim, round(avg(x::DOUBLE), 3) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY ALL",
     "embedding_texts": f"SELECT chunk_id, sha256({_TEXT}) AS text_hash, length({_TEXT})::INT AS size FROM chunks",

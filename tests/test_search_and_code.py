@@ -232,3 +232,12 @@ def test_classes_and_large_functions_are_cut_in_every_language():
     assert [(k, n) for _, _, k, n in chunking.file_spans(go, "go")] == [("top_level", ""), ("function", "Big_part1"), ("function", "Big_part2")]
     small = "package p\n\nfunc Small() {\n\tif a {\n\t}\n}\n"
     assert chunking.file_spans(small, "go")[1] == (3, 6, "function", "Small")
+
+
+def test_nearest_within_a_scope(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 3)], [None, "a", "b"][i % 3]) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, repo STRING")
+    found = search.nearest_vectors(vectors, vectors.where("vec_id IN (0, 1, 2)"), 4, within="repo").collect()
+    scope = {i: r for i, _, r in rows}
+    assert {r.query_id for r in found} == {1, 2} and all(scope[r.vec_id] == scope[r.query_id] for r in found) and len(found) == 8
+    assert search.nearest_vectors(vectors, vectors.where("vec_id = 1"), 50, within="repo").count() == 9
