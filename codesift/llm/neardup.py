@@ -247,7 +247,7 @@ class NearDuplicates:
         """(class, chunk_id) of every row that takes part."""
         return self.records.select("class", "chunk_id")
 
-    def candidates(self) -> DataFrame:
+    def _candidates(self) -> DataFrame:
         """(class_a, class_b): the pairs that share a segment."""
         keyed = self.keyed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "class").repartition("key").distinct()
         # few keys are shared: those that are get written, so that both sides of the join read them and not the sort
@@ -267,7 +267,7 @@ class NearDuplicates:
     def _verified(self) -> DataFrame:
         one = self.records.groupBy("class").agg(F.min("chunk_id").alias("rep"), F.max("size").alias("size"), *[F.max(f"s{i}").alias(f"s{i}") for i in range(SKETCH_WORDS)])
         side = lambda z: one.select(*[F.col(c).alias(f"{c}_{z}") for c in one.columns])
-        near = self.candidates().join(side("a"), "class_a").join(side("b"), "class_b")
+        near = self._candidates().join(side("a"), "class_a").join(side("b"), "class_b")
         hamming = sum(F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH_WORDS))
         bound = F.floor((self.rule.den - self.rule.num) * (F.col("size_a") + F.col("size_b")) / (self.rule.den + self.rule.num) + 1e-9)
         fits = self.rule.num * F.greatest("size_a", "size_b") <= self.rule.den * F.least("size_a", "size_b")
