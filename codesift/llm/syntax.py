@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ from codesift.runtime import cut_lineage
 CUT_ANYWHERE = ("js", "jsx", "ts", "tsx")
 LANGUAGES = ("py", "js", "jsx", "ts", "tsx", "go", "rs")
 BLOCK = 256
+#: Calls within each other that the grammars may take: some 10,000 brackets, about where compilers of these languages give up.
+DEEPEST = 200_000
 DEAD = "dead"
 
 _STEP = "STRUCT<entry: STRING, exit: STRING, closers: STRING, openers: STRING>"
@@ -58,23 +61,29 @@ def states_of(lang: str, text: str) -> list[str]:
 
 
 def well_formed(text: str, lang: str) -> bool:
-    """Whether a whole file parses."""
+    """Whether a whole file parses.  What is nested deeper than ``DEEPEST`` calls no compiler takes: it does not."""
     if lang == "py":
         return indents.parses(text)
-    try:
-        tokens = lex(text, lang)
-        if tokens.state != CODE or bracket_summary(tokens.kinds, tokens.match) != ("", ""):
+    with _deep():
+        try:
+            tokens = lex(text, lang)
+            if tokens.state != CODE or bracket_summary(tokens.kinds, tokens.match) != ("", ""):
+                return False
+            grammars.check(tokens, lang, True)
+        except (Malformed, RecursionError):
             return False
-        _room(len(tokens.kinds))
-        grammars.check(tokens, lang, True)
-    except Malformed:
-        return False
     return True
 
 
-def _room(tokens: int) -> None:
-    """Python calls take no stack of the machine, so the grammar may go as deep as the text has tokens."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2000 + 40 * tokens))
+@contextmanager
+def _deep():
+    """Python calls take no stack of the machine, so a fixed number of them is allowed, whatever the worker is set to."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(DEEPEST)
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def _python_map(text: str) -> tuple[bool, list[tuple[str, str, str, str]], tuple[list[int], list[int]]]:
@@ -102,6 +111,11 @@ def chunk_map(text: str, lang: str, first: bool) -> tuple[bool, list[tuple[str,
     """(whether the chunk stands by itself, its map, its indentation summary)."""
     if lang == "py":
         return _python_map(text)
+    with _deep():
+        return _brace_map(text, lang, first)
+
+
+def _brace_map(text: str, lang: str, first: bool) -> tuple[bool, list[tuple[str, str, str, str]], tuple[list[int], list[int]]]:
     steps, stands = [], False
     try:
         tokens = lex(text, lang)
@@ -109,12 +123,11 @@ def chunk_map(text: str, lang: str, first: bool) -> tuple[bool, list[tuple[str,
         steps.append((CODE, tokens.state, closers, openers))
         if tokens.state == CODE and not closers and not openers:
             try:
-                _room(len(tokens.kinds))
                 grammars.check(tokens, lang, first)
                 stands = True
-            except Malformed:
+            except (Malformed, RecursionError):
                 pass
-    except Malformed:
+    except (Malformed, RecursionError):
         steps.append((CODE, DEAD, "", ""))
     for state in states_of(lang, text):
         try:
@@ -123,7 +136,7 @@ def chunk_map(text: str, lang: str, first: bool) -> tuple[bool, list[tuple[str,
                 continue
             tokens = lex(text, lang, state)
             steps.append((state, tokens.state, *bracket_summary(tokens.kinds)))
-        except Malformed:
+        except (Malformed, RecursionError):
             steps.append((state, DEAD, "", ""))
     return stands, steps, ([], [])
 
