@@ -39,7 +39,7 @@ from codesift.runtime import cut_lineage
 CUT_ANYWHERE = ("js", "jsx", "ts", "tsx")
 LANGUAGES = ("py", "js", "jsx", "ts", "tsx", "go", "rs")
 BLOCK = 256
-#: Calls within each other that the grammars may take: some 10,000 brackets, about where compilers of these languages give up.
+#: Calls within each other that the grammars may take: tens of thousands of brackets, beyond what compilers of these languages take.
 DEEPEST = 200_000
 DEAD = "dead"
 

@@ -176,7 +176,7 @@ def test_indentation_summaries_are_associative():
 
 
 def test_depth_decides_only_where_compilers_give_up():
-    for n, fine in ((4000, True), (60_000, False)):
+    for n, fine in ((4000, True), (250_000, False)):
         for text, lang in (("f(" * n + "1" + ")" * n + ";", "js"), ("x = " + "`${" * n + "1" + "}`" * n, "ts"), ("x = " + "<p>{" * n + "1" + "}</p>" * n, "jsx"), ("package a\nvar x = " + "(" * n + "1" + ")" * n, "go"), ("fn f() {" + "{" * n + "}" * n + "}", "rs")):
             assert syntax.well_formed(text, lang) == fine, (lang, n)
             assert syntax.chunk_map(text, lang, True)[0] == fine, (lang, n)
