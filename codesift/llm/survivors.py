@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codesift.runtime import write_table
+
 # Ranks of severities, and what stands for "nothing" in a text.
 SEVERITIES = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 NOTHING = ("", "-", "--", "---", ".", "..", "...", "?", "n/a", "na", "n.a.", "nan", "nil", "none", "null", "nothing", "todo", "tbd", "fixme", "undefined", "unknown", "empty", "no", "not available", "not applicable")
@@ -182,6 +184,7 @@ def layered(found: DataFrame) -> DataFrame:
 
 def filled(issues: DataFrame, rows: DataFrame) -> DataFrame:
     """The issues with the values of their fields in place of ``from_...``, and ``filled``, the fields not the survivor's own."""
+    issues = write_table(issues, "issues")  # read twice below
     own = rows.select(F.col("finding_id").alias("survivor_id"), *FIELDS)
     with_own = issues.join(own, "survivor_id")
     other = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"from_{f}").alias("finding_id")) for f in FIELDS]), lambda s: s["finding_id"] != F.col("survivor_id"))
