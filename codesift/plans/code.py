@@ -43,16 +43,6 @@ def static_severity(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "static_findings").groupBy("rule_id", F.upper(F.trim("severity")).alias("severity")).agg(F.count(F.lit(1)).alias("findings"))
 
 
-def definitions(spark: SparkSession, folder: str) -> DataFrame:
-    """Functions and types by the heads of lines, per repository and language."""
-    lines = rules.code_lines(table(spark, folder, "chunks"))
-    heads = {"python": r"^\s*(?:async )?(?:def|class) ([A-Za-z_]\w*)", "javascript": r"^\s*(?:export )?(?:async )?(?:function|class) ([A-Za-z_]\w*)", "go": r"^func (?:\([^)]*\) )?([A-Za-z_]\w*)", "rust": r"^\s*(?:pub )?(?:fn|struct|enum|trait) ([A-Za-z_]\w*)"}
-    name = F.lit("")
-    for language, pattern in heads.items():
-        name = F.when(F.col("language") == language, F.regexp_extract("line", pattern, 1)).otherwise(name)
-    return lines.select("repo_name", "language", name.alias("name")).where("name <> ''").groupBy("repo_name", "language").agg(F.count(F.lit(1)).alias("heads"), F.countDistinct("name").alias("names"))
-
-
 # Heads of lines by language and kind; patterns stay within what RE2 also reads.
 HEADS = (
     ("python", "function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)"),
@@ -68,16 +58,24 @@ HEADS = (
 )
 
 
-def count_heads(lines: DataFrame) -> DataFrame:
-    """Definitions by the heads of (repo_name, language, line), per repository, language and kind."""
+def found_heads(lines: DataFrame) -> DataFrame:
+    """(repo_name, language, kind, name) of each definition by the heads of lines."""
     heads = F.array(*[F.when((F.col("language") == language) & F.col("line").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line", pattern, 1).alias("name"))) for language, kind, pattern in HEADS])
-    found = lines.select("repo_name", "language", F.explode(F.filter(heads, lambda h: h.isNotNull())).alias("head"))
-    return found.groupBy("repo_name", "language", F.col("head.kind").alias("kind")).agg(F.count(F.lit(1)).alias("heads"), F.countDistinct("head.name").alias("names"))
+    return lines.select("repo_name", "language", F.explode(F.filter(heads, lambda h: h.isNotNull())).alias("head")).select("repo_name", "language", "head.*")
+
+
+def count_heads(lines: DataFrame, *keys: str) -> DataFrame:
+    return found_heads(lines).groupBy(*(keys or ("repo_name", "language", "kind"))).agg(F.count(F.lit(1)).alias("heads"), F.countDistinct("name").alias("names"))
+
+
+def definitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions, types and impls per repository and language."""
+    return count_heads(rules.code_lines(table(spark, folder, "chunks")), "repo_name", "language")
 
 
 def definitions_by_kind(spark: SparkSession, folder: str) -> DataFrame:
-    """Every kind of definition that the languages have; ``definitions`` keeps to the short list of its SQL twin."""
-    return count_heads(rules.code_lines(table(spark, folder, "chunks")))
+    """The same, told apart by kind."""
+    return count_heads(rules.code_lines(table(spark, folder, "chunks")), "repo_name", "language", "kind")
 
 
 def structural_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -240,7 +238,7 @@ SQL = {
     "rule_counts": f"{_CODE}, hits AS ({_sql_rules()}) SELECT rule_id, severity, count(*) AS lines, count(DISTINCT chunk_id) AS chunks FROM hits GROUP BY ALL",
     "static_findings_distinct": "SELECT min(static_id) AS static_id FROM static_findings GROUP BY rule_id, repo_name, file, line, message, matched_code",
     "static_severity": "SELECT rule_id, upper(trim(severity)) AS severity, count(*) AS findings FROM static_findings GROUP BY ALL",
-    "definitions": _CODE + ", n AS (SELECT repo_name, language, CASE language WHEN 'python' THEN regexp_extract(line, '^\\s*(?:async )?(?:def|class) ([A-Za-z_]\\w*)', 1) WHEN 'javascript' THEN regexp_extract(line, '^\\s*(?:export )?(?:async )?(?:function|class) ([A-Za-z_]\\w*)', 1) WHEN 'go' THEN regexp_extract(line, '^func (?:\\([^)]*\\) )?([A-Za-z_]\\w*)', 1) WHEN 'rust' THEN regexp_extract(line, '^\\s*(?:pub )?(?:fn|struct|enum|trait) ([A-Za-z_]\\w*)', 1) END AS name FROM lines) SELECT repo_name, language, count(*) AS heads, count(DISTINCT name) AS names FROM n WHERE name <> '' GROUP BY ALL",
+    "definitions": f"{_CODE}, found AS ({_sql_heads()}) SELECT repo_name, language, count(*) AS heads, count(DISTINCT name) AS names FROM found GROUP BY ALL",
     "definitions_by_kind": f"{_CODE}, found AS ({_sql_heads()}) SELECT repo_name, language, kind, count(*) AS heads, count(DISTINCT name) AS names FROM found GROUP BY ALL",
     "dag_ready": _VALUES + " SELECT id FROM tasks t WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM edges e JOIN tasks d ON d.id = e.src WHERE e.dst = t.id AND d.status NOT IN ('completed', 'failed', 'skipped'))",
     "dag_levels": _VALUES.replace("WITH agents", "WITH RECURSIVE agents") + ", w AS (SELECT id, 0 AS level FROM tasks WHERE id NOT IN (SELECT dst FROM edges) UNION SELECT dst, level + 1 FROM w JOIN edges ON src = id) SELECT id, max(level) AS level FROM w GROUP BY 1",
