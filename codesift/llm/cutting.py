@@ -179,7 +179,9 @@ def first_lines(chunks: DataFrame, block: int = 512) -> DataFrame:
     before = blocks.withColumn("before", F.coalesce(F.sum("total").over(file), F.lit(0))).drop("total")
     inside = Window.partitionBy("repo_name", "file_path", "block").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
     local = parts.withColumn("local", F.coalesce(F.sum("height").over(inside), F.lit(0)))
-    return local.join(before, ["repo_name", "file_path", "block"]).select("repo_name", "file_path", "chunk_index", (F.col("before") + F.col("local") + 1).alias("base"))
+    before = before.toDF("r", "p", "b", "before")
+    same = F.col("repo_name").eqNullSafe(F.col("r")) & F.col("file_path").eqNullSafe(F.col("p")) & F.col("block").eqNullSafe(F.col("b"))
+    return local.join(before, same).select("repo_name", "file_path", "chunk_index", (F.col("before") + F.col("local") + 1).alias("base"))
 
 
 def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:

@@ -80,3 +80,20 @@ def test_a_file_of_many_parts_is_numbered_in_blocks(spark):
     df = spark.range(40).selectExpr("id AS chunk_id", "'r' AS repo_name", "'p' AS file_path", "CAST(id AS INT) AS chunk_index", "'function' AS chunk_type", "'a\nb' AS content")
     got = {r.chunk_index: r.base for r in cutting.first_lines(df, block=7).collect()}
     assert got == {i: 1 + 3 * i for i in range(40)}
+
+
+def test_lines_of_many_pieces_are_those_of_the_file(spark):
+    text = "\n".join(f"line {i} of the item" for i in range(400))
+    chunks = spark.createDataFrame([(1, None, "a.py", 0, "code", "x\ny", 0, 0, "k"), (2, None, "a.py", 1, "code", text, 0, 0, "k"), (3, "r", "b.py", None, "code", text, 0, 0, "k")], CHUNKS)
+    limits = spark.createDataFrame([("code", 200, 2, "c")], LIMITS)
+    pieces = cutting.split_oversized(chunks, limits).orderBy("chunk_id", "piece_index").collect()
+    own = [p for p in pieces if p.chunk_id == 2]
+    lines = ["x", "y", "", *text.split("\n")]
+    assert len(own) > 40
+    for p in own:
+        assert p.content.rstrip("\n").split("\n") == lines[p.start_line - 1 : p.end_line]
+    assert all(p.start_line is None for p in pieces if p.chunk_id == 3)
+    again = {r.chunk_id: r for r in cutting.rebuilt(cutting.split_oversized(chunks, limits)).collect()}
+    import hashlib
+
+    assert again[2].text_hash == again[3].text_hash == hashlib.sha256(text.encode()).hexdigest() and again[2].longest <= 200

@@ -3,6 +3,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 from codesift.llm import hashing, leaks, neardup, origins, packing, reading, secrets, survivors
@@ -321,3 +322,29 @@ def test_levels_follow_the_raters(spark):
     none = {r.doc_id: r.level for r in reading.reading_levels(documents, labels.limit(0)).collect()}
     assert none[0] < none[4]
     assert reading.reading_levels(documents.limit(0), labels).count() == 0
+
+
+def test_a_bitmap_of_wanted_keys_loses_none(spark):
+    rows_ = spark.range(5000).selectExpr("id AS chunk_id", "'x' AS content", "'y' AS page", "1 AS at")
+    wanted = spark.range(0, 5000, 7).withColumnRenamed("id", "chunk_id")
+    for bits in (1 << 15, 1 << 23):
+        kept = {r.chunk_id for r in neardup.likely(rows_.select("chunk_id", "content"), wanted, "chunk_id", bits).collect()}
+        assert set(range(0, 5000, 7)) <= kept and len(kept) < 2000
+    assert neardup.likely(rows_.select("chunk_id", "content"), wanted.limit(0), "chunk_id").count() == 0
+
+
+def test_frequent_segments_are_found_as_others_are(spark, monkeypatch, rows):
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = [" ".join(mutated(base, 2, rng)) for _ in range(40)] + [" ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id BIGINT, content STRING")
+    found = rows(neardup.NearDuplicates(df, neardup.Join(words=3, least_words=30, numerator=7, denominator=10)).row_pairs())
+    counts = neardup.token_counts
+
+    def busy(texts, rule):
+        return np.maximum(counts(texts, rule), neardup.HOT_WEIGHT + 1)
+
+    monkeypatch.setattr(neardup, "token_counts", busy)
+    join = neardup.NearDuplicates(df, neardup.Join(words=3, least_words=30, numerator=7, denominator=10))
+    assert join.keyed.where("size(keys) > 0").count() == 0 and join.keyed.where("size(hot) > 0").count() == 60
+    assert rows(join.row_pairs()) == found and len(found) > 100
