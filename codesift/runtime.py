@@ -54,6 +54,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan of so few pieces that half of the cores or more would idle, spread over all of them by ``key``; others as they are.
+
+    For Python work over files that do not split (one row group, say); made for
+    scans, since counting the pieces of a plan with exchanges would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    pieces = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if 2 * pieces > cores else scan.repartition(cores, key)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder; it goes when the application ends, however that happens, unless its JVM is killed."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
