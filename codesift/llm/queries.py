@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.llm import cutting, leaks, neardup, origins, packing, reading, secrets, survivors, syntax
+from codesift.runtime import spread
 from codesift.sources.tables import table
 
 
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "chunks"), "chunk_id")
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     pieces = cutting.cut_oversized(table(spark, folder, "chunks"), table(spark, folder, "size_limits"))
     return pieces.where("piece_index = 0").select("chunk_id")
@@ -33,19 +42,19 @@ def p1_overlong(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return syntax.malformed_files(table(spark, folder, "chunks")).select("repo_name", "file_path")
+    return syntax.malformed_files(_chunks(spark, folder)).select("repo_name", "file_path")
 
 
 def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return syntax.malformed_rates(table(spark, folder, "chunks"))
+    return syntax.malformed_rates(_chunks(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return origins.not_handwritten(table(spark, folder, "chunks"), table(spark, folder, "index_stats")).select("repo_name", "file_path")
+    return origins.not_handwritten(_chunks(spark, folder), table(spark, folder, "index_stats")).select("repo_name", "file_path")
 
 
 def p3_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return origins.file_origins(table(spark, folder, "chunks"), table(spark, folder, "index_stats"))
+    return origins.file_origins(_chunks(spark, folder), table(spark, folder, "index_stats"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +66,7 @@ def p4_issues(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, folder: str) -> neardup.NearDuplicates:
-    return neardup.NearDuplicates(table(spark, folder, "chunks"), neardup.Join(words=3, least_words=30, numerator=7, denominator=10))
+    return neardup.NearDuplicates(_chunks(spark, folder), neardup.Join(words=3, least_words=30, numerator=7, denominator=10))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,14 +78,14 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = secrets.credentials(table(spark, folder, "chunks"), "chunk_id", "content", F.col("file_path"))
+    chunks = secrets.credentials(_chunks(spark, folder), "chunk_id", "content", F.col("file_path"))
     static = secrets.credentials(table(spark, folder, "static_findings"), "static_id", "matched_code", F.col("file"))
     both = chunks.withColumn("tbl", F.lit("chunks")).unionByName(static.withColumn("tbl", F.lit("static_findings")))
     return both.select("tbl", "row_id", "line_no")
 
 
 def p6_masked(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = secrets.without_credentials(table(spark, folder, "chunks"), "chunk_id", "content", F.col("file_path"))
+    chunks = secrets.without_credentials(_chunks(spark, folder), "chunk_id", "content", F.col("file_path"))
     static = secrets.without_credentials(table(spark, folder, "static_findings"), "static_id", "matched_code", F.col("file"))
     both = chunks.withColumn("tbl", F.lit("chunks")).unionByName(static.withColumn("tbl", F.lit("static_findings")))
     return both.select("tbl", "row_id", "text", "masked")
@@ -91,19 +100,19 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leaks.leaked_items(_documents(spark, folder), table(spark, folder, "eval_items"))
 
 
 def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leaks.without_leaks(_documents(spark, folder), table(spark, folder, "eval_items"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels")).select("doc_id", "level")
+    return reading.reading_levels(_documents(spark, folder), table(spark, folder, "reading_labels")).select("doc_id", "level")
 
 
 def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return reading.reading_profile(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+    return reading.reading_profile(_documents(spark, folder), table(spark, folder, "reading_labels"))
 
 
 def p2_files(spark: SparkSession, folder: str) -> DataFrame:
