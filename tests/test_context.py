@@ -204,3 +204,16 @@ def test_calls_from_outside(spark, rows):
     arrays = "ARRAY<STRING>"
     chunks = spark.createDataFrame([(1, "r", "a", ["f"], ["f"]), (2, "r", "b", ["f"], ["f"]), (3, "r", "c", ["g"], ["g", "f"]), (4, "r", "d", None, ["h"]), (5, "s", "a", [], ["f"])], f"chunk_id INT, repo_name STRING, file_path STRING, symbols_defined {arrays}, symbols_called {arrays}")
     assert rows(search.calls_from_outside(chunks), "symbol", "chunk_id") == [("f", 1), ("f", 2), ("f", 3)]
+
+
+def test_a_scan_of_one_piece_is_spread(spark, rows, tmp_path):
+    from codesift.runtime import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    for pieces in (1, 2 * cores):
+        path = str(tmp_path / f"t{pieces}")
+        spark.range(100).repartition(pieces, "id").write.parquet(path)
+        read = spark.read.parquet(path)
+        assert sorted(r.id for r in spread(read, "id").collect()) == list(range(100))
+    one = spark.read.parquet(str(tmp_path / "t1"))
+    assert one.rdd.getNumPartitions() == 1 and spread(one, "id").rdd.getNumPartitions() == cores
