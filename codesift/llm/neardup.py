@@ -8,7 +8,8 @@ Sketch.  A size band fixes a number of segments; each token falls into one
 segment by its hash, and a segment holds the XOR of its tokens' hashes.  One
 differing token changes one segment, so the number of differing segments is a
 lower bound of the symmetric difference.  A second sketch of 256 bits, of which
-each token flips one, bounds it by its Hamming distance.
+each token flips one, bounds it by its Hamming distance; a set of more than 128
+tokens, which would fill it, has a wider one of two to four bits a token too.
 
 Pigeonhole join.  With D the largest symmetric difference that any partner
 within the band pair may have, at most D segments of a record differ from
@@ -27,8 +28,10 @@ share the segment.  Segments with a small bound meet in one sort; those that
 may be frequent are counted by an aggregation first, so that no task gathers
 them, and are cut into blocks.
 
-Candidates are filtered by size and by the Hamming bound and then verified on
-the exact token sets.
+Candidates are filtered by size and by the Hamming bounds and then verified on
+the exact token sets.  A segment of n records has n * n / 2 pairs, so for
+segments of more than a few records the sketches go to the segment and pairs
+are filtered where they meet: what moves follows the records and not the pairs.
 
 Exact copies (equal token sets) form one class.  A task emits the segments of
 a class once, and the join runs between classes, so a third of all rows being
@@ -45,19 +48,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codesift.llm.hashing import flat_word_hashes, mix, window_hashes
 from codesift.runtime import cut_lineage, drop_table, write_table
 
-TABLE_BITS = 18
+# Counts are exact to the frequency of an average bucket: few buckets let frequent tokens of a large table pass as rare.
+TABLE_BITS, PAGE_BITS = 24, 16
 SKETCH_WORDS = 4
+# Segments of more records than this are joined with the sketches.
+FEW = 6
 SMALL_BELOW, SMALL_SEGMENTS = 24, 1 << 24
 # Weights are twice the binary logarithm of a count: above this a segment may be shared by more than about 2,000 records.
 HOT_WEIGHT = 22
-RECORDS = "class BIGINT, chunk_id BIGINT, size INT, s0 BIGINT, s1 BIGINT, s2 BIGINT, s3 BIGINT, keys ARRAY<BIGINT>, hot ARRAY<BIGINT>"
+RECORDS = "class BIGINT, chunk_id BIGINT, size INT, s0 BIGINT, s1 BIGINT, s2 BIGINT, s3 BIGINT, wide ARRAY<BIGINT>, keys ARRAY<BIGINT>, hot ARRAY<BIGINT>"
 
 
 class Join:
@@ -113,22 +119,41 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
 
 
 def token_counts(texts: DataFrame, rule: Join) -> np.ndarray:
-    """How often tokens of each of 2**TABLE_BITS hash buckets occur, over all records: a table of fixed size."""
+    """How often tokens of each of 2**TABLE_BITS hash buckets occur, over all records: a table of fixed size.
+
+    A task sends the buckets that it saw by pages, as steps from one to the
+    next; a page's steps are mostly below 256, so the high bytes compress away.
+    """
+    step = 1 << PAGE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << TABLE_BITS, dtype=np.int64)
+        total = np.zeros(1 << TABLE_BITS, dtype=np.uint16)
         for _, part in _blocks(batches, 0):
             _, tokens, _ = token_sets(part, rule)
-            total += np.bincount((tokens >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(total))
-        # the average bucket says nothing; what lies above it is frequent
-        busy = np.flatnonzero(total > max(2.0, 2.0 * total.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(busy.astype(np.int32)), pa.array(total[busy])], ["bucket", "n"])
-
-    found = texts.select("content").mapInArrow(count, "bucket INT, n BIGINT").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = np.zeros(1 << TABLE_BITS, dtype=np.int64)
-    pdf = found.toPandas()
-    table[pdf["bucket"].to_numpy()] = pdf["n"].to_numpy()
-    return np.ceil(np.log2(table + 1) * 2).astype(np.uint8)
+            seen, n = np.unique(tokens >> np.uint64(64 - TABLE_BITS), return_counts=True)
+            seen = seen.astype(np.int64)
+            total[seen] = np.minimum(total[seen] + n, 65535)
+        for page in range(len(total) // step):
+            counts = total[page * step : (page + 1) * step]
+            seen = np.flatnonzero(counts)
+            if len(seen):
+                steps = np.diff(seen, prepend=0).astype(np.uint16)
+                parts = ((steps & 255).astype(np.uint8), (steps >> 8).astype(np.uint8), counts[seen])
+                yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], ["page", "low", "high", "n"])
+
+    def unite(pieces: pa.Table) -> pa.Table:
+        total = np.zeros(step, dtype=np.int64)
+        for low, high, n in zip(*[pieces.column(c).to_pylist() for c in ("low", "high", "n")], strict=True):
+            seen = np.cumsum(np.frombuffer(low, np.uint8) + 256 * np.frombuffer(high, np.uint8).astype(np.int64))
+            total[seen] += np.frombuffer(n, np.uint16)
+        weight = np.ceil(np.log2(total + 1) * 2).astype(np.uint8)
+        return pa.table({"page": pieces.column("page").slice(0, 1), "weight": pa.array([weight.tobytes()], pa.binary())})
+
+    pages = texts.select("content").mapInArrow(count, "page INT, low BINARY, high BINARY, n BINARY")
+    table = np.zeros(1 << TABLE_BITS, dtype=np.uint8)
+    for page, weight in pages.groupBy("page").applyInArrow(unite, "page INT, weight BINARY").toLocalIterator():
+        table[page * step : (page + 1) * step] = np.frombuffer(weight, np.uint8)
+    return table
 
 
 def segment_keys(tokens: np.ndarray, weight: np.ndarray, rule: Join) -> tuple[np.ndarray, np.ndarray]:
@@ -155,13 +180,28 @@ def segment_keys(tokens: np.ndarray, weight: np.ndarray, rule: Join) -> tuple[np
     return np.unique(np.concatenate(keys)), np.unique(np.concatenate(hot))
 
 
-def parity_bits(rows: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
-    """The 256-bit parity sketch of each of ``n`` texts, as four words: each token flips one bit."""
-    bit = (mix(tokens + np.uint64(17)) & np.uint64(255)).astype(np.int64)
-    flips = np.bincount(rows * 256 + bit, minlength=n * 256).reshape(n, 256) & 1
+def parity_bits(rows: np.ndarray, tokens: np.ndarray, n: int, width: int = 64 * SKETCH_WORDS) -> np.ndarray:
+    """The parity sketch of ``width`` bits, a power of two, of each of ``n`` texts, as words: each token flips one bit.
+
+    A sketch whose halves are joined by XOR is that of half the width.
+    """
+    bit = (mix(tokens + np.uint64(17)) & np.uint64(width - 1)).astype(np.int64)
+    flips = np.bincount(rows * width + bit, minlength=n * width).reshape(n, width) & 1
     return np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
 
 
+def wide_bits(rows: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> list[np.ndarray | None]:
+    """The sketch of two to four bits a token of each text whose set would fill the narrow one."""
+    found: list[np.ndarray | None] = [None] * len(sizes)
+    width = np.where(sizes * 2 > 64 * SKETCH_WORDS, 1 << np.ceil(np.log2(np.maximum(sizes, 1) * 2)).astype(np.int64), 0)
+    for each in np.unique(width[width > 0]).tolist():
+        chosen = np.flatnonzero(width == each)
+        own = width[rows] == each
+        for at, words in zip(chosen.tolist(), parity_bits(np.searchsorted(chosen, rows[own]), tokens[own], len(chosen), each), strict=True):
+            found[at] = words
+    return found
+
+
 def records(texts: DataFrame, weights, rule: Join) -> DataFrame:
     """One row per text that takes part: its class, size, sketch, and, on the class's first row in a task, its keys."""
 
@@ -178,6 +218,7 @@ def records(texts: DataFrame, weights, rule: Join) -> DataFrame:
             xors = np.bitwise_xor.reduceat(mix(tokens ^ np.uint64(0xABCDEF)), starts[taking])
             classes = mix(sums ^ mix(xors)).view(np.int64)
             bits = parity_bits(rows, tokens, len(part))[taking]
+            wide = wide_bits(rows, tokens, sizes)
             keys, hot = [], []
             for at, label in zip(taking.tolist(), classes.tolist(), strict=True):
                 if label in known:
@@ -190,8 +231,8 @@ def records(texts: DataFrame, weights, rule: Join) -> DataFrame:
                 keys.append(cold.view(np.int64))
                 hot.append(busy.view(np.int64))
             ids = batch.column(0).take(pa.array(taking))
-            columns = [pa.array(classes), ids, pa.array(sizes[taking].astype(np.int32)), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH_WORDS)], pa.array(keys, type=pa.list_(pa.int64())), pa.array(hot, type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["class", "chunk_id", "size", "s0", "s1", "s2", "s3", "keys", "hot"])
+            columns = [pa.array(classes), ids, pa.array(sizes[taking].astype(np.int32)), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH_WORDS)], pa.array([wide[at] for at in taking.tolist()], type=pa.list_(pa.int64())), pa.array(keys, type=pa.list_(pa.int64())), pa.array(hot, type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "chunk_id", "size", "s0", "s1", "s2", "s3", "wide", "keys", "hot"])
 
     return texts.select("chunk_id", "content").mapInArrow(run, RECORDS)
 
@@ -230,6 +271,19 @@ def likely(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 23) ->
     return found.where(F.getbit(byte, F.pmod(at, F.lit(8))) == 1).select(*rows.columns)
 
 
+def sketches_apart(a: str, b: str) -> Column:
+    """The Hamming distance of two wide sketches at the width of the narrower one; 0, which rules nothing out, where one is missing or the widths are further apart than a factor of two."""
+
+    def half(bits: Column) -> Column:
+        words = F.shiftright(F.size(bits), 1)
+        return F.zip_with(F.slice(bits, F.lit(1), words), F.slice(bits, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+
+    left, right = F.col(a), F.col(b)
+    narrow = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
+    each = F.zip_with(narrow(left, right), narrow(right, left), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.when(left.isNotNull() & right.isNotNull(), F.coalesce(F.aggregate(each, F.lit(0), lambda n, x: n + x), F.lit(0))).otherwise(F.lit(0))
+
+
 class NearDuplicates:
     """The classes of equal token sets and the similar pairs among them."""
 
@@ -247,15 +301,30 @@ class NearDuplicates:
         """(class, chunk_id) of every row that takes part."""
         return self.records.select("class", "chunk_id")
 
+    def _classes(self, *wide: Column) -> DataFrame:
+        """One row per class: its smallest row, size and sketch."""
+        return self.records.groupBy("class").agg(F.min("chunk_id").alias("rep"), F.max("size").alias("size"), *[F.max(f"s{i}").alias(f"s{i}") for i in range(SKETCH_WORDS)], *wide)
+
+    def _bound(self) -> Column:
+        return F.floor((self.rule.den - self.rule.num) * (F.col("size_a") + F.col("size_b")) / (self.rule.den + self.rule.num) + 1e-9)
+
+    def _may_fit(self) -> Column:
+        """Whether sizes and narrow sketches of ``_a`` and ``_b`` allow similar sets."""
+        hamming = sum(F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH_WORDS))
+        return (self.rule.num * F.greatest("size_a", "size_b") <= self.rule.den * F.least("size_a", "size_b")) & (hamming <= self._bound())
+
     def _candidates(self) -> DataFrame:
-        """(class_a, class_b): the pairs that share a segment."""
+        """(class_a, class_b): the pairs that share a segment, without those of its segments of many records that sketches rule out."""
         keyed = self.keyed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "class").repartition("key").distinct()
         # few keys are shared: those that are get written, so that both sides of the join read them and not the sort
         met = write_table(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "met")
         # frequent ones: copies of a class from several tasks are no partners, and no task gathers a key
         busy = self.keyed.where("size(hot) > 0").select(F.explode("hot").alias("key"), "class").distinct()
-        busy = busy.join(busy.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
-        both = pairs_within(met, "key", "class").unionByName(pairs_within(busy, "key", "class"))
+        busy = write_table(busy.join(busy.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "busy")
+        drop_table(self.keyed)
+        few = pairs_within(met.where(F.col("n") <= FEW), "key", "class")
+        many = met.where(F.col("n") > FEW).unionByName(busy).join(self._classes().drop("rep"), "class")
+        both = few.unionByName(pairs_within(many, "key", "class").where(self._may_fit()).select("key", "class_a", "class_b"))
         return both.select("class_a", "class_b").distinct()
 
     def links(self) -> DataFrame:
@@ -265,14 +334,11 @@ class NearDuplicates:
         return self._links
 
     def _verified(self) -> DataFrame:
-        one = self.records.groupBy("class").agg(F.min("chunk_id").alias("rep"), F.max("size").alias("size"), *[F.max(f"s{i}").alias(f"s{i}") for i in range(SKETCH_WORDS)])
+        one = self._classes(F.first("wide").alias("wide"))
         side = lambda z: one.select(*[F.col(c).alias(f"{c}_{z}") for c in one.columns])
         near = self._candidates().join(side("a"), "class_a").join(side("b"), "class_b")
-        hamming = sum(F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH_WORDS))
-        bound = F.floor((self.rule.den - self.rule.num) * (F.col("size_a") + F.col("size_b")) / (self.rule.den + self.rule.num) + 1e-9)
-        fits = self.rule.num * F.greatest("size_a", "size_b") <= self.rule.den * F.least("size_a", "size_b")
-        near = write_table(near.where(fits & (hamming <= bound)).select("class_a", "class_b", "rep_a", "rep_b"), "near")
-        drop_table(self.keyed)
+        near = near.where(self._may_fit() & (sketches_apart("wide_a", "wide_b") <= self._bound()))
+        near = write_table(near.select("class_a", "class_b", "rep_a", "rep_b"), "near")
         reps = near.select(F.col("class_a").alias("class"), F.col("rep_a").alias("chunk_id")).union(near.select("class_b", "rep_b")).distinct()
         sets = self._sets(likely(self.texts, reps, "chunk_id").join(reps, "chunk_id"))
         side = lambda z: sets.select(F.col("class").alias(f"class_{z}"), F.col("tokens").alias(f"tokens_{z}"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from codesift.llm import hashing, leaks, neardup, origins, packing, reading, secrets, survivors
+from codesift.runtime import write_table
 
 T = datetime(2025, 1, 1)
 
@@ -348,3 +349,46 @@ def test_frequent_segments_are_found_as_others_are(spark, monkeypatch, rows):
     join = neardup.NearDuplicates(df, neardup.Join(words=3, least_words=30, numerator=7, denominator=10))
     assert join.keyed.where("size(keys) > 0").count() == 0 and join.keyed.where("size(hot) > 0").count() == 60
     assert rows(join.row_pairs()) == found and len(found) > 100
+
+
+def test_pairs_of_frequent_segments_do_not_move(spark, monkeypatch, rows):
+    rng = random.Random(22)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rule = neardup.Join(words=3, least_words=30, numerator=7, denominator=10)
+    monkeypatch.setattr(neardup, "token_counts", lambda texts, rule: np.zeros(1 << neardup.TABLE_BITS, dtype=np.uint8))  # no order of segments spares what texts share
+    written = {}
+    monkeypatch.setattr(neardup, "write_table", lambda df, name: written.setdefault(name, write_table(df, name)))
+    for own, common in ((50, 40), (500, 300)):
+        shared, like = [word() for _ in range(common)], [word() for _ in range(own)]
+        texts = [" ".join(shared + [word() for _ in range(own)]) for _ in range(30)] + [" ".join(shared + mutated(like, k, rng)) for k in (0, 1)]
+        df = spark.createDataFrame(list(enumerate(texts)), "chunk_id BIGINT, content STRING")
+        written.clear()
+        assert rows(neardup.NearDuplicates(df, rule).row_pairs()) == [(30, 31)]
+        assert written["met"].where("n > 10").count() > 0 and written["near"].count() == 1
+        written.clear()
+        candidates = neardup.NearDuplicates(df, rule)._candidates().count()
+        assert 1 <= candidates < 50 or own == 500
+
+
+def test_counts_of_tokens_are_whole(spark):
+    texts = [" ".join(f"w{j}" for j in range(i, i + 40)) for i in range(60)]
+    rule = neardup.Join(words=3, least_words=30, numerator=7, denominator=10)
+    got = neardup.token_counts(spark.createDataFrame([(t,) for t in texts], "content STRING").repartition(7), rule)
+    _, tokens, _ = neardup.token_sets(texts, rule)
+    want = np.bincount((tokens >> np.uint64(64 - neardup.TABLE_BITS)).astype(np.int64), minlength=1 << neardup.TABLE_BITS)
+    assert want.max() == 38 and (got == np.ceil(np.log2(want + 1) * 2)).all()
+    assert not neardup.token_counts(spark.createDataFrame([], "content STRING"), rule).any()
+
+
+def test_wide_sketches_fold_and_bound(spark):
+    rng = np.random.default_rng(5)
+    sizes = np.array([128, 129, 300, 1000, 1100])
+    tokens = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in sizes]
+    tokens[4][:990] = tokens[3][:990]
+    flat, row = np.concatenate(tokens), np.repeat(np.arange(5), sizes)
+    wide = neardup.wide_bits(row, flat, sizes)
+    assert [0 if w is None else 64 * len(w) for w in wide] == [0, 512, 1024, 2048, 4096]
+    assert (wide[4][:32] ^ wide[4][32:] == neardup.parity_bits(row[row == 4] * 0, tokens[4], 1, 2048)[0]).all()
+    pairs = [(None if wide[a] is None else wide[a].tolist(), wide[b].tolist()) for a, b in ((3, 4), (4, 3), (3, 3), (0, 1), (1, 4))]
+    apart = [r[0] for r in spark.createDataFrame(pairs, "a ARRAY<BIGINT>, b ARRAY<BIGINT>").select(neardup.sketches_apart("a", "b")).collect()]
+    assert 60 < apart[0] <= 120 and apart == [apart[0], apart[0], 0, 0, 0]
